@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import bpe, exact_dedup, sharding, url_filter
+from quernstone.llm import bpe, exact_dedup, packing, sharding, token_store, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         bpe.op3_bpe,
         exact_dedup.op4_exact_dedup,
         sharding.op5_rendezvous_sharding,
+        token_store.op7_token_store,
+        packing.op9_packing,
         url_filter.op10_url_filter,
     ]
     return {f.__name__: f for f in found}
