@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import bpe, exact_dedup, packing, sharding, token_store, url_filter
+from quernstone.llm import bpe, exact_dedup, language_id, packing, sharding, token_store, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
+        language_id.op1_language_id,
         bpe.op3_bpe,
         exact_dedup.op4_exact_dedup,
         sharding.op5_rendezvous_sharding,
+        toxicity.op6_toxicity,
         token_store.op7_token_store,
         packing.op9_packing,
         url_filter.op10_url_filter,
