@@ -36,7 +36,7 @@ TOXIC, ORDINARY, SAMPLE_CHARS = 2000, 4000, 20_000
 WORDS, LEVEL, ORDINARY_BYTES, TOXIC_BYTES = 6, 12, 65_536, 8_192
 #: A word opening sets toxic text apart if this many sample documents have it, this many
 #: times as often among toxic ones as among ordinary ones.
-OPENING, LEAST_DOCS, RATIO, WHOLE_SHARE = 5, 8, 20.0, 0.05
+OPENING, LEAST_SHARE, RATIO, WHOLE_SHARE = (4, 5, 6), 0.02, 20.0, 0.05
 #: Weight of a toxic row against an ordinary one in the calibration.
 TOXIC_WEIGHT = 1.5
 
@@ -58,13 +58,19 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str]]:
 
 
 def apart(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """What sets toxic text apart, the most frequent last, as often as it occurs."""
-    spans = [[WORD.findall(t.lower()) for t in texts] for texts in (toxic, ordinary)]
-    t, o = (Counter(x for words in s for x in {w[:OPENING] for w in words if len(w) > 2}) for s in spans)
-    whole = Counter(x for words in spans[0] for x in set(words))
+    """What sets toxic text apart, as often as it occurs: of each word its shortest
+    opening that does, or the whole word if it is frequent in toxic text."""
+    spans = [[set(WORD.findall(t.lower())) for t in texts] for texts in (toxic, ordinary)]
+    t, o = (Counter(x for words in s for x in {w[:k] for w in words for k in OPENING if len(w) >= k}) for s in spans)
+    whole = Counter(w for words in spans[0] for w in words)
     n, m = max(1, len(toxic)), max(1, len(ordinary))
-    marks = {x for x in t if t[x] >= LEAST_DOCS and (t[x] + 0.5) / n >= RATIO * (o[x] + 0.5) / m}
-    found = [(" " + (w if whole[w] >= WHOLE_SHARE * n else w[:OPENING])).encode() for words in spans[0] for w in words if w[:OPENING] in marks]
+    marks = {x for x in t if t[x] >= max(4, LEAST_SHARE * n) and (t[x] + 0.5) / n >= RATIO * (o[x] + 0.5) / m}
+    found = []
+    for words in spans[0]:
+        for w in words:
+            k = next((k for k in OPENING if len(w) >= k and w[:k] in marks), None)
+            if k:
+                found.append((" " + (w if whole[w] >= WHOLE_SHARE * n else w[:k])).encode())
     return found
 
 
@@ -123,15 +129,16 @@ def logistic(x: Any, y: Any, weight: Any, ridge: float = 1e-2, steps: int = 50)
 
 
 def train(rows: list[tuple[int, str]]) -> dict[str, Any]:
-    """dictionaries and calibration; every other row of each class trains the former."""
+    """dictionaries and calibration; of each class two rows in three train the former."""
     import numpy as np
 
     by = {c: [t for k, t in rows if k == c] for c in (0, 1)}
     if not by[0] or not by[1]:
         return {"share": 1.0 if by[1] else 0.0}
-    pair = dictionaries(by[1][::2], by[0][::2])
+    third = {c: [t for i, t in enumerate(by[c]) if i % 3 == 2] or by[c] for c in by}
+    pair = dictionaries(*([t for i, t in enumerate(by[c]) if i % 3 != 2] for c in (1, 0)))
     compress = compressors(pair)
-    held = [(c, t) for c in (0, 1) for t in (by[c][1::2] or by[c])]
+    held = [(c, t) for c in (0, 1) for t in third[c]]
     x, y = np.array([features(t, compress) for _, t in held]), np.array([float(c) for c, _ in held])
     mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-6
     return {"pair": pair, "mean": mean, "spread": spread, "b": logistic((x - mean) / spread, y, np.where(y == 1, TOXIC_WEIGHT, 1.0))}
