@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import bpe, exact_dedup, language_id, packing, sharding, token_store, toxicity, url_filter
+from quernstone.llm import bpe, exact_dedup, language_id, minhash, packing, sharding, token_store, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         language_id.op1_language_id,
+        minhash.op2_minhash_dedup,
         bpe.op3_bpe,
         exact_dedup.op4_exact_dedup,
         sharding.op5_rendezvous_sharding,
@@ -24,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE}
+    return {"op2_minhash_dedup": minhash.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE}
