@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import bpe, exact_dedup, language_id, minhash, packing, sharding, token_store, toxicity, url_filter
+import corpus_pipeline
+from quernstone.llm import ann, bpe, exact_dedup, language_id, minhash, packing, sharding, token_store, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,10 +19,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         sharding.op5_rendezvous_sharding,
         toxicity.op6_toxicity,
         token_store.op7_token_store,
+        ann.op8_learned_partitions,
         packing.op9_packing,
         url_filter.op10_url_filter,
     ]
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
