@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -40,9 +41,9 @@ from quernstone.llm.pieces import PieceCache, texts_of, tokenizer_path
 
 #: The published splitting pattern of this vocabulary family (fixed value).
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Prefix states and answered arcs that a worker keeps; longer words than LONG bytes
-#: are encoded without keeping their prefixes.
-STATES, ARCS, LONG = 300_000, 300_000, 200
+#: Prefix states, answered arcs and words that a worker keeps; longer words than LONG
+#: bytes are encoded without keeping their prefixes.
+STATES, ARCS, KNOWN, LONG = 300_000, 300_000, 200_000, 200
 
 TABLE = "byte_bpe_50k.json"
 
@@ -76,6 +77,7 @@ class Automaton:
             self.gadget(time, vocabulary[left], vocabulary[right], vocabulary[left + right])
         self.longest = max(map(len, self.token))
         self.arcs: dict[int, bool] = {}
+        self.words: dict[str, list[int]] = {}
         self.reset()
 
     def gadget(self, time: int, u: int, v: int, w: int) -> None:
@@ -119,21 +121,17 @@ class Automaton:
     def extend(self, state: int, byte: int) -> int:
         """The transition from ``state`` on ``byte``, resolved and tabled."""
         text = self.tail[state] + bytes([byte])
-        before, at = [], state
-        for _ in text:
-            before.append(at)
+        known, at = self.token.get, state  # ``at`` stands before the last n bytes
+        for n in range(1, len(text) + 1):
+            token = known(text[-n:])
+            if token is not None and (at == 0 or self.arc(self.last[at], token)):
+                self.last.append(token)
+                self.cut.append(at)
+                self.parent.append(state)
+                self.tail.append(text[-self.longest + 1 :] if self.longest > 1 else b"")
+                self.step[state << 8 | byte] = new = len(self.last) - 1
+                return new
             at = self.parent[at]
-        for n in range(len(text), 0, -1):
-            token = self.token.get(text[-n:])
-            if token is not None:
-                from_state = before[n - 1]
-                if from_state == 0 or self.arc(self.last[from_state], token):
-                    self.last.append(token)
-                    self.cut.append(from_state)
-                    self.parent.append(state)
-                    self.tail.append(text[-self.longest + 1 :] if self.longest > 1 else b"")
-                    self.step[state << 8 | byte] = new = len(self.last) - 1
-                    return new
         raise ValueError(f"byte {byte} is not in the vocabulary")
 
     def word(self, word: bytes) -> list[int]:
@@ -171,7 +169,13 @@ class Automaton:
                 out.append(self.special[part])
             else:
                 for word in WORDS.findall(part):
-                    out += self.word(word.encode())
+                    if (ids := self.words.get(word)) is None:
+                        ids = self.word(word.encode())
+                        if len(word) <= LONG:
+                            if len(self.words) >= KNOWN:
+                                self.words.clear()
+                            self.words[word] = ids
+                    out += ids
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -188,10 +192,8 @@ def automaton(path: str) -> Automaton:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> PieceCache:
-    import numpy as np
-
     own = automaton(path)
-    return PieceCache(lambda pieces: [np.array(own.encode(p), dtype="<u4").tobytes() for p in pieces])
+    return PieceCache(lambda pieces: [array("I", own.encode(p)).tobytes() for p in pieces])
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
