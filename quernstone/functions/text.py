@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Markers of the ticket format.
 NO_VALUE, NOT_APPLICABLE = "brak", "nie dotyczy"
@@ -33,7 +34,7 @@ def unescape(text: Column) -> Column:
     return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape_all(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The full HTML5 entity table, by Arrow batches; null stays null."""
     import html

@@ -48,7 +48,7 @@ def listed(ids: Column, most: int = MAX_LISTED) -> Column:
 def warning(total: Column, dropped: Column) -> Column:
     """A message if far fewer records were dropped than expected; null for few records."""
     rate = dropped / total
-    return F.when((total >= MIN_RECORDS) & (rate < EXPECTED_DROP_RATE * TOLERANCE), F.format_string(f"dropped %.1f%%, expected ~{EXPECTED_DROP_RATE:.0%}", rate * 100))
+    return F.when((total >= MIN_RECORDS) & (rate < EXPECTED_DROP_RATE * TOLERANCE), F.format_string(f"dropped %.1f%%, expected ~{100 * EXPECTED_DROP_RATE:.0f}%%", rate * 100))
 
 
 def report(judged: DataFrame) -> DataFrame:
