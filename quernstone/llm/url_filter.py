@@ -142,3 +142,47 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, label
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "pages"))
+
+
+def oracle() -> str:
+    """The query in SQL: the tree's levels are spelled out one after the other."""
+    case = "".join(f" when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then struct_pack(r := '{h}{p}', v := '{v}')" for v, h, p in sorted(RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2])))
+    stem = "substr(s, 1, length(s) - length(regexp_extract(s, '(\\.[A-Za-z]{1,5})$', 1)))"
+    ending = "regexp_extract(s, '(\\.[A-Za-z]{1,5})$', 1)"
+    shape = f"""case when regexp_matches({stem}, '^[0-9]+$') then '{{n}}' || {ending} when regexp_matches({stem}, '^[0-9a-fA-F-]{{8,}}$') then '{{h}}' || {ending}
+      when regexp_matches({stem}, '[0-9]') then '{{x}}' || {ending} when length({stem}) > 40 or {stem}[1] in ('{{', '*') then '{{l}}' || {ending} else s end"""
+    sql = [
+        "a as (select page_id, contains(url, '://') as known, regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') as bare from pages)",
+        f"b as (select page_id, coalesce(case when known then translate(regexp_extract(bare, '^[^/]*'), '{UPPER}', '{LOWER}') end, '') as host, coalesce(case when known then substr(bare, length(regexp_extract(bare, '^[^/]*')) + 1) end, '') as path from a)",
+        f"c as (select *, case{case} end as fit, list_filter(string_split(path, '/'), lambda s: s <> '') as segs from b)",
+        f"d as (select page_id, host, path, fit.r as rule, fit.v as own, list_concat(list_transform(segs[1:{DEPTH}], lambda s: {shape}), case when len(segs) > {DEPTH} then ['**'] else [] end) as leaf from c)",
+        "t0 as (select host, leaf, leaf as node, count(*) as n, count(*) filter (where own = 'block') as b, count(*) filter (where own = 'allow') as a from d group by host, leaf)",
+    ]
+    at = 0
+    for k in range(1, DEPTH + 1):
+        lit = f"(node[{k}] is not null and node[{k}][1] not in ('{{', '*'))"
+        star = f"list_transform(node, lambda s, i: case when i = {k} then '*' else s end)"
+        sql += [
+            f"w{at} as (select host, node[1:{k - 1}] as up from t{at} where {lit} group by host, up having count(distinct node[{k}]) > {FAN_OUT})",
+            f"t{at + 1} as (select t.host, leaf, case when w.host is not null and {lit} then {star} else node end as node, n, b, a from t{at} t left join w{at} w on w.host = t.host and w.up = t.node[1:{k - 1}])",
+        ]
+        at += 1
+    for k in range(1, DEPTH + 1):
+        lit = f"(node[{k}] is not null and node[{k}][1] not in ('{{', '*'))"
+        star = f"list_transform(node, lambda s, i: case when i = {k} then '*' else s end)"
+        p = lambda x: f"(({x} + 1) / (wn + 2.0::double))"
+        far = lambda x: f"abs({x} / n::double - w{x} / wn::double) > {Z} * sqrt({p('w' + x)} * (1 - {p('w' + x)}) * (1 / n::double + 1 / wn::double))"
+        sql += [
+            f"k{at} as (select host, {star} as blank, node[{k}] as child, sum(n) as n, sum(b) as b, sum(a) as a from t{at} where {lit} group by all)",
+            f"s{at} as (select *, sum(n) over w as wn, sum(b) over w as wb, sum(a) over w as wa, count(*) over w as kids from k{at} window w as (partition by host, blank))",
+            f"m{at} as (select host, blank from s{at} group by host, blank having max(kids) > 1 and not bool_or(({far('b')}) or ({far('a')})))",
+            f"t{at + 1} as (select t.host, leaf, case when m.host is not null and {lit} then m.blank else node end as node, n, b, a from t{at} t left join m{at} m on m.host = t.host and m.blank = {star} and {lit})",
+        ]
+        at += 1
+    sql += [
+        f"base as (select (sum(b) + 1) / (sum(b) + sum(a) + 2.0::double) as p from t{at})",
+        f"prior as (select host, (sum(b) + {ALPHA}::double * any_value(p)) / (sum(b) + sum(a) + {ALPHA}::double) as prior from t{at}, base group by host)",
+        f"bad as (select host, node from t{at} join prior using (host) group by host, node having sum(b) + sum(a) >= {MIN_LABELS} and (sum(b) + {ALPHA}::double * any_value(prior)) / (sum(b) + sum(a) + {ALPHA}::double) >= {PURITY})",
+        f"gone as (select host, leaf from t{at} join bad using (host, node))",
+    ]
+    return f"with {', '.join(sql)} select page_id, d.host, d.path, rule, coalesce(own, case when gone.host is not null then 'block' else 'allow' end) as verdict from d left join gone on gone.host = d.host and gone.leaf = d.leaf"
