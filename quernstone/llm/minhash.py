@@ -8,17 +8,21 @@ copies are linked without any pair, and every later step works on nodes.
 Signature. 128 minima; 32 coordinates of three minima each. For a pair with Jaccard
 similarity 0.75 a coordinate agrees with probability 0.42, so fewer than one in 10**7
 such pairs share none; the minima, kept as four bit planes, agree at about 98 of 128
-places, and fewer than one in 10**6 pairs agree at fewer than ``MATCHES`` = 75.
+places, and fewer than one in 10**6 pairs agree at fewer than ``MATCHES`` = 75. The fine
+signature misses as few, at about 784 of 1024 places and a threshold of 719.
 
 Join. Nodes are posted under each (coordinate, value). Lists with one node only are
 dropped before any pair is made (prefix), and lists whose nodes already lie in one
 component are skipped in every later round (skip merging), so a large group of near
 copies never becomes all its pairs:
 
-* two rounds link the nodes of each list to one leader (a different one each round);
-* the last round pairs what is left: nodes of one list in different components. The
-  match threshold on the minima and the size filter are part of the join condition,
-  so other pairs are never rows.
+* two rounds link the nodes of each list to one leader: first the node whose lists are
+  longest together (in a group of near copies, the one most like all others), then
+  another one;
+* the last round pairs what is left: nodes of one list in different components, once
+  for each pair, in the first list that they share. The size filter and the match
+  thresholds, on the minima and on 1024 finer ones that only these nodes get, are part
+  of the join condition, so other pairs are never rows.
 
 Every pair above the threshold is confirmed on the full sets,
 100 * |A & B| >= 75 * |A | B|. Components come from alternating stars. No list,
@@ -50,9 +54,13 @@ from quernstone.llm.components import star
 
 SHINGLE, PERCENT = 5, 75
 MINIMA, COORDINATES, ROWS, PLANES, MATCHES = 128, 32, 3, 4, 75
+#: Minima and match threshold of the fine signature, for the last round.
+FINE, FINE_MATCHES = 1024, 719
 #: Ids of candidate documents are broadcast up to this many rows (16 MB); beyond, the
 #: texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Orders nodes another way for the second round's leaders.
+SALT = 0x5DEECE66D1234567
 #: Words whose hashes a worker keeps.
 WORDS = 300_000
 
@@ -108,6 +116,14 @@ def node_of(found: Any) -> int:
     return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def bit_planes(low: Any) -> Any:
+    """The minima's four lowest mixed bits, plane by plane, as int64."""
+    import numpy as np
+
+    bits = mixed(low)
+    return np.concatenate([np.packbits(((bits >> np.uint64(k)) & np.uint64(1)).astype(np.uint8)).view(np.int64) for k in range(PLANES)])
+
+
 def signature(found: Any) -> tuple[Any, Any]:
     """Coordinates (int64 x 32) and bit planes of the minima (int64 x 8)."""
     import numpy as np
@@ -118,9 +134,7 @@ def signature(found: Any) -> tuple[Any, Any]:
         np.minimum(low, ((found[begin : begin + 1024, None] ^ masks) * factors).min(axis=0), out=low)
     parts = low[: COORDINATES * ROWS].reshape(COORDINATES, ROWS)
     coordinates = mixed((parts * more[:ROWS]).sum(axis=1, dtype=np.uint64) + np.arange(COORDINATES, dtype=np.uint64) * more[ROWS])
-    bits = mixed(low)
-    planes = [np.packbits(((bits >> np.uint64(k)) & np.uint64(1)).astype(np.uint8)).view(np.int64) for k in range(PLANES)]
-    return coordinates.view(np.int64), np.concatenate(planes)
+    return coordinates.view(np.int64), bit_planes(low)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -152,6 +166,27 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
+def fine_signatures(docs: DataFrame) -> DataFrame:
+    """node, fine: the bit planes of ``FINE`` further minima, once for each node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        draw = np.random.Generator(np.random.PCG64(7_002_042))
+        masks, factors = (draw.integers(0, 2**63, size=FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+        for batch in batches:
+            nodes, fine = [], []
+            for text in batch.column(0):
+                found, low = shingles(text.as_py()), np.full(FINE, np.iinfo(np.uint64).max, dtype=np.uint64)
+                for begin in range(0, len(found), 128):
+                    np.minimum(low, ((found[begin : begin + 128, None] ^ masks) * factors).min(axis=0), out=low)
+                nodes.append(node_of(found))
+                fine.append(bit_planes(low))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(fine, pa.list_(pa.int64()))], ["node", "fine"])
+
+    return docs.select("text").mapInArrow(run, "node long, fine array<long>")
+
+
 def sets_of(docs: DataFrame) -> DataFrame:
     """node, items: the full sets of ``docs``, once each."""
 
@@ -165,24 +200,39 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, items array<long>")
 
 
+def mismatches(x: list[Column], y: list[Column]) -> Column:
+    """Places where two signatures' minima differ, from their bit planes; JVM-side."""
+    words, total = len(x) // PLANES, F.lit(0)
+    for w in range(words):
+        differ = [x[k * words + w].bitwiseXOR(y[k * words + w]) for k in range(PLANES)]
+        total = total + F.bit_count(differ[0].bitwiseOR(differ[1]).bitwiseOR(differ[2]).bitwiseOR(differ[3]))
+    return total
+
+
 def alike(a: str, b: str, percent: int = PERCENT, matches: int = MATCHES) -> Column:
-    """The match threshold on the minima and the size filter, for two rows with bit
-    planes; JVM-side, 8 words each."""
-    differ = F.lit(0)
-    for half in range(MINIMA // 64):
-        words = [F.col(f"{a}.p{k * MINIMA // 64 + half}").bitwiseXOR(F.col(f"{b}.p{k * MINIMA // 64 + half}")) for k in range(PLANES)]
-        differ = differ + F.bit_count(words[0].bitwiseOR(words[1]).bitwiseOR(words[2]).bitwiseOR(words[3]))
+    """The size filter and the match threshold on the minima, for two rows."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ <= MINIMA - matches)
+    near = mismatches([F.col(f"{a}.{p}") for p in BITS], [F.col(f"{b}.{p}") for p in BITS]) <= MINIMA - matches
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & near
+
+
+def finely_alike(a: str, b: str, matches: int = FINE_MATCHES) -> Column:
+    planes = PLANES * FINE // 64
+    return mismatches([F.col(f"{a}.fine")[i] for i in range(planes)], [F.col(f"{b}.fine")[i] for i in range(planes)]) <= FINE - matches
+
+
+def texts_of_nodes(nodes: DataFrame, docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One document of each node. Its ids are broadcast if they are few."""
+    ids = found.select("doc_id", "node").join(nodes.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    ids = written(ids.select("doc_id"), "wanted")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, found: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Those of ``pairs`` (a, b: nodes) whose full sets are linked."""
     pairs = written(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    ids = written(found.select("doc_id", "node").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "wanted")
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = written(sets_of(docs.join(few, "doc_id", "left_semi")), "sets").dropDuplicates(["node"])
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    sets = written(sets_of(texts_of_nodes(wanted, docs, found)), "sets").dropDuplicates(["node"])
     size = F.size(F.array_intersect("x", "y"))
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
     both = both.select("a", "b", size.alias("same"), (F.size("x") + F.size("y")).alias("total"))
@@ -197,30 +247,47 @@ def linked(docs: DataFrame, found: DataFrame, percent: int = PERCENT) -> DataFra
     facts = written(
         found.join(live.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), *[F.first(b).alias(b) for b in BITS]), "facts"
     )
-    stars: DataFrame | None = None
-    for salt in (0, 0x5DEECE66D1234567, None):
-        at = live if stars is None else live.join(stars, "node", "left")
-        at = at.select("key", "node", F.coalesce(F.col("root") if stars is not None else F.lit(None), F.col("node")).alias("comp"))
-        if salt is None:
-            break
-        lead = at.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(F.lit(salt))).alias("lead"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-        pairs = at.join(lead.select("key", F.col("lead").bitwiseXOR(F.lit(salt)).alias("lead")), "key").where("node <> lead")
-        pairs = pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-        if stars is not None:
-            comp = stars.select("node", "root")
-            pairs = pairs.join(comp.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-            pairs = pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-        x, y = facts.alias("x"), facts.alias("y")
-        pairs = pairs.join(x, F.col("a") == F.col("x.node")).join(y, (F.col("b") == F.col("y.node")) & alike("x", "y", percent)).select("a", "b")
-        edges = confirmed(pairs, docs, found, percent)
-        stars = star(edges if stars is None else edges.unionByName(stars.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    sizes = live.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    fame = live.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("fame"))
+    fame = fame.select("node", (F.col("fame") * (1 << 20) + F.col("node").bitwiseAND(F.lit((1 << 20) - 1))).alias("fame"))
+    leads = live.join(fame, "node").groupBy("key").agg(F.max_by("node", "fame").alias("lead"))
+    pairs = live.join(leads, "key").where("node <> lead")
+    stars = star(starred(pairs, facts, docs, found, percent))
+    at = labelled(live, stars)
+    other = F.min(F.col("node").bitwiseXOR(F.lit(SALT))).bitwiseXOR(F.lit(SALT)).alias("lead")
+    leads = at.groupBy("key").agg(other, F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key", "lead")
+    leads = labelled(leads.withColumnRenamed("lead", "node"), stars).select("key", F.col("node").alias("lead"), F.col("comp").alias("lead_comp"))
+    pairs = at.join(leads, "key").where("comp <> lead_comp")
+    stars = star(starred(pairs, facts, docs, found, percent).unionByName(as_edges(stars)))
+    at = labelled(live, stars)
     mixed_lists = at.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-    rest = written(at.join(mixed_lists, "key", "left_semi").join(facts, "node"), "rest")
+    at = written(at.join(mixed_lists, "key", "left_semi"), "mixed")
+    fine = fine_signatures(texts_of_nodes(at, docs, found)).dropDuplicates(["node"])
+    coords = found.select("node", "coords").join(at.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    rest = written(at.join(facts.join(fine, "node").join(coords, "node"), "node"), "rest")
     x, y = rest.alias("x"), rest.alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
-    pairs = x.join(y, apart & alike("x", "y", percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    first = F.array_intersect("x.coords", "y.coords")[0] == F.col("x.key")
+    pairs = x.join(y, apart & alike("x", "y", percent) & finely_alike("x", "y") & first).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     edges = confirmed(pairs, docs, found, percent)
-    return star(edges.unionByName(stars.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    return star(edges.unionByName(as_edges(stars)))
+
+
+def labelled(rows: DataFrame, stars: DataFrame) -> DataFrame:
+    """``rows`` with the component of their node."""
+    return rows.join(stars, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+
+
+def as_edges(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
+def starred(pairs: DataFrame, facts: DataFrame, docs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links between nodes and their lists' leaders."""
+    pairs = pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+    x, y = facts.alias("x"), facts.alias("y")
+    pairs = pairs.join(x, F.col("a") == F.col("x.node")).join(y, (F.col("b") == F.col("y.node")) & alike("x", "y", percent)).select("a", "b")
+    return confirmed(pairs, docs, found, percent)
 
 
 def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
