@@ -3,7 +3,7 @@
 A text is cut before every space that stands between two characters that are not white
 space. Both vocabularies' own splitting patterns always begin a new word there, so the
 pieces' ids, joined, are the whole text's ids. A worker keeps the ids of pieces it has
-met (Zipf's law makes most of them hits); a full cache is emptied, which changes no
+met (Zipf's law makes most of them hits); what it drops changes no
 result. Very long texts cost memory for themselves only.
 """
 
@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces in a worker's cache.
+#: Pieces in each of the two generations of a worker's cache.
 CACHE_PIECES = 400_000
 
 #: White space other than space and line feed.
@@ -32,38 +33,44 @@ def cut(text: str) -> tuple[str, list[str]]:
 
 
 class PieceCache:
-    """``encode`` takes pieces and returns the ids of each as bytes (uint32, little-endian)."""
+    """``encode`` takes pieces and returns the ids of each as bytes (uint32, little-endian).
+
+    Two generations: a full one becomes the older one, whose pieces come back when they
+    are met again, and the one before it is dropped. So frequent pieces stay."""
+
+    before = " "
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = CACHE_PIECES):
-        self.encode, self.limit, self.known = encode, limit, {}
+        self.encode, self.limit, self.known, self.older = encode, limit, {}, {}
+
+    def joined(self, parts: list[str]) -> bytes:
+        known = self.known
+        if missing := set(parts).difference(known):
+            if len(known) + len(missing) > self.limit:
+                self.older, self.known = known, {}
+                known, missing = self.known, set(parts)
+            older = self.older
+            known.update([(p, older[p]) for p in missing if p in older])
+            if new := list(missing.difference(older)):
+                known.update(zip(new, self.encode([self.before + p for p in new]), strict=True))
+        return b"".join(map(known.__getitem__, parts))
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
         head, rest = cut(text)
-        known = self.known
-        if missing := list(set(rest).difference(known)):
-            if len(known) + len(missing) > self.limit:
-                known.clear()
-                missing = list(set(rest))
-            known.update(zip(missing, self.encode([" " + p for p in missing]), strict=True))
-        return b"".join([*self.encode([head]), *map(known.__getitem__, rest)])
+        return self.encode([head])[0] + self.joined(rest)
 
 
 class WordCache(PieceCache):
     """For a vocabulary that drops white space: pieces end at any space or line feed."""
 
+    before = ""
+
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        parts = [p for p in text.replace("\n", " ").split(" ") if p]
-        known = self.known
-        if missing := list(set(parts).difference(known)):
-            if len(known) + len(missing) > self.limit:
-                known.clear()
-                missing = list(set(parts))
-            known.update(zip(missing, self.encode(missing), strict=True))
-        return b"".join(map(known.__getitem__, parts))
+        return self.joined([p for p in text.replace("\n", " ").split(" ") if p])
 
 
 def tokenizer_path(name: str) -> str:
@@ -75,16 +82,29 @@ def tokenizer_path(name: str) -> str:
 @lru_cache(maxsize=4)
 def library_encoder(path: str, kind: type = PieceCache) -> PieceCache:
     """Pieces encoded by the tokenizers library with the vocabulary at ``path``."""
-    import numpy as np
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
 
+    special = {i: t.content for i, t in tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)}
+    mark, between = min(special.items(), default=(None, ""))
+
     def encode(pieces: list[str]) -> list[bytes]:
-        found = tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        # one call for all: pieces on either side of a special token don't meet
+        text = between.join(pieces)
+        if not between or text.count(between) != len(pieces) - 1:
+            return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        ids = tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        raw, begin, out = array("I", ids).tobytes(), 0, []
+        while True:
+            try:
+                end = ids.index(mark, begin)
+            except ValueError:
+                return [*out, raw[4 * begin :]]
+            out.append(raw[4 * begin : 4 * end])
+            begin = end + 1
 
     return kind(encode)
 
