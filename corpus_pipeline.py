@@ -5,8 +5,8 @@ written as Parquet and read again as the next stage's ``docs``. All stages but t
 return the columns of ``documents``. Each stage learns and counts on what its
 predecessor kept, whole.
 
-Rows whose doc_id is null can't be named by a decision on pairs or groups: the dedup
-stages keep them.
+The dedup stages decide on rows, not ids: a null or repeated doc_id neither saves a copy
+nor costs a text that has none.
 """
 
 from __future__ import annotations

@@ -49,10 +49,16 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(crc_mod(doc_id) == 0, F.lit(True))
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with one more column that numbers its rows, and that column's name, which
+    no other has. It is written, so that every later read sees the same numbers."""
+    row = "row_number"
+    while row in (c.lower() for c in docs.columns):
+        row += "_"
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
 def drop_rows(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``docs`` without the ids in ``dropped``; rows whose id is null stay, since
-    no decision can name them. A row that occurs again under an id already seen
-    is dropped too, but only where there is one, as this costs a shuffle."""
-    kept = docs.join(dropped.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti").select(docs.columns)
-    again = docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & F.col(key).isNotNull())
-    return kept.dropDuplicates([key]) if again.limit(1).count() else kept
+    """``docs`` without the rows whose ``key`` is in ``dropped``; rows whose key is null
+    stay. Where ids may be null or repeated, the key is the one of ``numbered``."""
+    return docs.join(dropped.select(key).where(F.col(key).isNotNull()), key, "left_anti").select(docs.columns)

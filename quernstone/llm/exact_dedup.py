@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import drop_rows, read, written
+from quernstone.llm.common import drop_rows, numbered, read, written
 
 #: Misra-Gries counters, and how many of the most frequent digests are taken from
 #: them. The second bounds the broadcast: 256 rows of about 60 bytes.
@@ -35,13 +35,13 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, " ")
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, sha (32 bytes), order (id with nulls last, then
-    a row number that sets equal rows apart)."""
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: Column | None = None) -> DataFrame:
+    """One row per input row: id, sha (32 bytes), row (a number that sets equal rows
+    apart; the caller's, if it has one)."""
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         F.unhex(F.sha2(normalised(F.col(text_col)).cast("binary"), 256)).alias("sha"),
-        F.monotonically_increasing_id().alias("row"),
+        (F.monotonically_increasing_id() if row is None else row).alias("row"),
     )
     return written(rows, "digests")
 
@@ -53,7 +53,7 @@ def frequent(rows: DataFrame, tracked: int = TRACKED, heavy: int = HEAVY) -> Dat
 
 
 def exact_groups(rows: DataFrame, tracked: int = TRACKED, heavy: int = HEAVY) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, sha for every row of ``digests``."""
+    """doc_id, keep_id, group_size, kept, sha, row for every row of ``digests``."""
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
     keyed = rows.withColumn("order", order)
     hot = F.broadcast(frequent(rows, tracked, heavy))
@@ -64,7 +64,7 @@ def exact_groups(rows: DataFrame, tracked: int = TRACKED, heavy: int = HEAVY) ->
         .where("group_size > 1")
     )
     winners = written(winners, "winners")
-    out = ["doc_id", F.col("first.id").alias("keep_id"), "group_size", (F.col("first") == F.col("order")).alias("kept"), "sha"]
+    out = ["doc_id", F.col("first.id").alias("keep_id"), "group_size", (F.col("first") == F.col("order")).alias("kept"), "sha", "row"]
     seen = keyed.join(F.broadcast(winners), "sha")
     rest = keyed.join(F.broadcast(winners.select("sha")), "sha", "left_anti")
     same = Window.partitionBy("sha")
@@ -78,8 +78,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of equal texts."""
-    return drop_rows(docs, exact_groups(digests(docs)).where("not kept and doc_id <> keep_id"))
+    """``docs`` with one row of each group of equal texts. Rows are dropped by number, so
+    ids may be null or repeated."""
+    rows, row = numbered(docs)
+    copies = exact_groups(digests(rows, row=F.col(row))).where("not kept").select(F.col("row").alias(row))
+    return drop_rows(rows, copies, row).select(docs.columns)
 
 
 ORACLE = r"""

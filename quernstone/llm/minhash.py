@@ -35,7 +35,7 @@ with the share of its nodes falling with the cube of the passage's share of the
 Edge cases: null and empty texts have no set (n_shingles 0) and are linked with nothing;
 a null id takes no part: its row keeps its own, null, component and is kept; rows with
 an equal id are one document in the result only if they are equal in set, else one row
-each; an empty table gives an empty result; other columns are ignored.
+each (``drop_near_copies`` groups row numbers instead of ids, so there every row takes part); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import drop_rows, read, written
+from quernstone.llm.common import numbered, read, written
 from quernstone.llm.components import star
 
 SHINGLE, PERCENT = 5, 75
@@ -308,8 +308,13 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with the first document of each group of near duplicates."""
-    return drop_rows(docs, near_groups(docs).where("not kept"))
+    """``docs`` with the first document (smallest id, null last) of each group of near
+    duplicates. Groups are made of row numbers, so ids may be null or repeated."""
+    rows, row = numbered(docs)
+    groups = near_groups(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
+    first = rows.select(row, "doc_id").join(groups, row).groupBy("component_id").agg(F.min(order).alias("first"))
+    return rows.join(first.select(F.col("first.row").alias(row)), row, "left_semi").select(docs.columns)
 
 
 ORACLE = r"""

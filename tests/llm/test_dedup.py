@@ -97,3 +97,21 @@ def test_drop_rows_keeps_null_ids(spark, docs):
     gone = spark.createDataFrame([(4,), (None,)], "doc_id long")
     assert sorted(str(r[0]) for r in drop_rows(docs, gone).select("doc_id").collect()) == sorted(map(str, [1, 2, 3, 5, 6, 7, 8, 9, None]))
     assert F is not None
+
+
+def long_text(seed):
+    return " ".join(f"{seed}w{i}" for i in range(80))
+
+
+@pytest.mark.parametrize("drop", [exact_dedup.drop_copies, minhash.drop_near_copies])
+def test_rows_are_dropped_not_ids(spark, drop):
+    alone = [(None, long_text(f"n{i}")) for i in range(6)]
+    rows = [*alone, (7, long_text("own")), (7, long_text("copy")), (3, long_text("copy")), (None, long_text("copy")), (9, long_text("twice")), (9, long_text("twice"))]
+    kept = [tuple(r) for r in drop(spark.createDataFrame(rows, ROWS)).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [*alone, (7, long_text("own")), (3, long_text("copy")), (9, long_text("twice"))]))
+
+
+def test_near_copies_without_ids_are_dropped(spark):
+    rows = [(None, long_text("a")), (None, long_text("a") + " more"), (2, long_text("b") + " more"), (None, long_text("b")), (1, None), (None, None)]
+    kept = [tuple(r) for r in minhash.drop_near_copies(spark.createDataFrame(rows, ROWS)).collect()]
+    assert len(kept) == 4 and (2, rows[2][1]) in kept and kept.count((None, None)) == 1 and (1, None) in kept
