@@ -152,7 +152,7 @@ def thread_budget(spark, sf_dir):
 
 
 def embedding_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.embedding_text(F.col("lang"), F.substring("text", 1, 100)).alias("embedded"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.embedding_text(F.col("lang"), F.col("text")).alias("embedded"))
 
 
 def format_duration(spark, sf_dir):
