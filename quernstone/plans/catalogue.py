@@ -1,7 +1,7 @@
 """The query catalogue: each operator on the driver's tables, with the same query in SQL.
 
 The tables stand in for the engine's own: ``embeddings`` for index points and queries
-(queries are the rows with vec_id below 50, a stated set), ``conversations`` for threads,
+(queries are the rows whose vec_id is divisible by 50, so they grow with the table), ``conversations`` for threads,
 ``documents`` for parsed records, ``pages`` for HTML bodies, ``events`` for model calls,
 JSON answers and upserts, the star schema for the relational export.
 """
@@ -18,7 +18,7 @@ from quernstone.functions.ids import uuid5
 from quernstone.operators import evaluate, export, index, quality, sampling, search, validate
 from quernstone.streaming.incremental import activity
 
-K, QUERIES, MIN_SCORE = 5, 50, 0.30
+K, EVERY, MIN_SCORE = 5, 50, 0.30
 #: Escape phrases for the four languages of ``documents``.
 PHRASES = ("the", "les", "und", "que")
 VOCABULARY = ("view", "click", "purchase")
@@ -37,7 +37,7 @@ def vectors(spark: SparkSession, sf_dir: str, part: Column | None = None) -> Dat
 
 
 def asked(corpus: DataFrame) -> DataFrame:
-    return corpus.where(F.col("id") < QUERIES)
+    return corpus.where(F.col("id") % EVERY == 0)
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
