@@ -10,34 +10,71 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of a small table's file; rows that a key may have in one task; bound on the keys
+#: that are broadcast to be spread.
+FILE_ROWS, HOT_ROWS, HOT_KEYS = 200_000, 1_000, 10_000
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of
-    the session. Only where it is unset (local tests) a temporary one is made."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the
+    session. Only a local master may leave it unset (tests): one is made then."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quernstone-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+#: Intermediate tables that this process has named, for ``drop_tables``.
+MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quernstone/{name}-{uuid.uuid4().hex}"
+    MADE.append(f"{shared_dir(spark)}/quernstone/{name}-{uuid.uuid4().hex}")
+    return MADE[-1]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def drop_tables(spark: SparkSession, since: int) -> None:
+    """Deletes the intermediate tables named after the first ``since``; for a caller that
+    has written the result which was made from them."""
+    for path in MADE[since:]:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    del MADE[since:]
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """``df`` as a table in the shared folder: its lineage ends there, so a lost
-    executor costs a re-read, not a recomputation."""
+    executor costs a re-read, not a recomputation. ``rows``: about how many there are,
+    if that is known, so that few rows become few files."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(1 + rows // FILE_ROWS)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], sizes: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``facts`` (one row for each key), whatever the keys' shares.
+    ``sizes`` has the keys and ``size``, their number of rows. A key above the line (one
+    in ``HOT_KEYS`` of all rows) is dealt to blocks by the hash of column ``by``, and its
+    row of ``facts`` is repeated for each. So fewer than ``HOT_KEYS`` keys are broadcast."""
+    total, most = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
+    line = max(HOT_ROWS, total // HOT_KEYS)
+    if most <= line:
+        return rows.join(facts, keys, how)
+    hot = F.broadcast(sizes.where(F.col("size") > line).select(*keys, F.ceil(F.col("size") / line).cast("int").alias("__blocks")))
+    dealt = rows.join(hot, keys, "left").withColumn("__block", F.coalesce(F.pmod(F.xxhash64(by), "__blocks"), F.lit(0)).cast("int")).drop("__blocks")
+    repeated = facts.join(hot, keys, "left").withColumn("__block", F.explode(F.sequence(F.lit(0), F.coalesce("__blocks", F.lit(1)) - 1))).drop("__blocks")
+    return dealt.join(repeated, [*keys, "__block"], how).drop("__block")
+
+
 def crc_mod(doc_id: str = "doc_id", mod: int = 5) -> Column:
     """crc32 of the id written as decimal text, modulo ``mod``."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod

@@ -1,13 +1,21 @@
-"""Connected components of an edge table by alternating large-star and small-star
-steps, each written to the shared folder; no step holds a component in one task's
-memory, and minima combine before the shuffle."""
+"""Connected components of an edge table by alternating large-star and small-star steps,
+each written to the shared folder.
+
+An edge is (node, root) with root < node. Large star: each node's root becomes the
+smallest root of that root. Small star: a node's roots are linked with the smallest one.
+The smallest roots are found by a minimum that combines before the shuffle. They meet the
+edges by a broadcast if the edges are few (counted), else by a join that spreads nodes
+with very many edges, so no task holds a hub's neighbours."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import written
+from quernstone.llm.common import spread_join, written
+
+#: Edges whose smallest roots are broadcast (at most 16 MB).
+FEW = 500_000
 
 
 def star(edges: DataFrame) -> DataFrame:
@@ -17,16 +25,25 @@ def star(edges: DataFrame) -> DataFrame:
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("node", "root"))).first())
 
+    def least(e: DataFrame) -> DataFrame:
+        return e.groupBy("node").agg(F.min("root").alias("low"))
+
+    def meet(e: DataFrame, low: DataFrame, column: str, n: int) -> DataFrame:
+        """``e`` with ``low`` of the node in ``column``, null if it has none."""
+        low = low.withColumnRenamed("node", column)
+        if n <= FEW:
+            return e.join(F.broadcast(low), column, "left")
+        return spread_join(e, low, [column], e.groupBy(column).agg(F.count(F.lit(1)).alias("size")), by="node" if column == "root" else "root", how="left")
+
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).distinct()
-    e = written(e, "edges")
+    e = written(e, "edges", edges.count())
     seen = mark(e)
     while seen[0]:
-        both = e.unionByName(e.select(F.col("root").alias("node"), F.col("node").alias("root")))
-        low = both.groupBy("node").agg(F.min("root").alias("low")).select("node", F.least("node", "low").alias("low"))
-        large = both.join(low, "node").where("root > node").select(F.col("root").alias("node"), F.col("low").alias("root")).distinct()
-        least = large.groupBy("node").agg(F.min("root").alias("low"))
-        small = large.join(least, "node").where("root <> low").select(F.col("root").alias("node"), F.col("low").alias("root"))
-        e = written(small.unionByName(least.select("node", F.col("low").alias("root"))).distinct(), "edges")
+        n = seen[0]
+        large = meet(e, least(e), "root", n).select("node", F.coalesce("low", "root").alias("root"))
+        low = least(large)
+        small = meet(large, low, "node", n).where("root <> low").select(F.col("root").alias("node"), F.col("low").alias("root"))
+        e = written(small.unionByName(low.select("node", F.col("low").alias("root"))).distinct(), "edges", n)
         now = mark(e)
         if now == seen:
             break

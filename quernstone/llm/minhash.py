@@ -2,40 +2,44 @@
 
 Sets. A text is lower-cased (A-Z) and cut into words at ASCII white space; its set is
 its distinct shingles of five words (as 64-bit hashes), or the whole sequence where it
-has fewer. Documents with equal sets are one *node* (64 bits of the set's digest), so
+has fewer. Documents with equal sets (128 bits of the set's digest) are one *node*, so
 copies are linked without any pair, and every later step works on nodes.
 
-Signature. 128 minima; 32 coordinates of three minima each. For a pair with Jaccard
-similarity 0.75 a coordinate agrees with probability 0.42, so fewer than one in 10**7
-such pairs share none; the minima, kept as four bit planes, agree at about 98 of 128
-places, and fewer than one in 10**6 pairs agree at fewer than ``MATCHES`` = 75. The fine
-signature misses as few, at about 784 of 1024 places and a threshold of 719.
-
-Join. Nodes are posted under each (coordinate, value). Lists with one node only are
-dropped before any pair is made (prefix), and lists whose nodes already lie in one
-component are skipped in every later round (skip merging), so a large group of near
-copies never becomes all its pairs:
-
-* two rounds link the nodes of each list to one leader: first the node whose lists are
-  longest together (in a group of near copies, the one most like all others), then
-  another one;
-* the last round pairs what is left: nodes of one list in different components, once
-  for each pair, in the first list that they share. The size filter and the match
-  thresholds, on the minima and on 1024 finer ones that only these nodes get, are part
-  of the join condition, so other pairs are never rows.
-
-Every pair above the threshold is confirmed on the full sets,
-100 * |A & B| >= 75 * |A | B|. Components come from alternating stars. No list,
-bucket or group has a cap.
-
-Cost: the last round compares a list's nodes with each other where they are not in one
-component yet. A passage shared by many otherwise different documents makes such lists,
-with the share of its nodes falling with the cube of the passage's share of the texts.
+Signature. ``COORDINATES`` = 64 minima, each named by its place and value. A pair with
+Jaccard similarity 0.75 agrees at 48 places on average, and at fewer than ``MATCHES`` =
+30 with a probability of 4 in 10**7: pairs that share fewer coordinates are no candidates.
+
+Join. Nodes are posted under each coordinate-value pair.
+
+* Prefix: a node's coordinates are ordered by the length of their lists, shortest first.
+  Two nodes that share ``MATCHES`` coordinates share one of the first
+  ``COORDINATES - MATCHES + 1`` of both, so only these are posted; lists of one node need
+  no posting, and a node with fewer than ``MATCHES`` other coordinates drops out. A
+  passage that very many documents share has the longest lists, which come last: they
+  are merged only for texts that consist of the passage by about half or more.
+* Skip merging: the lists are merged in two rounds. In the first each list is met by two
+  leaders only (the node whose lists are longest together, which in a group of near copies
+  is the one most like all others, and one by hash). Lists whose nodes then lie in one
+  component are skipped in the second round, as are pairs inside a component, so a large
+  group of near copies never becomes all its pairs. The second round merges what is left,
+  whole; long lists are dealt to blocks.
+* Counting: shared coordinates are counted over the whole signatures; pairs with at least
+  ``MATCHES`` are confirmed on their full sets, 100 * |A & B| >= 75 * |A | B|. Before a pair
+  of the second round becomes a row, four bits of each coordinate give an upper bound of
+  its count.
+
+Components come from alternating stars. No list, bucket or group has a cap. Keys with
+more than a share of all rows are spread over blocks in every join (``spread_join``).
+
+Cost: the second round compares nodes of one prefix list that lie in different components.
+Very many different documents that consist mostly (by half or more) of one passage, yet
+are less than 75 % alike, are compared pair by pair.
 
 Edge cases: null and empty texts have no set (n_shingles 0) and are linked with nothing;
 a null id takes no part: its row keeps its own, null, component and is kept; rows with
 an equal id are one document in the result only if they are equal in set, else one row
-each (``drop_near_copies`` groups row numbers instead of ids, so there every row takes part); an empty table gives an empty result; other columns are ignored.
+each (``drop_near_copies`` groups row numbers instead of ids, so there every row takes
+part); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,22 +53,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import numbered, read, written
+from quernstone.llm.common import numbered, read, spread_join, written
 from quernstone.llm.components import star
 
 SHINGLE, PERCENT = 5, 75
-MINIMA, COORDINATES, ROWS, PLANES, MATCHES = 128, 32, 3, 4, 75
-#: Minima and match threshold of the fine signature, for the last round.
-FINE, FINE_MATCHES = 1024, 719
-#: Ids of candidate documents are broadcast up to this many rows (16 MB); beyond, the
+COORDINATES, MATCHES, PLANES = 64, 30, 4
+#: Nodes of a list that meet in one task, with as many others.
+BLOCK = 512
+#: Ids of candidate documents are broadcast up to this many rows (8 MB); beyond, the
 #: texts are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
-#: Orders nodes another way for the second round's leaders.
+BROADCAST_IDS = 500_000
+#: Orders nodes another way for the second leader.
 SALT = 0x5DEECE66D1234567
 #: Words whose hashes a worker keeps.
 WORDS = 300_000
 
-BITS = [f"p{i}" for i in range(PLANES * MINIMA // 64)]
+BITS = [f"p{i}" for i in range(PLANES)]
 
 
 class WordHashes(dict):
@@ -77,12 +81,12 @@ class WordHashes(dict):
 
 @lru_cache(maxsize=1)
 def constants() -> tuple[Any, ...]:
-    """Random odd factors and masks, the same in every process."""
+    """Random odd masks, factors and shingle factors, the same in every process."""
     import numpy as np
 
     draw = np.random.Generator(np.random.PCG64(20_240_607))
-    numbers = draw.integers(0, 2**63, size=2 * MINIMA + 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return numbers[:MINIMA], numbers[MINIMA : 2 * MINIMA], numbers[2 * MINIMA :], WordHashes()
+    numbers = draw.integers(0, 2**63, size=2 * COORDINATES + 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return numbers[:COORDINATES, None], numbers[COORDINATES : 2 * COORDINATES, None], numbers[2 * COORDINATES :], WordHashes()
 
 
 def mixed(x: Any) -> Any:
@@ -112,194 +116,170 @@ def shingles(text: str | None) -> Any:
     return np.unique(mixed(total))
 
 
-def node_of(found: Any) -> int:
-    return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
+def digest(found: Any) -> tuple[int, int]:
+    """128 bits of a set's digest, as two int64."""
+    raw = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
-def bit_planes(low: Any) -> Any:
-    """The minima's four lowest mixed bits, plane by plane, as int64."""
+def signature(found: Any) -> Any:
+    """The coordinates (int64) of a set that is not empty: each minimum with its place."""
     import numpy as np
 
-    bits = mixed(low)
-    return np.concatenate([np.packbits(((bits >> np.uint64(k)) & np.uint64(1)).astype(np.uint8)).view(np.int64) for k in range(PLANES)])
+    masks, factors, _, _ = constants()
+    low = np.full(COORDINATES, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for begin in range(0, len(found), 512):
+        part = np.bitwise_xor(found[None, begin : begin + 512], masks)
+        part *= factors
+        np.minimum(low, part.min(axis=1), out=low)
+    return mixed(low + np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def signature(found: Any) -> tuple[Any, Any]:
-    """Coordinates (int64 x 32) and bit planes of the minima (int64 x 8)."""
+def bit_planes(coordinates: Any) -> list[int]:
+    """The coordinates' four lowest bits, plane by plane, as int64."""
     import numpy as np
 
-    factors, masks, more, _ = constants()
-    low = np.full(MINIMA, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for begin in range(0, len(found), 1024):
-        np.minimum(low, ((found[begin : begin + 1024, None] ^ masks) * factors).min(axis=0), out=low)
-    parts = low[: COORDINATES * ROWS].reshape(COORDINATES, ROWS)
-    coordinates = mixed((parts * more[:ROWS]).sum(axis=1, dtype=np.uint64) + np.arange(COORDINATES, dtype=np.uint64) * more[ROWS])
-    return coordinates.view(np.int64), bit_planes(low)
+    return [int(np.packbits((coordinates >> k & 1).astype(np.uint8)).view(np.int64)[0]) for k in range(PLANES)]
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), node, coords, p0 .. p7; the last three null for empty sets."""
+    """doc_id, n (set size), d1, d2 (digest), coords, p0 .. p3; null but for n if the set
+    is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
+        names = ["doc_id", "n", "d1", "d2", "coords", *BITS]
         for batch in batches:
-            n, nodes, coords, planes = [], [], [], []
-            texts = batch.column(1)
-            for i in range(batch.num_rows):
-                found = shingles(texts[i].as_py())
-                n.append(len(found))
-                if not len(found):
-                    nodes.append(None)
-                    coords.append(None)
-                    planes.append([None] * len(BITS))
-                    continue
-                c, p = signature(found)
-                nodes.append(node_of(found))
-                coords.append(c)
-                planes.append(p.tolist())
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(coords, pa.list_(pa.int64()))]
-            columns += [pa.array([p[k] for p in planes], pa.int64()) for k in range(len(BITS))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "node", "coords", *BITS])
-
-    schema = "doc_id long, n long, node long, coords array<long>, " + ", ".join(f"{b} long" for b in BITS)
+            for begin in range(0, batch.num_rows, 1024):
+                part, rows = batch.slice(begin, 1024), []
+                texts = part.column(1)
+                for i in range(part.num_rows):
+                    found = shingles(texts[i].as_py())
+                    if not len(found):
+                        rows.append((0, None, None, None, *[None] * PLANES))
+                        continue
+                    coords = signature(found)
+                    rows.append((len(found), *digest(found), coords, *bit_planes(coords)))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.int64()] * PLANES]
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names)
+
+    schema = "doc_id long, n long, d1 long, d2 long, coords array<long>, " + ", ".join(f"{b} long" for b in BITS)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def fine_signatures(docs: DataFrame) -> DataFrame:
-    """node, fine: the bit planes of ``FINE`` further minima, once for each node."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        draw = np.random.Generator(np.random.PCG64(7_002_042))
-        masks, factors = (draw.integers(0, 2**63, size=FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
-        for batch in batches:
-            nodes, fine = [], []
-            for text in batch.column(0):
-                found, low = shingles(text.as_py()), np.full(FINE, np.iinfo(np.uint64).max, dtype=np.uint64)
-                for begin in range(0, len(found), 128):
-                    np.minimum(low, ((found[begin : begin + 128, None] ^ masks) * factors).min(axis=0), out=low)
-                nodes.append(node_of(found))
-                fine.append(bit_planes(low))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(fine, pa.list_(pa.int64()))], ["node", "fine"])
-
-    return docs.select("text").mapInArrow(run, "node long, fine array<long>")
-
-
 def sets_of(docs: DataFrame) -> DataFrame:
-    """node, items: the full sets of ``docs``, once each."""
+    """d1, d2, items: the full sets of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0)
             for begin in range(0, batch.num_rows, 256):
-                found = [shingles(texts[i].as_py()) for i in range(begin, min(begin + 256, batch.num_rows))]
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in found], pa.int64()), pa.array([s.view("int64") for s in found], pa.list_(pa.int64()))], ["node", "items"])
+                found = [shingles(t.as_py()) for t in batch.column(0).slice(begin, 256)]
+                names = [digest(s) for s in found]
+                columns = [pa.array([d[k] for d in names], pa.int64()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([s.view("int64") for s in found], pa.list_(pa.int64()))], ["d1", "d2", "items"])
 
-    return docs.select("text").mapInArrow(run, "node long, items array<long>")
+    return docs.select("text").mapInArrow(run, "d1 long, d2 long, items array<long>")
 
 
-def mismatches(x: list[Column], y: list[Column]) -> Column:
-    """Places where two signatures' minima differ, from their bit planes; JVM-side."""
-    words, total = len(x) // PLANES, F.lit(0)
-    for w in range(words):
-        differ = [x[k * words + w].bitwiseXOR(y[k * words + w]) for k in range(PLANES)]
-        total = total + F.bit_count(differ[0].bitwiseOR(differ[1]).bitwiseOR(differ[2]).bitwiseOR(differ[3]))
-    return total
+def close_in_size(x: Column, y: Column, percent: int = PERCENT) -> Column:
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
-def alike(a: str, b: str, percent: int = PERCENT, matches: int = MATCHES) -> Column:
-    """The size filter and the match threshold on the minima, for two rows."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    near = mismatches([F.col(f"{a}.{p}") for p in BITS], [F.col(f"{b}.{p}") for p in BITS]) <= MINIMA - matches
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & near
+def may_match(a: str, b: str, matches: int = MATCHES) -> Column:
+    """An upper bound of two rows' shared coordinates, from their bit planes, reaches
+    ``matches``."""
+    differ = F.lit(0).cast("long")
+    for p in BITS:
+        differ = differ.bitwiseOR(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}")))
+    return COORDINATES - F.bit_count(differ) >= matches
 
 
-def finely_alike(a: str, b: str, matches: int = FINE_MATCHES) -> Column:
-    planes = PLANES * FINE // 64
-    return mismatches([F.col(f"{a}.fine")[i] for i in range(planes)], [F.col(f"{b}.fine")[i] for i in range(planes)]) <= FINE - matches
+def viable(nodes: DataFrame, matches: int = MATCHES) -> DataFrame:
+    """Nodes that can have a partner, with ``fame`` (length of all their lists) and
+    ``prefix`` (coordinates to post)."""
+    posted = nodes.select("node", F.explode("coords").alias("key"))
+    counts = written(posted.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "lists")
+    lists = F.sort_array(F.collect_list(F.struct("size", "key"))).alias("lists")  # at most COORDINATES entries
+    ordered = spread_join(posted, counts, ["key"], counts, by="node").groupBy("node").agg(lists).where(F.size("lists") >= matches)
+    prefix = F.slice("lists", F.lit(1), F.size("lists") - (matches - 1))
+    fame = F.aggregate("lists", F.lit(0).cast("long"), lambda s, x: s + x["size"])
+    # equally famous nodes are set apart by their number's low bits
+    fame = F.shiftleft(fame, 20) + F.col("node").bitwiseAND(F.lit((1 << 20) - 1))
+    return ordered.select("node", fame.alias("fame"), prefix["key"].alias("prefix")).join(nodes, "node")
 
 
-def texts_of_nodes(nodes: DataFrame, docs: DataFrame, found: DataFrame) -> DataFrame:
-    """One document of each node. Its ids are broadcast if they are few."""
-    ids = found.select("doc_id", "node").join(nodes.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    ids = written(ids.select("doc_id"), "wanted")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+def sets_for(live: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, n, coords, items of the nodes in ``live``, from one document of each."""
+    ids = written(live.select("doc_id"), "wanted")
+    texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    return live.select("node", "n", "d1", "d2", "coords").join(sets_of(texts).dropDuplicates(["d1", "d2"]), ["d1", "d2"]).drop("d1", "d2")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, found: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of ``pairs`` (a, b: nodes) whose full sets are linked."""
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, matches: int = MATCHES) -> DataFrame:
+    """Those of ``pairs`` (a, b: nodes) that share enough coordinates and whose full sets
+    are linked. b may stand in very many pairs."""
     pairs = written(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
-    sets = written(sets_of(texts_of_nodes(wanted, docs, found)), "sets").dropDuplicates(["node"])
-    size = F.size(F.array_intersect("x", "y"))
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
-    both = both.select("a", "b", size.alias("same"), (F.size("x") + F.size("y")).alias("total"))
+    x = sets.select(F.col("node").alias("a"), F.col("n").alias("xn"), F.col("coords").alias("xc"), F.col("items").alias("x"))
+    y = sets.select(F.col("node").alias("b"), F.col("n").alias("yn"), F.col("coords").alias("yc"), F.col("items").alias("y"))
+    both = spread_join(pairs, y, ["b"], pairs.groupBy("b").agg(F.count(F.lit(1)).alias("size")), by="a").join(x, "a")
+    both = both.where(close_in_size(F.col("xn"), F.col("yn"), percent) & (F.size(F.array_intersect("xc", "yc")) >= matches))
+    both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("same"), (F.col("xn") + F.col("yn")).alias("total"))
     return both.where(100 * F.col("same") >= percent * (F.col("total") - F.col("same"))).select("a", "b")
 
 
-def linked(docs: DataFrame, found: DataFrame, percent: int = PERCENT) -> DataFrame:
+def led(live: DataFrame) -> DataFrame:
+    """(a, b): the nodes of each posted list with the list's two leaders, b."""
+    posted = live.select("node", "fame", F.explode("prefix").alias("key"))
+    salted = F.min(F.col("node").bitwiseXOR(F.lit(SALT))).bitwiseXOR(F.lit(SALT))
+    lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max_by("node", "fame").alias("first"), salted.alias("second")).where("size > 1")
+    lists = written(lists, "leads")
+    pairs = spread_join(posted.select("node", "key"), lists, ["key"], lists, by="node")
+    pairs = pairs.select(F.col("node").alias("a"), F.explode(F.array("first", "second")).alias("b")).where("a <> b")
+    return pairs.distinct()
+
+
+def merged(live: DataFrame, stars: DataFrame, percent: int = PERCENT, matches: int = MATCHES) -> DataFrame:
+    """(a, b), a < b: pairs from different components in lists that are not skipped."""
+    at = live.select("node", "n", *BITS, "prefix").join(stars, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    posted = at.select("node", "n", *BITS, "comp", F.explode("prefix").alias("key"))
+    lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key", "size")
+    lists = written(lists, "mixed-lists")
+    rest = written(spread_join(posted, lists, ["key"], lists, by="node"), "mixed")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    x = rest.withColumn("part", F.pmod(F.xxhash64("node"), blocks).cast("int")).alias("x")
+    y = rest.withColumn("part", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("y")
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
+    found = x.join(y, apart & close_in_size(F.col("x.n"), F.col("y.n"), percent) & may_match("x", "y", matches))
+    return found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def linked(nodes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, root) of all nodes that are linked with a smaller one."""
-    posted = found.where("node is not null").select("node", F.explode("coords").alias("key"))
-    lists = posted.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
-    live = written(posted.join(lists, "key", "left_semi").distinct(), "postings")
-    facts = written(
-        found.join(live.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), *[F.first(b).alias(b) for b in BITS]), "facts"
-    )
-    sizes = live.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    fame = live.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("fame"))
-    fame = fame.select("node", (F.col("fame") * (1 << 20) + F.col("node").bitwiseAND(F.lit((1 << 20) - 1))).alias("fame"))
-    leads = live.join(fame, "node").groupBy("key").agg(F.max_by("node", "fame").alias("lead"))
-    pairs = live.join(leads, "key").where("node <> lead")
-    stars = star(starred(pairs, facts, docs, found, percent))
-    at = labelled(live, stars)
-    other = F.min(F.col("node").bitwiseXOR(F.lit(SALT))).bitwiseXOR(F.lit(SALT)).alias("lead")
-    leads = at.groupBy("key").agg(other, F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key", "lead")
-    leads = labelled(leads.withColumnRenamed("lead", "node"), stars).select("key", F.col("node").alias("lead"), F.col("comp").alias("lead_comp"))
-    pairs = at.join(leads, "key").where("comp <> lead_comp")
-    stars = star(starred(pairs, facts, docs, found, percent).unionByName(as_edges(stars)))
-    at = labelled(live, stars)
-    mixed_lists = at.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-    at = written(at.join(mixed_lists, "key", "left_semi"), "mixed")
-    fine = fine_signatures(texts_of_nodes(at, docs, found)).dropDuplicates(["node"])
-    coords = found.select("node", "coords").join(at.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    rest = written(at.join(facts.join(fine, "node").join(coords, "node"), "node"), "rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
-    first = F.array_intersect("x.coords", "y.coords")[0] == F.col("x.key")
-    pairs = x.join(y, apart & alike("x", "y", percent) & finely_alike("x", "y") & first).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    edges = confirmed(pairs, docs, found, percent)
-    return star(edges.unionByName(as_edges(stars)))
-
-
-def labelled(rows: DataFrame, stars: DataFrame) -> DataFrame:
-    """``rows`` with the component of their node."""
-    return rows.join(stars, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-
-
-def as_edges(stars: DataFrame) -> DataFrame:
-    return stars.select(F.col("node").alias("a"), F.col("root").alias("b"))
-
-
-def starred(pairs: DataFrame, facts: DataFrame, docs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links between nodes and their lists' leaders."""
-    pairs = pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-    x, y = facts.alias("x"), facts.alias("y")
-    pairs = pairs.join(x, F.col("a") == F.col("x.node")).join(y, (F.col("b") == F.col("y.node")) & alike("x", "y", percent)).select("a", "b")
-    return confirmed(pairs, docs, found, percent)
+    live = written(viable(nodes), "live")
+    sets = written(sets_for(live, docs), "sets")
+    edges = written(confirmed(led(live), sets, percent), "links")
+    stars = star(edges)
+    more = written(confirmed(merged(live, stars, percent), sets, percent), "links")
+    return star(more.unionByName(stars.select(F.col("node").alias("a"), F.col("root").alias("b")))) if more.limit(1).count() else stars
 
 
 def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     found = written(signatures(docs), "signatures")
-    known = found.where("doc_id is not null")
-    roots = linked(docs, known, percent)
-    rows = known.select("doc_id", F.col("n").alias("n_shingles"), "node").where("node is not null")
-    rows = rows.join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("group"))
-    least = rows.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    rows = rows.join(least, "group").select("doc_id", "n_shingles", "component_id")
-    alone = found.where("doc_id is null or node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    known = found.where("doc_id is not null and d1 is not null")
+    one = [F.first(c).alias(c) for c in ("n", "coords", *BITS)]
+    nodes = known.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("doc_id"), *one)
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    roots = linked(nodes, docs.select(F.col("doc_id").cast("long"), "text"), percent)
+    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    least = members.join(nodes.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"))
+    least = written(least, "least")
+    labels = spread_join(members, least.select("root", "least"), ["root"], least, by="node").select("node", "least")
+    labels = nodes.select("d1", "d2", "node", "size", "doc_id").join(labels, "node", "left").where("size > 1 or least is not null")
+    labels = written(labels.select("d1", "d2", "size", F.coalesce("least", "doc_id").alias("component_id")), "labels")
+    rows = spread_join(known.select("doc_id", "n", "d1", "d2"), labels.drop("size"), ["d1", "d2"], labels, by="doc_id", how="left")
+    rows = rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    alone = found.where("doc_id is null or d1 is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return rows.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

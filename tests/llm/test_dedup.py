@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.llm import exact_dedup, minhash
+from quernstone.llm import common, components, exact_dedup, minhash
 from quernstone.llm.common import drop_rows
 
 ROWS = "doc_id long, text string"
@@ -84,13 +84,58 @@ def test_near_edges(spark, docs, empty):
     assert minhash.drop_near_copies(docs).columns == docs.columns
 
 
-def test_signature_estimates_similarity():
+def test_signature_counts_similarity():
     a, b = minhash.shingles(" ".join(f"w{i}" for i in range(400))), minhash.shingles(" ".join(f"w{i}" for i in range(40, 400)))
-    (ca, pa_), (cb, pb) = minhash.signature(a), minhash.signature(b)
-    assert len(ca) == minhash.COORDINATES and (ca == cb).any()
-    half = minhash.MINIMA // 64
-    differ = sum(bin(int(x) & (2**64 - 1)).count("1") for x in [__import__("functools").reduce(lambda u, k: u | (int(pa_[k * half + h]) ^ int(pb[k * half + h])), range(minhash.PLANES), 0) for h in range(half)])
-    assert minhash.MINIMA - differ >= minhash.MATCHES
+    ca, cb = minhash.signature(a), minhash.signature(b)
+    same = len(set(ca.tolist()) & set(cb.tolist()))
+    assert len(ca) == minhash.COORDINATES and same == int((ca == cb).sum()) >= minhash.MATCHES
+    differ = 0
+    for x, y in zip(minhash.bit_planes(ca), minhash.bit_planes(cb), strict=True):
+        differ |= (x ^ y) & (2**64 - 1)
+    assert same <= minhash.COORDINATES - bin(differ).count("1") < minhash.COORDINATES
+
+
+def test_spread_keys_and_blocks_change_nothing(spark, prose, monkeypatch):
+    """Every key of more than two rows is spread, and lists are merged in blocks of two."""
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    monkeypatch.setattr(common, "HOT_KEYS", 10**6)
+    monkeypatch.setattr(minhash, "BLOCK", 2)
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(components, "FEW", 0)
+    rows = prose[:100] + [(1000 + i, prose[0][1]) for i in range(20)]
+    found = minhash.near_groups(spark.createDataFrame(rows, ROWS)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in found} == brute_near(rows)
+
+
+def test_passage_in_different_texts(spark):
+    """Texts that share half of their words are compared and stay apart; a chain of near
+    copies is one group although its ends are not alike."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, passage + " " + " ".join(f"own{i}x{k}" for k in range(45))) for i in range(40)]
+    rows += [(100 + i, " ".join(f"c{k}" for k in range(8 * i, 8 * i + 100))) for i in range(12)]
+    found = minhash.near_groups(spark.createDataFrame(rows, ROWS)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in found} == brute_near(rows)
+    assert {r["component_id"] for r in found if r["doc_id"] >= 100} == {100}
+
+
+def test_very_long_text(spark):
+    words = [f"v{i * i % 9973}" for i in range(400_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:399_000], "end"])), (3, "short text of six words here")]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_groups(spark.createDataFrame(rows, ROWS)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    hub = [(50, i) for i in range(100, 160)] + [(i, 50) for i in range(10, 40)]
+    chain = [(i, i + 1) for i in range(1000, 1030)]
+    edges = spark.createDataFrame([*hub, *chain, (7, 7)], "a long, b long")
+    got = {r["node"]: r["root"] for r in components.star(edges).collect()}
+    want = {n: 10 for e in hub for n in e if n != 10} | {i: 1000 for i in range(1001, 1031)}
+    assert got == want
+    assert components.star(edges.where("a < 0")).count() == 0
 
 
 def test_drop_rows_keeps_null_ids(spark, docs):
