@@ -17,7 +17,9 @@ read, with the last token of the prefix's encoding and the state before that tok
 transitions are resolved once from the arcs and then table-driven. The word's ids are
 the arc labels on the way back. Decoding emits the labels' bytes.
 
-Tables have documented bounds; a full table is emptied, which changes no result.
+The byte automaton's states are prefixes of words, made as they are met: all of them are
+not finite in number, and those of one vocabulary's words would not fit. Tables have
+documented bounds; a full table is emptied, which changes no result.
 
 Edge cases: null and empty texts have no ids (the hash of the empty string); strings of
 special tokens in a text give the special id, as the library does by default; repeated
@@ -37,7 +39,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from quernstone.llm.common import read
-from quernstone.llm.pieces import PieceCache, texts_of, tokenizer_path
+from quernstone.llm.pieces import PieceTable, grouped, tokenizer_path
 
 #: The published splitting pattern of this vocabulary family (fixed value).
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -191,21 +193,19 @@ def automaton(path: str) -> Automaton:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> PieceCache:
+def encoder(path: str) -> PieceTable:
     own = automaton(path)
-    return PieceCache(lambda pieces: [array("I", own.encode(p)).tobytes() for p in pieces])
+    return PieceTable(lambda pieces: [array("I", own.encode(p)).tobytes() for p in pieces])
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (array of int) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         encode = encoder(path)
-        for doc_id, text in texts_of(batches):
-            ids = np.frombuffer(encode.ids(text), dtype="<u4").astype("int32")
-            yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([ids], pa.list_(pa.int32()))], ["doc_id", "ids"])
+        for doc_ids, texts in grouped(batches):
+            ids = [x.astype("int32") for x in encode.many(texts)]
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -215,23 +215,18 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     the digests taken where the ids are made, so that ids don't travel."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         encode, labels = encoder(path), automaton(path).labels
         decimal = [str(i) for i in range(len(labels))]
-        rows: list[tuple] = []
-        for batch in batches:
-            for doc_id, text in texts_of([batch]):
-                ids = np.frombuffer(encode.ids(text), dtype="<u4").tolist()
+        for doc_ids, texts in grouped(batches):
+            counts, ids_sha, text_sha = [], [], []
+            for found in encode.many(texts):
+                ids = found.tolist()
                 decoded = b"".join(map(labels.__getitem__, ids)).decode("utf-8", errors="replace")
-                listed = ",".join(map(decimal.__getitem__, ids))
-                rows.append((doc_id, len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
-            columns = [list(c) for c in zip(*rows, strict=True)] or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-            rows.clear()
+                counts.append(len(ids))
+                ids_sha.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
+                text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
+            columns = [pa.array(doc_ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -35,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import new_path, read
-from quernstone.llm.pieces import library_encoder, texts_of, tokenizer_path
+from quernstone.llm.common import new_path, read, spread_join
+from quernstone.llm.pieces import grouped, library_table, tokenizer_path
 
 TABLE, END = "byte_bpe_50k.json", 2
 #: Ids in the rolling hash's window; shortest and longest chunk; a cut falls on one id in
@@ -114,35 +114,36 @@ def chunked(docs: DataFrame, path: str) -> DataFrame:
         import zstandard
         from pyspark import TaskContext
 
-        encode, compressor = library_encoder(path), zstandard.ZstdCompressor(level=3, write_content_size=True)
+        table, compressor = library_table(path), zstandard.ZstdCompressor(level=3, write_content_size=True)
         row, sent, rows, size = TaskContext.get().partitionId() << 33, set(), [], 0
-        end = END.to_bytes(4, "little")
+        end = np.array([END], dtype="<u4")
 
         def batch() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SCHEMA, strict=True)], schema=SCHEMA)
             rows.clear()
             return out
 
-        for doc_id, text in texts_of(batches):
-            ids = np.frombuffer(encode.ids(text) + end, dtype="<u4")
-            begin, digests, ends = 0, [], cuts(ids)
-            for stop in ends:
-                part = ids[begin:stop]
-                digest = hashlib.blake2b(part.tobytes(), digest_size=16).digest()
-                digests.append(digest)
-                if digest not in sent:
-                    if len(sent) >= SENT:
-                        sent.clear()
-                    sent.add(digest)
-                    data = shrink(part, compressor)
-                    size += len(data)
-                    rows.append(("chunk", digest, None, None, stop - begin, data, None, None, None))
-                begin = stop
-            rows.append(("recipe", row.to_bytes(8, "little"), doc_id, row, len(ids), None, digests, ends, merkle(digests)))
-            row += 1
-            if size > 4 << 20 or len(rows) > 20_000:
-                yield batch()
-                size = 0
+        for doc_ids, texts in grouped(batches):
+            for doc_id, found in zip(doc_ids, table.many(texts), strict=True):
+                ids = np.concatenate((found, end))
+                raw = memoryview(ids).cast("B")
+                begin, digests, ends = 0, [], cuts(ids)
+                for stop in ends:
+                    digest = hashlib.blake2b(raw[4 * begin : 4 * stop], digest_size=16).digest()
+                    digests.append(digest)
+                    if digest not in sent:
+                        if len(sent) >= SENT:
+                            sent.clear()
+                        sent.add(digest)
+                        data = shrink(ids[begin:stop], compressor)
+                        size += len(data)
+                        rows.append(("chunk", digest, None, None, stop - begin, data, None, None, None))
+                    begin = stop
+                rows.append(("recipe", row.to_bytes(8, "little"), doc_id, row, len(ids), None, digests, ends, merkle(digests)))
+                row += 1
+                if size > 4 << 20 or len(rows) > 20_000:
+                    yield batch()
+                    size = 0
         if rows:
             yield batch()
 
@@ -242,7 +243,8 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
     begins = F.concat(F.array(F.lit(0).cast("long")), F.slice("ends", 1, F.size("ends") - 1))
     steps = recipes.select("row", "n", F.explode(F.arrays_zip("digests", "ends", begins.alias("begins"))).alias("c"))
     steps = steps.select("row", F.col("c.digests").alias("digest"), (F.col("c.ends") - F.col("c.begins")).alias("length"), (F.col("n") - F.col("c.ends")).alias("tail"))
-    met = steps.join(chunk_facts(spark, path), "digest").select("row", "ids", "tail", "crc", (F.col("sound") & (F.col("ids") == F.col("length"))).alias("sound"))
+    uses = steps.groupBy("digest").agg(F.count(F.lit(1)).alias("size"))  # a chunk may stand in very many documents
+    met = spread_join(steps, chunk_facts(spark, path), ["digest"], uses, by="row").select("row", "ids", "tail", "crc", (F.col("sound") & (F.col("ids") == F.col("length"))).alias("sound"))
     sums = met.mapInArrow(shift, "row long, ids long, crc long, sound boolean").groupBy("row").agg(F.sum("ids").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"), F.bool_and("sound").alias("sound"))
     checked = recipes.select("doc_id", "row", "start", "n", "digests", "root").mapInArrow(roots, "doc_id long, row long, start long, n long, rooted boolean")
     return checked.join(sums, "row").select("doc_id", "start", "n_tokens", "ids_crc32", (F.col("rooted") & F.col("sound") & (F.col("n") == F.col("n_tokens"))).alias("verified"))

@@ -7,7 +7,8 @@ import pytest
 from tokenizers import Tokenizer
 
 from quernstone.llm import bpe, packing, token_store
-from quernstone.llm.pieces import PieceCache, WordCache, library_encoder, tokenizer_path
+from quernstone.llm import pieces
+from quernstone.llm.pieces import PieceCache, PieceTable, WordCache, library_encoder, library_table, tokenizer_path
 
 BYTE, WORD = tokenizer_path(bpe.TABLE), tokenizer_path(packing.TABLE)
 
@@ -26,13 +27,33 @@ def test_encoders_equal_the_library(seed):
     letters = [*"aaabcdeehello  \n\t'st 019.,!é\u00a0 ́ßΣσİ中文😀\x1c\x85\r-=_", "<|endoftext|>", "<|startoftext|>", " the", " 's", "   "]
     byte, word, own = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD), bpe.automaton(BYTE)
     plain = [*"abcABC DEe  \n'St09.,-", "<|endoftext|>", "<|ENDOFTEXT|>", " The", " 'S"]
+    texts = []
     for turn in range(400):
         text = "".join(draw.choice(plain if turn % 2 else letters) for _ in range(draw.randint(0, 60)))
         want = byte.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(bpe.encoder(BYTE).ids(text), "<u4").tolist() == want
+        texts.append((text, want))
         assert np.frombuffer(library_encoder(BYTE).ids(text), "<u4").tolist() == want
         assert np.frombuffer(library_encoder(WORD, WordCache).ids(text), "<u4").tolist() == word.encode(text, add_special_tokens=False).ids
         assert own.decode(want) == byte.decode(want, skip_special_tokens=False) == text
+    small = PieceTable(library_table(BYTE).encode, bits=10, kept_bytes=2000)  # cleared again and again
+    for table in (bpe.encoder(BYTE), library_table(BYTE), small):
+        for begin in range(0, len(texts), 50):
+            part = texts[begin : begin + 50]
+            assert [x.tolist() for x in table.many([t for t, _ in part])] == [w for _, w in part]
+
+
+def test_long_texts_and_collisions(monkeypatch):
+    byte = Tokenizer.from_file(BYTE)
+    long = " ".join(f"w{i * 37 % 1009}x" for i in range(250_000)) + "  end "
+    glued = "ab1" * 400_000
+    want = {t: byte.encode(t, add_special_tokens=False).ids for t in (long, glued)}
+    table = PieceTable(library_table(BYTE).encode)
+    for got, text in zip(table.many([None, long, "", glued, "x y"]), ["", long, "", glued, "x y"], strict=True):
+        assert got.tolist() == (want[text] if len(text) > 5 else byte.encode(text, add_special_tokens=False).ids)
+    monkeypatch.setattr(PieceTable, "find", lambda self, hashes: np.zeros(len(hashes), dtype=np.int64))
+    table.add(np.array([5], dtype=np.uint64), [b" other"])
+    assert table.many(["some text", "more"])[0].tolist() == byte.encode("some text", add_special_tokens=False).ids
+    assert pieces.long_parts("a" * 10) == ["a" * 10]
 
 
 def test_full_tables_change_nothing(monkeypatch):
