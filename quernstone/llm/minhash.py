@@ -22,11 +22,14 @@ Join. Nodes are posted under each coordinate-value pair.
   is the one most like all others, and one by hash). Lists whose nodes then lie in one
   component are skipped in the second round, as are pairs inside a component, so a large
   group of near copies never becomes all its pairs. The second round merges what is left,
-  whole; long lists are dealt to blocks.
+  whole; long lists are dealt to blocks. Nodes enter it only if enough of their shingles
+  occur in other components, in nodes of some size, for a link with one of that size (exact).
 * Counting: shared coordinates are counted over the whole signatures; pairs with at least
-  ``MATCHES`` are confirmed on their full sets, 100 * |A & B| >= 75 * |A | B|. Before a pair
-  of the second round becomes a row, four bits of each coordinate give an upper bound of
-  its count.
+  ``MATCHES`` are confirmed on their full sets, 100 * |A & B| >= 75 * |A | B|. The second
+  round holds the pairs that are somewhat alike; there a pair becomes a row only once, in
+  the first list that it shares, and only if one bit of ``FINE`` = 1024 further minima
+  agrees at ``FINE_MATCHES`` places or more (a pair at 0.75 agrees at 896 on average, and at
+  fewer than 842 with a probability of 6 in 10**7).
 
 Components come from alternating stars. No list, bucket or group has a cap. Keys with
 more than a share of all rows are spread over blocks in every join (``spread_join``).
@@ -57,7 +60,11 @@ from quernstone.llm.common import numbered, read, spread_join, written
 from quernstone.llm.components import star
 
 SHINGLE, PERCENT = 5, 75
-COORDINATES, MATCHES, PLANES = 64, 30, 4
+COORDINATES, MATCHES = 64, 30
+#: Minima (one bit of each) and match threshold of the finer signature in the second round.
+FINE, FINE_MATCHES = 1024, 842
+#: Sizes of sets are told apart by this factor when links between components are bounded.
+SIZES = 1.05
 #: Nodes of a list that meet in one task, with as many others.
 BLOCK = 512
 #: Ids of candidate documents are broadcast up to this many rows (8 MB); beyond, the
@@ -68,7 +75,7 @@ SALT = 0x5DEECE66D1234567
 #: Words whose hashes a worker keeps.
 WORDS = 300_000
 
-BITS = [f"p{i}" for i in range(PLANES)]
+FINE_WORDS = [f"f{i}" for i in range(FINE // 64)]
 
 
 class WordHashes(dict):
@@ -85,8 +92,9 @@ def constants() -> tuple[Any, ...]:
     import numpy as np
 
     draw = np.random.Generator(np.random.PCG64(20_240_607))
-    numbers = draw.integers(0, 2**63, size=2 * COORDINATES + 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return numbers[:COORDINATES, None], numbers[COORDINATES : 2 * COORDINATES, None], numbers[2 * COORDINATES :], WordHashes()
+    numbers = draw.integers(0, 2**63, size=2 * (COORDINATES + FINE) + 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    masks, factors = numbers[16:].reshape(2, COORDINATES + FINE, 1)
+    return masks, factors, numbers[:16], WordHashes()
 
 
 def mixed(x: Any) -> Any:
@@ -122,76 +130,78 @@ def digest(found: Any) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
-def signature(found: Any) -> Any:
-    """The coordinates (int64) of a set that is not empty: each minimum with its place."""
+def minima(found: Any, begin: int, end: int, step: int) -> Any:
+    """The minima ``begin`` to ``end`` of a set that is not empty."""
     import numpy as np
 
-    masks, factors, _, _ = constants()
-    low = np.full(COORDINATES, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for begin in range(0, len(found), 512):
-        part = np.bitwise_xor(found[None, begin : begin + 512], masks)
+    masks, factors = (x[begin:end] for x in constants()[:2])
+    low = np.full(end - begin, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(found), step):
+        part = np.bitwise_xor(found[None, at : at + step], masks)
         part *= factors
         np.minimum(low, part.min(axis=1), out=low)
+    return low
+
+
+def signature(found: Any) -> Any:
+    """The coordinates (int64): each minimum with its place."""
+    import numpy as np
+
+    low = minima(found, 0, COORDINATES, 512)
     return mixed(low + np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def bit_planes(coordinates: Any) -> list[int]:
-    """The coordinates' four lowest bits, plane by plane, as int64."""
+def fine_signature(found: Any) -> Any:
+    """One bit of each of the further minima, as int64."""
     import numpy as np
 
-    return [int(np.packbits((coordinates >> k & 1).astype(np.uint8)).view(np.int64)[0]) for k in range(PLANES)]
+    low = mixed(minima(found, COORDINATES, COORDINATES + FINE, 64))
+    return np.packbits((low & np.uint64(1)).astype(np.uint8)).view(np.int64)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), d1, d2 (digest), coords, p0 .. p3; null but for n if the set
-    is empty."""
+    """doc_id, n (set size), d1, d2 (digest), coords; null but for n if the set is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "d1", "d2", "coords", *BITS]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
         for batch in batches:
             for begin in range(0, batch.num_rows, 1024):
                 part, rows = batch.slice(begin, 1024), []
                 texts = part.column(1)
                 for i in range(part.num_rows):
                     found = shingles(texts[i].as_py())
-                    if not len(found):
-                        rows.append((0, None, None, None, *[None] * PLANES))
-                        continue
-                    coords = signature(found)
-                    rows.append((len(found), *digest(found), coords, *bit_planes(coords)))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.int64()] * PLANES]
+                    rows.append((len(found), *digest(found), signature(found)) if len(found) else (0, None, None, None))
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "n", "d1", "d2", "coords"])
 
-    schema = "doc_id long, n long, d1 long, d2 long, coords array<long>, " + ", ".join(f"{b} long" for b in BITS)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, coords array<long>")
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """d1, d2, items: the full sets of ``docs``."""
+    """d1, d2, items, fine: the full sets and finer signatures of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
-                found = [shingles(t.as_py()) for t in batch.column(0).slice(begin, 256)]
+                found = [s for s in (shingles(t.as_py()) for t in batch.column(0).slice(begin, 256)) if len(s)]
                 names = [digest(s) for s in found]
                 columns = [pa.array([d[k] for d in names], pa.int64()) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([s.view("int64") for s in found], pa.list_(pa.int64()))], ["d1", "d2", "items"])
+                columns += [pa.array([s.view("int64") for s in found], pa.list_(pa.int64())), pa.array([fine_signature(s) for s in found], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["d1", "d2", "items", "fine"])
 
-    return docs.select("text").mapInArrow(run, "d1 long, d2 long, items array<long>")
+    return docs.select("text").mapInArrow(run, "d1 long, d2 long, items array<long>, fine array<long>")
 
 
 def close_in_size(x: Column, y: Column, percent: int = PERCENT) -> Column:
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
-def may_match(a: str, b: str, matches: int = MATCHES) -> Column:
-    """An upper bound of two rows' shared coordinates, from their bit planes, reaches
-    ``matches``."""
-    differ = F.lit(0).cast("long")
-    for p in BITS:
-        differ = differ.bitwiseOR(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}")))
-    return COORDINATES - F.bit_count(differ) >= matches
+def finely_alike(a: str, b: str, matches: int = FINE_MATCHES) -> Column:
+    """Enough of the further minima agree in their bit; JVM-side."""
+    places = F.lit(0)
+    for word in FINE_WORDS:
+        places = places + F.bit_count(F.col(f"{a}.{word}").bitwiseXOR(F.col(f"{b}.{word}")))
+    return places <= FINE - matches
 
 
 def viable(nodes: DataFrame, matches: int = MATCHES) -> DataFrame:
@@ -209,7 +219,7 @@ def viable(nodes: DataFrame, matches: int = MATCHES) -> DataFrame:
 
 
 def sets_for(live: DataFrame, docs: DataFrame) -> DataFrame:
-    """node, n, coords, items of the nodes in ``live``, from one document of each."""
+    """node, n, coords, items, fine of the nodes in ``live``, from one document of each."""
     ids = written(live.select("doc_id"), "wanted")
     texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
     return live.select("node", "n", "d1", "d2", "coords").join(sets_of(texts).dropDuplicates(["d1", "d2"]), ["d1", "d2"]).drop("d1", "d2")
@@ -238,19 +248,42 @@ def led(live: DataFrame) -> DataFrame:
     return pairs.distinct()
 
 
-def merged(live: DataFrame, stars: DataFrame, percent: int = PERCENT, matches: int = MATCHES) -> DataFrame:
+def crossing(nodes: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Those of ``nodes`` (node, comp) that can be linked with a node of another component.
+    A link with a set of m shingles takes (n + m) * percent / (100 + percent) common ones; they
+    are counted for each class of sizes m. Exact."""
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(SIZES))).cast("int")
+    items = nodes.join(sets.select("node", "n", "items"), "node").select("node", "comp", "n", size_class.alias("class"), F.explode("items").alias("item"))
+    shared = items.groupBy("item", "class").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    shared = written(shared, "shingles")
+    facts = shared.select("item", F.col("class").alias("other"), "c0", "c1")
+    met = spread_join(items.select("node", "comp", "n", "item"), facts, ["item"], shared.groupBy("item").agg(F.sum("size").alias("size")), by="node")
+    least = F.pow(F.lit(SIZES), F.col("other")) * (1 - 1e-9)
+    met = met.where(((F.col("c0") != F.col("comp")) | (F.col("c1") != F.col("comp"))) & (100 * least * SIZES * (1 + 1e-8) >= percent * F.col("n")))
+    same = met.groupBy("node", "other").agg(F.count(F.lit(1)).alias("same"), F.first("n").alias("n"))
+    return same.where((100 + percent) * F.col("same") >= percent * (F.col("n") + F.greatest(least, F.lit(1.0)))).select("node").distinct()
+
+
+def merged(live: DataFrame, sets: DataFrame, stars: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b), a < b: pairs from different components in lists that are not skipped."""
-    at = live.select("node", "n", *BITS, "prefix").join(stars, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-    posted = at.select("node", "n", *BITS, "comp", F.explode("prefix").alias("key"))
-    lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key", "size")
-    lists = written(lists, "mixed-lists")
-    rest = written(spread_join(posted, lists, ["key"], lists, by="node"), "mixed")
+    at = live.select("node", "n", "prefix").join(stars, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    at = written(at, "components")
+
+    def mixed(nodes: DataFrame) -> DataFrame:
+        posted = nodes.select("node", "n", "comp", "prefix", F.explode("prefix").alias("key"))
+        lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key", "size")
+        lists = written(lists, "mixed-lists")
+        return written(spread_join(posted, lists, ["key"], lists, by="node"), "mixed")
+
+    able = crossing(mixed(at).select("node", "comp").distinct(), sets, percent)
+    rest = mixed(at.join(able, "node", "left_semi")).join(sets.select("node", *[F.col("fine")[i].alias(f) for i, f in enumerate(FINE_WORDS)]), "node")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     x = rest.withColumn("part", F.pmod(F.xxhash64("node"), blocks).cast("int")).alias("x")
     y = rest.withColumn("part", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
-    found = x.join(y, apart & close_in_size(F.col("x.n"), F.col("y.n"), percent) & may_match("x", "y", matches))
-    return found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    first = F.array_intersect("x.prefix", "y.prefix")[0] == F.col("x.key")  # prefixes are in one order
+    found = x.join(y, apart & close_in_size(F.col("x.n"), F.col("y.n"), percent) & finely_alike("x", "y") & first)
+    return found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
 def linked(nodes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -259,7 +292,7 @@ def linked(nodes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFra
     sets = written(sets_for(live, docs), "sets")
     edges = written(confirmed(led(live), sets, percent), "links")
     stars = star(edges)
-    more = written(confirmed(merged(live, stars, percent), sets, percent), "links")
+    more = written(confirmed(merged(live, sets, stars, percent), sets, percent), "links")
     return star(more.unionByName(stars.select(F.col("node").alias("a"), F.col("root").alias("b")))) if more.limit(1).count() else stars
 
 
@@ -267,7 +300,7 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     found = written(signatures(docs), "signatures")
     known = found.where("doc_id is not null and d1 is not null")
-    one = [F.first(c).alias(c) for c in ("n", "coords", *BITS)]
+    one = [F.first(c).alias(c) for c in ("n", "coords")]
     nodes = known.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("doc_id"), *one)
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     roots = linked(nodes, docs.select(F.col("doc_id").cast("long"), "text"), percent)
