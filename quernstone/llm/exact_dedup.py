@@ -8,7 +8,8 @@
 3. The candidates are counted exactly (a second, cheap pass). Their winners, at most
    ``heavy`` rows, are broadcast, so copies of a frequent text are decided map-side
    and never meet in one task.
-4. All other digests have a bounded share of the rows and use an ordinary shuffle.
+4. All other digests use an ordinary shuffle: counts and smallest rows, combined map-side,
+   and a join of the rows with them in which digests above a share of all rows are spread.
 
 Every step is a DataFrame or SQL function.
 
@@ -19,14 +20,14 @@ an empty table gives an empty result; other columns are ignored, whatever their
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import drop_rows, numbered, read, written
+from quernstone.llm.common import drop_rows, numbered, read, spread_join, written
 
 #: Misra-Gries counters, and how many of the most frequent digests are taken from
-#: them. The second bounds the broadcast: 256 rows of about 60 bytes.
-TRACKED, HEAVY = 4096, 256
+#: them. The second bounds the broadcast: 1024 rows of about 60 bytes.
+TRACKED, HEAVY = 4096, 1024
 
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -57,19 +58,14 @@ def exact_groups(rows: DataFrame, tracked: int = TRACKED, heavy: int = HEAVY) ->
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
     keyed = rows.withColumn("order", order)
     hot = F.broadcast(frequent(rows, tracked, heavy))
-    winners = (
-        keyed.join(hot, F.xxhash64("sha") == hot["key"], "left_semi")
-        .groupBy("sha")
-        .agg(F.count(F.lit(1)).alias("group_size"), F.min("order").alias("first"))
-        .where("group_size > 1")
-    )
-    winners = written(winners, "winners")
-    out = ["doc_id", F.col("first.id").alias("keep_id"), "group_size", (F.col("first") == F.col("order")).alias("kept"), "sha", "row"]
+    least = [F.count(F.lit(1)).alias("size"), F.min("order").alias("first")]
+    winners = written(keyed.join(hot, F.xxhash64("sha") == hot["key"], "left_semi").groupBy("sha").agg(*least).where("size > 1"), "winners")
+    first = F.coalesce("first", "order")
+    out = ["doc_id", first["id"].alias("keep_id"), F.coalesce("size", F.lit(1)).alias("group_size"), (first == F.col("order")).alias("kept"), "sha", "row"]
     seen = keyed.join(F.broadcast(winners), "sha")
     rest = keyed.join(F.broadcast(winners.select("sha")), "sha", "left_anti")
-    same = Window.partitionBy("sha")
-    rest = rest.withColumns({"group_size": F.count(F.lit(1)).over(same), "first": F.min("order").over(same)})
-    return seen.select(out).unionByName(rest.select(out))
+    groups = written(rest.groupBy("sha").agg(*least).where("size > 1"), "groups")
+    return seen.select(out).unionByName(spread_join(rest, groups, ["sha"], groups, by="row", how="left").select(out))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

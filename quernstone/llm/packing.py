@@ -36,31 +36,43 @@ TABLE, END = "word_bpe_49k.json", 2
 TOKENS, SEGMENTS, LOSS, POOL = 4096, 128, 4096, 512
 
 
-@dataclass
+@dataclass(slots=True)
 class Item:
-    """What is left of a document: its ids (4 bytes each) from ``start`` on, and the
-    position from which its tokens bear loss."""
+    """A piece of a document, from ``start`` to ``end``: its ids lie in ``buffer`` (4 bytes
+    each), which begins at ``base`` and which pieces share. Tokens from ``loss_from`` on
+    bear loss."""
 
     doc_id: int | None
-    ids: bytes
+    buffer: bytes
+    base: int
     start: int
+    end: int
     total: int
     loss_from: int
 
     def __len__(self) -> int:
-        return len(self.ids) // 4
+        return self.end - self.start
 
-    def loss(self, length: int | None = None) -> int:
-        end = self.start + (len(self) if length is None else length)
-        return max(0, end - max(self.start, self.loss_from))
+    @property
+    def ids(self) -> memoryview:
+        return memoryview(self.buffer)[4 * (self.start - self.base) : 4 * (self.end - self.base)]
+
+    def loss(self) -> int:
+        return max(0, self.end - max(self.start, self.loss_from))
 
     def most(self, tokens: int, loss: int) -> int:
         """The longest beginning within both limits."""
         return min(len(self), tokens, loss + max(0, self.loss_from - self.start))
 
     def cut(self, length: int) -> tuple[Item, Item | None]:
-        rest = Item(self.doc_id, self.ids[4 * length :], self.start + length, self.total, self.loss_from)
-        return Item(self.doc_id, self.ids[: 4 * length], self.start, self.total, self.loss_from), rest if len(rest) else None
+        """Both parts on the same buffer, so cutting a long text costs no copies."""
+        at = self.start + length
+        rest = Item(self.doc_id, self.buffer, self.base, at, self.end, self.total, self.loss_from) if at < self.end else None
+        return Item(self.doc_id, self.buffer, self.base, self.start, at, self.total, self.loss_from), rest
+
+    def alone(self) -> Item:
+        """The same piece with a buffer of its own, so that the text's can go."""
+        return self if len(self.buffer) == 4 * len(self) else Item(self.doc_id, bytes(self.ids), self.start, self.start, self.end, self.total, self.loss_from)
 
 
 class Packer:
@@ -80,7 +92,7 @@ class Packer:
             if rest is None:
                 return
             item = rest
-        self.push(item)
+        self.push(item.alone())
         while len(self.pool) >= self.size:
             yield self.fill()
 
@@ -162,7 +174,7 @@ def packed(docs: DataFrame, path: str, tokens: int = TOKENS, segments: int = SEG
             for bin_ in bins:
                 offset = 0
                 for x in bin_:
-                    rows.append((x.doc_id, x.start, len(x), zlib.crc32(x.ids), x.total, sequence, offset, *([x.ids] if with_ids else [])))
+                    rows.append((x.doc_id, x.start, len(x), zlib.crc32(x.ids), x.total, sequence, offset, *([bytes(x.ids)] if with_ids else [])))
                     offset += len(x)
                 sequence += 1
 
@@ -176,7 +188,7 @@ def packed(docs: DataFrame, path: str, tokens: int = TOKENS, segments: int = SEG
             begins = one.column(2).to_pylist()
             for (doc_id, text), begin in zip(texts_of([one]), begins, strict=True):
                 ids = encode.ids(text) + end
-                written(packer.add(Item(doc_id, ids, 0, len(ids) // 4, begin or 0)))
+                written(packer.add(Item(doc_id, ids, 0, 0, len(ids) // 4, len(ids) // 4, begin or 0)))
                 if len(rows) >= 10_000:
                     yield batch()
             yield batch()

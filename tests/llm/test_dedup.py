@@ -19,7 +19,8 @@ def brute_exact(rows):
 
 
 @pytest.mark.parametrize("heavy", [1, 256])
-def test_exact_groups(spark, heavy):
+def test_exact_groups(spark, heavy, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
     rows = [(i, t) for i, t in enumerate(["a b", "a  b", None, "", "c", " ", "a\tb", "d"] * 5 + ["hot"] * 40)]
     found = exact_dedup.exact_groups(exact_dedup.digests(spark.createDataFrame(rows, ROWS)), heavy=heavy)
     got = {r["doc_id"]: (r["keep_id"], r["group_size"], bytes(r["sha"]).hex()) for r in found.collect()}

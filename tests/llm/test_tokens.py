@@ -156,3 +156,42 @@ def test_packing_limits_loss(spark):
         loss[r["sequence_id"]] = loss.get(r["sequence_id"], 0) + max(0, begin + r["length"] - max(begin, 4))
         assert len(r["ids"]) == 4 * r["length"]
     assert max(loss.values()) <= 20
+
+
+def test_cutting_long_texts_copies_nothing():
+    """Pieces of a text share its ids; only what waits in the pool has ids of its own."""
+    ids = np.arange(3_000_000, dtype="<u4").tobytes()
+    packer = packing.Packer(4096, 128, 4096, 4)
+    bins = [*packer.add(packing.Item(1, ids, 0, 0, 3_000_000, 3_000_000, 0))]
+    assert len(bins) == 732 and all(b[0].buffer is ids and len(b[0]) == 4096 for b in bins)
+    assert bytes(bins[5][0].ids) == ids[5 * 16384 : 6 * 16384]
+    assert len(packer.pool) == 1 and len(packer.pool[0].buffer) == 4 * len(packer.pool[0]) == 4 * (3_000_000 - 732 * 4096)
+
+
+def test_packing_conversations_within_three_limits(spark):
+    """Instruction data: the first turn bears no loss. All three limits hold, and the limit
+    on loss-bearing tokens binds: without it there are fewer sequences."""
+    path = "/root/testdata/sf0.001/conversations.parquet"
+    turns = {}
+    try:
+        rows = spark.read.parquet(path).orderBy("conv_id", "turn").collect()
+    except Exception:  # noqa: BLE001
+        pytest.skip("no test data")
+    for r in rows:
+        turns.setdefault(r["conv_id"], []).append(r["text"] or "")
+    data = [(c, " ".join(t), len(ids_of(WORD, t[0]))) for c, t in turns.items()]
+    df = spark.createDataFrame(data, "doc_id long, text string, prompt int").coalesce(1)
+    got = packing.packed(df, WORD, 1024, 16, 300, 64, "prompt").collect()
+    ids = {c: [*ids_of(WORD, t), 2] for c, t, _ in data}
+    prompt = {c: p for c, _, p in data}
+    check_pack(got, ids, 1024, 16)
+    used = {}
+    for r in got:
+        u = used.setdefault(r["sequence_id"], [0, 0, 0])
+        end = r["start"] + r["length"]
+        u[0] += r["length"]
+        u[1] += 1
+        u[2] += max(0, end - max(r["start"], prompt[r["doc_id"]]))
+    assert all(a <= 1024 and b <= 16 and c <= 300 for a, b, c in used.values())
+    free = packing.packed(df, WORD, 1024, 16, 1024, 64, "prompt").select("sequence_id").distinct().count()
+    assert free < len(used)
