@@ -9,19 +9,6 @@ from pyspark.sql import functions as F
 
 from quernstone.functions.text import model_alias
 
-# USD per million tokens (vendor, model, input, output). Rows are data, to
-# be replaced by the caller's own table; the names are neutral.
-PRICES = (
-    ("added", "small-1", 1.00, 5.00),
-    ("added", "medium-1", 3.00, 15.00),
-    ("added", "large-1", 5.00, 25.00),
-    ("inside", "large-2", 2.50, 15.00),
-    ("inside", "mini-2", 0.75, 4.50),
-    ("inside", "large-3", 2.00, 8.00),
-    ("inside", "mini-3", 0.40, 1.60),
-    ("inside", "reasoning-mini", 1.10, 4.40),
-    ("own", "self-hosted", 0.00, 0.00),
-)
 #: Factors of cached tokens against input tokens.
 CACHE_WRITE, CACHE_READ = 1.25, 0.10
 
@@ -30,8 +17,17 @@ class PriceError(Exception):
     """A model without a price: cost is never taken to be zero."""
 
 
-def price_table(spark: SparkSession, prices: Sequence[tuple] = PRICES) -> DataFrame:
-    return spark.createDataFrame(list(prices), "vendor string, model string, input_price double, output_price double")
+PRICE = "vendor string, model string, input_price double, output_price double"
+
+
+def price_table(spark: SparkSession, prices: Sequence[tuple]) -> DataFrame:
+    """The caller's prices, in USD per million tokens, by the model's id without a date."""
+    return spark.createDataFrame(list(prices), PRICE)
+
+
+def read_prices(spark: SparkSession, path: str) -> DataFrame:
+    """The same from a JSON file of objects; none is shipped, as prices change."""
+    return spark.read.schema(PRICE).option("multiLine", True).json(path)
 
 
 def cost_usd(vendor: Column, prompt: Column, completion: Column, write: Column, read: Column, input_price: Column, output_price: Column) -> Column:

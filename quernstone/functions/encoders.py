@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MODES = ("query", "passage", "sts")
-#: What each mode puts before the text.
+#: Fixed values (modes and prefixes of the embedding interface): what each mode puts before the text.
 PREFIXES = {"query": "[query]: ", "passage": "", "sts": "[sts]: "}
 COMPLETION = "text string, model string, prompt_tokens long, completion_tokens long, latency_ms double, cache_write_tokens long, cache_read_tokens long, cost_usd double"
 
@@ -31,7 +31,8 @@ def with_prefix(text: Column, mode: str) -> Column:
 
 
 def pseudo_vector(text: str, dimension: int) -> list[float]:
-    """A unit vector that depends on the text alone: SHA-256 seeds a Mersenne Twister."""
+    """A unit vector that depends on the text alone. Seed, generator and range are fixed
+    values of the interface: SHA-256 of the text seeds a Mersenne Twister."""
     import hashlib
     import math
     import random
@@ -95,6 +96,27 @@ def fixed_completer(answer: str, model: str = "fake") -> Callable[[], Callable[[
     return lambda: lambda prompts: [one(p) for p in prompts]
 
 
+class CompleterError(Exception):
+    """A scripted completer was asked for more answers than it has."""
+
+
+def scripted_completer(answers: Sequence[str], model: str = "fake") -> Callable[[], Callable[[Sequence[str]], list[dict[str, Any]]]]:
+    """Gives its answers one after the other and raises at the end of the script. Each task
+    begins at the first answer: use one partition where the order matters."""
+
+    def made() -> Callable[[Sequence[str]], list[dict[str, Any]]]:
+        left = list(answers)
+
+        def complete(prompts: Sequence[str]) -> list[dict[str, Any]]:
+            if len(prompts) > len(left):
+                raise CompleterError(f"the script of {len(answers)} answers has ended")
+            return [fixed_completer(left.pop(0), model)()([p])[0] for p in prompts]
+
+        return complete
+
+    return made
+
+
 def completed(df: DataFrame, prompt: str, factory: Callable, out: str = "completion") -> DataFrame:
     """``df`` with the model's answer. The call is paid for, so write the result before
     anything reads it twice; Spark is told that the call does not repeat itself."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,8 +21,13 @@ WORD = r"[\p{L}\p{N}_]"
 #: White space in the Unicode sense.
 SPACE = r"[\s\p{Z}\x1c-\x1f\x85]"
 
-#: Entities unescaped by ``unescape``, in this order; ``&amp;`` must be last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#039;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"))
+# The patterns of the two HTML variants, in the order in which they act.
+BREAK, TAG = r"(?i)</(?:p|div|li|tr|h[1-6])>|<br\s*/?>", r"<[^>]+>"
+SCRIPT = r"(?is)<(script|style)\b.*?</\1\s*>"
+MEASURED_BREAK, MEASURED_ITEM = r"(?i)<(br|/p|/li|/tr|/h[1-6])[^>]*>", r"(?i)<li[^>]*>"
+
+#: What may stand after ``&``: a number, a hexadecimal number, or a name.
+REFERENCE = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
 
 def strip(text: Column) -> Column:
@@ -28,15 +35,53 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
 
 
+@lru_cache(maxsize=1)
+def entity_tables() -> tuple[str, str, str]:
+    """The HTML5 entities, from Python's own table: names by first letter, numbers that
+    don't mean their code point (both as JSON objects), and a pattern of the names that
+    need no semicolon, longest first."""
+    import html
+    from html.entities import html5
+
+    names: dict[str, dict[str, str]] = {}
+    for name, value in html5.items():
+        names.setdefault(name[0], {})[name] = value
+    odd = [*range(0xA0), *range(0xFDD0, 0xFDF0), *(plane << 16 | low for plane in range(17) for low in (0xFFFE, 0xFFFF))]
+    numbers = {str(n): html.unescape(f"&#{n};") for n in odd if html.unescape(f"&#{n};") != chr(n)}
+    bare = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+    return json.dumps(names), json.dumps(numbers), f"^(?:{'|'.join(bare)})"
+
+
 def unescape(text: Column) -> Column:
-    for entity, character in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(character))
-    return text
+    """All HTML5 character references, JVM-side: the text is cut at ``&`` and what follows
+    is looked up. A reference that is none stays as it is."""
+    names, numbers, bare = entity_tables()
+    by_letter = F.from_json(F.lit(names), "map<string,map<string,string>>")
+    special = F.from_json(F.lit(numbers), "map<string,string>")
+
+    def resolved(part: Column) -> Column:
+        found = F.regexp_extract(part, REFERENCE, 1)
+        rest = F.substring(part, F.length(found) + 1, F.length(part))
+        hexadecimal = F.regexp_extract(found, "^#[xX]0*([0-9a-fA-F]*)", 1)
+        decimal = F.regexp_extract(found, "^#0*([0-9]*)", 1)
+        digits = F.when(found.rlike("^#[xX]"), hexadecimal).otherwise(decimal)
+        code = F.when(F.length(digits) > 8, F.lit(2**40)).when(found.rlike("^#[xX]"), F.conv(F.concat(F.lit("0"), hexadecimal), 16, 10).cast("long")).otherwise(F.concat(F.lit("0"), decimal).cast("long"))
+        outside = (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+        plain = F.decode(F.unhex(F.lpad(F.hex(F.when(outside, F.lit(0xFFFD)).otherwise(code)), 8, "0")), "UTF-32")
+        number = F.when(outside, F.lit("\ufffd")).otherwise(F.coalesce(F.try_element_at(special, code.cast("string")), plain))
+        named = F.try_element_at(F.try_element_at(by_letter, F.substring(found, 1, 1)), found)
+        short = F.regexp_extract(part, bare, 0)
+        legacy = F.concat(F.try_element_at(F.try_element_at(by_letter, F.substring(short, 1, 1)), short), F.substring(part, F.length(short) + 1, F.length(part)))
+        return F.when(found == "", F.concat(F.lit("&"), part)).when(found.startswith("#"), F.concat(number, rest)).when(named.isNotNull(), F.concat(named, rest)).when(short != "", legacy).otherwise(F.concat(F.lit("&"), part))
+
+    parts = F.split(text, "&")
+    whole = F.array_join(F.transform(parts, lambda part, i: F.when(i == 0, part).otherwise(resolved(part))), "")
+    return F.when(text.contains("&"), whole).otherwise(text)
 
 
 @F.pandas_udf(StringType())
 def unescape_all(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The full HTML5 entity table, by Arrow batches; null stays null."""
+    """The same by Python's own function, by Arrow batches, as a check; null stays null."""
     import html
 
     for texts in batches:
@@ -53,17 +98,17 @@ def strip_html(markup: Column, entities=unescape, drop_scripts: bool = False) ->
     go, entities are resolved after the tags, lines are stripped, more than one empty
     line becomes one. ``drop_scripts`` also removes script and style bodies."""
     if drop_scripts:
-        markup = F.regexp_replace(markup, r"(?is)<(script|style)\b.*?</\1\s*>", "")
-    text = F.regexp_replace(markup, r"(?i)</(?:p|div|li|tr|h[1-6])>|<br\s*/?>", "\n")
-    text = strip_lines(entities(F.regexp_replace(text, r"<[^>]+>", "")))
+        markup = F.regexp_replace(markup, SCRIPT, "")
+    text = F.regexp_replace(markup, BREAK, "\n")
+    text = strip_lines(entities(F.regexp_replace(text, TAG, "")))
     return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
 def strip_html_to_measure(markup: Column, entities=unescape) -> Column:
     """The other variant, for measuring content: list items get a dash, spaces and empty
     lines collapse; null gives the empty text."""
-    text = F.regexp_replace(F.coalesce(markup, F.lit("")), r"(?i)<(br|/p|/li|/tr|/h[1-6])[^>]*>", "\n")
-    text = F.regexp_replace(F.regexp_replace(text, r"(?i)<li[^>]*>", "- "), r"<[^>]+>", "")
+    text = F.regexp_replace(F.coalesce(markup, F.lit("")), MEASURED_BREAK, "\n")
+    text = F.regexp_replace(F.regexp_replace(text, MEASURED_ITEM, "- "), TAG, "")
     text = F.replace(F.replace(entities(text), F.lit("\u00a0"), F.lit(" ")), F.lit("\r"), F.lit(""))
     text = F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n\s*\n+", "\n")
     return strip(F.array_join(F.transform(F.split(text, "\n"), strip), "\n"))
@@ -133,6 +178,11 @@ def evidence(text: Column, length: int = 80) -> Column:
     return F.substring(strip(text), 1, length)
 
 
+def clipped(text: Column, length: int) -> Column:
+    """For display: at most ``length`` characters, the last one an ellipsis if cut."""
+    return F.when(F.length(text) > length, F.concat(F.substring(text, 1, length - 1), F.lit("…"))).otherwise(text)
+
+
 def format_duration(seconds: Column) -> Column:
     """``42s``, ``2min 05s``, ``1h 04min``; seconds round half to even."""
     whole = F.floor(seconds).cast("long")

@@ -104,3 +104,37 @@ def distractor_detail(hits: DataFrame, threshold: float) -> DataFrame:
 
 def missed(ranks: DataFrame, not_found: int = 10**6) -> DataFrame:
     return ranks.where(F.col("rank") >= not_found).select("query_id")
+
+
+def mode_table(ranks: DataFrame, inputs: str = "input", k: int = 5) -> DataFrame:
+    """recall@1, @min(3, k), @k and MRR for each input and mode."""
+    at = lambda n: percent(F.count_if(F.col("rank") <= n), F.count(F.lit(1)))
+    return ranks.groupBy(inputs, "mode").agg(at(1).alias("recall_1"), at(min(3, k)).alias("recall_3"), at(k).alias("recall_k"), F.avg(1.0 / F.col("rank")).alias("mrr"))
+
+
+def mode_deltas(table: DataFrame, right: str, wrong: str, by: Sequence[str] = ()) -> DataFrame:
+    """What the right mode gains over the wrong one, in percentage points and MRR."""
+    figures = ("recall_1", "recall_3", "recall_k", "mrr")
+    value = lambda mode, f: F.max(F.when(F.col("mode") == mode, F.col(f)))
+    return table.groupBy(*by).agg(*[(value(right, f) - value(wrong, f)).alias(f"{f}_delta") for f in figures])
+
+
+def median_length(df: DataFrame, text: str) -> DataFrame:
+    """The median number of characters, one row; exact, by counts of distinct lengths."""
+    rows = distribution(df.select(F.lit("all").alias("series"), F.length(text).alias("score")))
+    return rows.select(F.col("median").alias("median_length"))
+
+
+def run_summary(calls: DataFrame, record: str = "record", id_col: str = "ticket_id") -> DataFrame:
+    """One row: calls, parsed, failed, tokens, latency, cost, and the averages per ticket."""
+    n = F.count(F.lit(1))
+    out = calls.agg(
+        n.alias("calls"), F.count(record).alias("parsed"), (n - F.count(record)).alias("failed"), F.coalesce(F.sum("prompt_tokens"), F.lit(0)).alias("tokens_in"),
+        F.coalesce(F.sum("completion_tokens"), F.lit(0)).alias("tokens_out"), F.coalesce(F.sum("latency_ms"), F.lit(0.0)).alias("latency_ms"), F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("cost_usd"),
+    )
+    each = lambda c: F.coalesce(F.try_divide(c, "calls"), F.lit(0.0))
+    return out.withColumns({"cost_per_ticket": each("cost_usd"), "latency_per_ticket": each("latency_ms")})
+
+
+def failed_ids(calls: DataFrame, record: str = "record", id_col: str = "ticket_id") -> DataFrame:
+    return calls.where(F.col(record).isNull()).select(id_col)

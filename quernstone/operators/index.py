@@ -37,17 +37,38 @@ def check_size(index: DataFrame, size: int) -> None:
         raise IndexError_(f"the index holds vectors of another size than {size}")
 
 
-def upsert(spark: SparkSession, path: str, new: DataFrame, key: str = "point_id", version: str = "v") -> int:
-    """Merges ``new`` into the table at ``path`` (a folder of numbered versions; readers
+def create_or_verify(spark: SparkSession, path: str, vector_size: int) -> bool:
+    """True if there is no index yet (the first upsert makes it); else checks the size of
+    its vectors and gives False."""
+    if newest(spark, path) < 0:
+        return True
+    check_size(load(spark, path), vector_size)
+    return False
+
+
+def drop(spark: SparkSession, path: str) -> bool:
+    """Deletes the index with all its versions; False if there is none."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def upsert(spark: SparkSession, path: str, new: DataFrame, key: str = "point_id", version: str = "v", order: str | None = None) -> int:
+    """``order``: the column by which the last of several new rows with one key is chosen
+    (without it the row's hash decides, so that a rerun gives the same). Merges ``new`` into the table at ``path`` (a folder of numbered versions; readers
     use the highest complete one). The new version is whole before it is seen, so a failed
     write leaves the old one. Gives the number of rows written from ``new``."""
     at = newest(spark, path, version)
-    new = latest(new, key, F.lit(0))
+    new = latest(new, key, ordered(new, key, order))
     old = spark.read.parquet(f"{path}/{version}{at}").join(new.select(key), key, "left_anti") if at >= 0 else None
     (new if old is None else old.unionByName(new)).write.parquet(f"{path}/{version}{at + 1}")
     return new.count()
 
 
+def ordered(rows: DataFrame, key: str, order: str | None) -> Column:
+    """What decides between rows of one key: a column, or else the whole row's hash."""
+    return F.col(order) if order else F.xxhash64(*[c for c in rows.columns if c != key])
+
+
 def newest(spark: SparkSession, path: str, version: str = "v") -> int:
     """The highest version with a success mark, or -1."""
     jvm = spark.sparkContext._jvm
@@ -70,7 +91,7 @@ def load(spark: SparkSession, path: str, version: str = "v") -> DataFrame:
 def rebuild(spark: SparkSession, path: str, new: DataFrame, key: str = "point_id", version: str = "v") -> int:
     """A whole new version; the old one stays in use until it is written."""
     at = newest(spark, path, version)
-    rows = latest(new, key, F.lit(0))
+    rows = latest(new, key, ordered(new, key, None))
     rows.write.parquet(f"{path}/{version}{at + 1}")
     return rows.count()
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quernstone.functions.text import strip, strip_html_to_measure
 
 MIN_CHARS, CHARS_PER_TOKEN = 50, 3.0
+#: Categories whose quotas are broadcast.
+FEW_CATEGORIES = 10_000
 FINISHED = ("rozwiazany", "zamkniety")
 
 
@@ -24,12 +26,32 @@ def stratified(df: DataFrame, category: str, id_col: str, count: int) -> DataFra
     total = df.count()
     quota = F.greatest(F.lit(1), F.bround(count * F.col("n") / max(total, 1), 0).cast("long"))
     sizes = sizes.withColumn("quota", quota).withColumn("step", F.greatest(F.lit(1), F.floor(F.col("n") / F.col("quota"))))
-    at = F.row_number().over(Window.partitionBy(category).orderBy(F.col(id_col).cast("string"))) - 1
-    placed = df.withColumn("at", at).join(sizes, category)
+    placed = placed_in(df.select(id_col, category), category, F.col(id_col).cast("string")).join(F.broadcast(sizes) if sizes.count() <= FEW_CATEGORIES else sizes, category)
     picked = placed.where((F.col("at") % F.col("step") == 0) & (F.floor(F.col("at") / F.col("step")) < F.col("quota")))
     return picked.select(id_col, category).distinct().orderBy(id_col).limit(count)
 
 
+def placed_in(df: DataFrame, category: str, order: Column) -> DataFrame:
+    """``df`` with ``at``: each row's place in its category, from 0. Rows are dealt to ranges
+    of (category, order), so a category may lie in many tasks; the offsets come from the
+    ranges' counts, of which there are few."""
+    ranged = df.withColumn("__order", order).repartitionByRange(category, "__order").withColumn("__range", F.spark_partition_id())
+    counts = ranged.groupBy(category, "__range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(category).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(category, "__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(category, "__range").orderBy("__order"))
+    ranked = ranged.withColumn("__in", inside)
+    same = ranked[category].eqNullSafe(offsets[category]) & (ranked["__range"] == offsets["__range"])
+    return ranked.join(offsets, same).select(*[ranked[c] for c in df.columns], (F.col("__in") - 1 + F.col("__before")).alias("at"))
+
+
+def sample_report(df: DataFrame, picked: DataFrame, category: str, id_col: str) -> DataFrame:
+    """category, size, picked, ids (of the sample, ascending): largest category first."""
+    taken = picked.groupBy(category).agg(F.count(F.lit(1)).alias("picked"), F.sort_array(F.collect_list(id_col)).alias("ids"))
+    sizes = df.groupBy(category).agg(F.count(F.lit(1)).alias("size"))
+    return sizes.join(taken, category, "left").na.fill(0, ["picked"]).orderBy(F.desc("size"), category)
+
+
 def too_long(df: DataFrame, chars: Column, context: int) -> DataFrame:
     """Rows above the context window; reported, not removed."""
     return df.where(chars > int(context * CHARS_PER_TOKEN))

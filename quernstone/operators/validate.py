@@ -12,7 +12,7 @@ from quernstone.functions.text import strip, strip_fence
 #: Fields of a parsed record that must not be blank.
 REQUIRED = ("component", "problem", "symptoms", "cause", "solution", "resolution")
 IDENTITY = ("ticket_id", "date", "resolution_vocabulary_version")
-FIELDS = (*IDENTITY, *REQUIRED, "error_codes", "questions_summary")
+FIELDS = ("ticket_id", "date", "component", "problem", "symptoms", "error_codes", "cause", "solution", "resolution", "resolution_vocabulary_version", "questions_summary")
 SCHEMA = ", ".join(f"{f} string" for f in ("ticket_id", "date", *REQUIRED, "questions_summary")) + ", error_codes array<string>, resolution_vocabulary_version int"
 
 
@@ -30,16 +30,50 @@ def listed(*errors: tuple[Column, Column]) -> Column:
     return F.filter(F.array(*[F.when(bad, message) for bad, message in errors]), lambda e: e.isNotNull())
 
 
-def record_errors(text: Column, record: Column, version: int, names: Sequence[str]) -> Column:
-    """``field: message`` of each failed check. Checks on the whole record (location
-    ``rekord``) run only if no field failed, and the vocabulary's version before
-    membership in it."""
+def kind(record: Column, field: str) -> Column:
+    """The JSON type of a field: null if it is missing, ``VOID`` for JSON's null."""
+    return F.schema_of_variant(F.try_variant_get(record, f"$.{field}", "variant"))
+
+
+def field_errors(record: Column, fields: Sequence[str] = FIELDS) -> Column:
+    """``field: message`` for each of ``fields`` of a JSON object (a variant) that is missing,
+    of the wrong type, or blank; in the order of ``fields``."""
+    found = []
+    for f in fields:
+        type_ = kind(record, f)
+        text = F.try_variant_get(record, f"$.{f}", "string")
+        if f == "error_codes":  # optional; every element must be a text
+            bad = type_.isNotNull() & ~type_.isin("ARRAY<STRING>", "ARRAY<VOID>") | F.coalesce(F.exists(F.try_variant_get(record, "$.error_codes", "array<string>"), lambda x: x.isNull()), F.lit(False))
+            found.append((bad, F.lit(f"{f}: not a list of texts")))
+            continue
+        if f != "questions_summary":
+            found.append((type_.isNull(), F.lit(f"{f}: missing")))
+        if f == "resolution_vocabulary_version":
+            number = F.try_variant_get(record, f"$.{f}", "double")
+            found.append((type_.isNotNull() & ~F.coalesce(number == F.floor(number), F.lit(False)), F.lit(f"{f}: not an integer")))
+            continue
+        found.append((type_ != "STRING", F.lit(f"{f}: not a text")))
+        if f == "date":
+            day = text.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).isNotNull()
+            found.append(((type_ == "STRING") & ~F.coalesce(day, F.lit(False)), F.lit(f"{f}: not a date")))
+        elif f not in ("ticket_id", "resolution"):  # a blank resolution is not in the vocabulary
+            found.append(((type_ == "STRING") & (strip(text) == ""), F.lit(f"{f}: blank or missing")))
+    return listed(*found)
+
+
+def record_errors(text: Column, version: int, names: Sequence[str], known: Sequence[str] = (), told: Column | None = None) -> Column:
+    """``field: message`` of each failed check of a record's JSON. Checks on the whole record
+    (location ``rekord``) run only if no field failed, and the vocabulary's version before
+    membership in it. Fields in ``known`` come from elsewhere, not from the text; ``told``
+    is then the version."""
+    record = F.try_parse_json(text)
     strange = F.transform(unknown_keys(text, FIELDS), lambda k: F.concat(k, F.lit(": unknown field")))
-    blank = listed(*[(F.coalesce(strip(record[f]), F.lit("")) == "", F.lit(f"{f}: blank or missing")) for f in REQUIRED])
-    field = F.concat(strange, blank)
-    other = record["resolution_vocabulary_version"] != version
-    whole = F.when(F.coalesce(other, F.lit(True)), F.array(F.lit(f"rekord: vocabulary version is not {version}"))).when(
-        ~strip(record["resolution"]).isin(*names), F.array(F.lit("rekord: resolution is not in the vocabulary"))
+    field = F.concat(field_errors(record, [f for f in FIELDS if f not in known]), strange)
+    if told is None:
+        told = F.try_variant_get(record, "$.resolution_vocabulary_version", "double")
+    resolution = strip(F.try_variant_get(record, "$.resolution", "string"))
+    whole = F.when(told != version, F.array(F.lit(f"rekord: vocabulary version is not {version}"))).when(
+        ~resolution.isin(*names), F.array(F.lit("rekord: resolution is not in the vocabulary"))
     ).otherwise(F.array().cast("array<string>"))
     return F.when(~is_object(text), F.array(F.lit("rekord: not a JSON object"))).when(F.size(field) > 0, field).otherwise(whole)
 
@@ -47,7 +81,7 @@ def record_errors(text: Column, record: Column, version: int, names: Sequence[st
 def validated(df: DataFrame, text: str, version: int, names: Sequence[str]) -> DataFrame:
     """``df`` with ``record`` and ``errors`` (empty: valid); required texts are trimmed."""
     parsed = F.from_json(F.col(text), SCHEMA)
-    out = df.withColumn("record", parsed).withColumn("errors", record_errors(F.col(text), F.col("record"), version, names))
+    out = df.withColumn("record", parsed).withColumn("errors", record_errors(F.col(text), version, names))
     for f in REQUIRED:
         out = out.withColumn("record", F.col("record").withField(f, strip(F.col(f"record.{f}"))))
     return out.withColumn("record", F.when(F.size("errors") == 0, F.col("record")))
@@ -58,13 +92,10 @@ def parsed_answers(df: DataFrame, answer: str, ticket_id: str, date: str, versio
     whatever the model says. A failed answer keeps its row, and with it its cost."""
     bare = df.withColumn("__json", strip_fence(F.col(answer)))
     own = F.struct(F.col(ticket_id).cast("string").alias("ticket_id"), F.col(date).cast("string").alias("date"), F.lit(version).alias("resolution_vocabulary_version"))
-    rest = F.map_filter(F.from_json("__json", "map<string,string>"), lambda k, v: ~k.isin(*IDENTITY))
-    strange = F.transform(F.array_except(F.map_keys(rest), F.array(*[F.lit(f) for f in FIELDS])), lambda k: F.concat(k, F.lit(": unknown field")))
     out = bare.withColumn("record", F.from_json("__json", SCHEMA)).withColumn("__own", own)
     for f in IDENTITY:
         out = out.withColumn("record", F.col("record").withField(f, F.col(f"__own.{f}")))
-    shape = F.to_json(F.struct(*[F.col(f"record.{f}").alias(f) for f in FIELDS]))
-    errors = F.when(~is_object(F.col("__json")), F.array(F.lit("rekord: not a JSON object"))).when(F.size(strange) > 0, strange).otherwise(record_errors(shape, F.col("record"), version, names))
+    errors = record_errors(F.col("__json"), version, names, IDENTITY, F.lit(version))
     return out.withColumn("errors", errors).withColumn("record", F.when(F.size("errors") == 0, F.col("record"))).drop("__json", "__own")
 
 

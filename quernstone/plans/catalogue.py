@@ -22,6 +22,8 @@ K, EVERY, MIN_SCORE = 5, 50, 0.30
 #: Escape phrases for the four languages of ``documents``.
 PHRASES = ("the", "les", "und", "que")
 VOCABULARY = ("view", "click", "purchase")
+#: Prices of the events' invented models.
+PRICES = (("added", "north", 0.90, 4.20), ("inside", "south", 2.20, 11.00), ("inside", "east", 0.60, 3.10), ("own", "west", 0.00, 0.00))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,9 +68,13 @@ def search_threshold(spark, sf_dir):
     return search.split_at(asked(vectors(spark, sf_dir)), hits(spark, sf_dir), MIN_SCORE)
 
 
+def ranked(spark: SparkSession, sf_dir: str, part: Column | None = None) -> DataFrame:
+    corpus = vectors(spark, sf_dir, part)
+    return search.rank_of(expected(corpus), asked(corpus), corpus)
+
+
 def rank_full(spark, sf_dir):
-    ranks = search.rank_of(expected(vectors(spark, sf_dir)), scores(spark, sf_dir))
-    return ranks.select("query_id", "expected_id", "rank")
+    return ranked(spark, sf_dir).select("query_id", "expected_id", "rank")
 
 
 def rank_topk_miss(spark, sf_dir):
@@ -76,19 +82,45 @@ def rank_topk_miss(spark, sf_dir):
 
 
 def recall_curve(spark, sf_dir):
-    ranks = search.rank_of(expected(vectors(spark, sf_dir)), scores(spark, sf_dir)).withColumn("parity", F.col("query_id") % 2)
+    ranks = ranked(spark, sf_dir).withColumn("parity", F.col("query_id") % 2)
     curve = evaluate.recall_curve(ranks, 10, ["label", "parity"])
     return curve.select("grouping", *[F.coalesce(F.col(c).cast("string"), F.lit("all")).alias(c) for c in ("label", "parity")], "k", "n", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"))
 
 
+def by_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks in two spaces: the halves of the vector."""
+    one = lambda mode, begin: ranked(spark, sf_dir, F.slice("embedding", begin, 32)).withColumn("mode", F.lit(mode))
+    return one("problem", 1).unionByName(one("sts", 33))
+
+
+FIGURES = ("recall_1", "recall_3", "recall_k", "mrr")
+
+
 def modes_compare(spark, sf_dir):
-    ranks = None
-    for mode, begin in (("problem", 1), ("sts", 33)):
-        corpus = vectors(spark, sf_dir, F.slice("embedding", begin, 32))
-        one = search.rank_of(expected(corpus), search.scored(asked(corpus), corpus)).withColumn("mode", F.lit(mode))
-        ranks = one if ranks is None else ranks.unionByName(one)
-    rows = evaluate.mode_row(ranks, K)
-    return rows.select("mode", *[F.round(c, 6).alias(c) for c in ("recall_1", "recall_3", "recall_k", "mrr")])
+    return evaluate.mode_row(by_mode(spark, sf_dir), K).select("mode", *[F.round(c, 6).alias(c) for c in FIGURES])
+
+
+def mode_table(spark, sf_dir):
+    ranks = by_mode(spark, sf_dir).withColumn("input", F.when(F.col("query_id") % 100 == 0, "even").otherwise("odd"))
+    return evaluate.mode_table(ranks, "input", K).select("input", "mode", *[F.round(c, 6).alias(c) for c in FIGURES])
+
+
+def mode_deltas(spark, sf_dir):
+    rows = evaluate.mode_deltas(evaluate.mode_row(by_mode(spark, sf_dir), K), "problem", "sts")
+    return rows.select(*[F.round(c, 6).alias(c) for c in rows.columns])
+
+
+def missed_queries(spark, sf_dir):
+    return evaluate.missed(search.rank_in(expected(vectors(spark, sf_dir)), hits(spark, sf_dir)))
+
+
+def search_responses(spark, sf_dir):
+    """Hits with the fields of the document of the same id."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ticket_id"), F.lit("").alias("date"), F.col("lang").alias("component"), *[F.lit(None).cast("string").alias(f) for f in search.HIT_FIELDS[2:]])
+    queries = asked(vectors(spark, sf_dir)).select(F.col("id").alias("query_id"), F.col("label").cast("string").alias("problem"))
+    rows = search.responses(queries, hits(spark, sf_dir), docs, MIN_SCORE)
+    hit = lambda h: F.concat_ws(":", h["ticket_id"], F.round(h["score"], 4).cast("decimal(10,4)").cast("string"), h["component"])
+    return rows.select("query_id", F.array_join(F.transform("hits", hit), " ").alias("hits"), "dropped_below_threshold")
 
 
 def families(spark, sf_dir):
@@ -107,6 +139,15 @@ def threshold_sweep(spark, sf_dir):
     return rows.select("threshold", "kept", F.round("kept_percent", 6).alias("kept_percent"), "cut", "silenced", F.round("silenced_percent", 6).alias("silenced_percent"))
 
 
+def lost_hits(spark, sf_dir):
+    return evaluate.lost_at(families(spark, sf_dir)[0], search.SCORE_MIN)[0].select("query_id", F.round("score", 6).alias("score"))
+
+
+def distractor_detail(spark, sf_dir):
+    rows = evaluate.distractor_detail(families(spark, sf_dir)[2], MIN_SCORE)
+    return rows.select("query_id", F.array_join(F.transform("scores", lambda s: F.format_string("%.4f", s)), " ").alias("scores"), "passing", "verdict")
+
+
 def both_series(spark, sf_dir):
     correct, _, apart = families(spark, sf_dir)
     tagged = correct.where("score is not null").select(F.lit("golden").alias("series"), "score")
@@ -134,6 +175,38 @@ def strip_html_sampling(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.strip_html_to_measure(F.col("html")).alias("body"))
 
 
+def html_entities(spark, sf_dir):
+    """Every HTML5 name, decoded."""
+    from html.entities import html5
+
+    names = spark.createDataFrame([(n,) for n in sorted(html5)], "name string")
+    return names.select("name", text.unescape(F.concat(F.lit("a&"), "name", F.lit(" b"))).alias("text"))
+
+
+def html_numbers(spark, sf_dir):
+    n = F.col("event_id") % 50000 + 160
+    return table(spark, sf_dir, "events").select("event_id", text.unescape(F.concat(F.lit("&#"), n.cast("string"), F.lit(";.&#x"), F.hex(n), F.lit("; &;"))).alias("text"))
+
+
+def clipped_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.clipped(F.col("text"), 60).alias("text"))
+
+
+def strip_answer(spark, sf_dir):
+    """Answers in a code fence, bare again."""
+    fenced = F.concat(F.lit("```json\n"), "props", F.lit("\n```"))
+    return table(spark, sf_dir, "events").select("event_id", text.strip_fence(fenced).alias("answer"))
+
+
+def median_length(spark, sf_dir):
+    return evaluate.median_length(table(spark, sf_dir, "documents"), "text")
+
+
+def too_long(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return sampling.too_long(docs, F.length("text"), 2048).select("doc_id")
+
+
 def threads(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
     body = F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("body")
@@ -174,6 +247,10 @@ def quality_report(spark, sf_dir):
     return quality.by_reason(judged(spark, sf_dir))
 
 
+def ids_for_rule(spark, sf_dir):
+    return quality.ids_for(judged(spark, sf_dir), "no_resolution", "doc_id")
+
+
 def index_report(spark, sf_dir):
     return quality.report(judged(spark, sf_dir)).withColumn("drop_rate", F.round("drop_rate", 6)).withColumn("warning", F.col("warning").isNotNull())
 
@@ -195,6 +272,11 @@ def stratified_sample(spark, sf_dir):
     return sampling.stratified(rows, "lang", "doc_id", 200)
 
 
+def sample_report(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").where("length(text) > 50")
+    return sampling.sample_report(rows, sampling.stratified(rows, "lang", "doc_id", 200), "lang", "doc_id").select("lang", "size")
+
+
 # --- export, validation, cost, index ---------------------------------------------------
 
 
@@ -230,24 +312,45 @@ def validate_json(spark, sf_dir):
     return rows.select("event_id", F.array_join(errors, "; ").alias("errors"))
 
 
+def checked_records(spark, sf_dir):
+    from quernstone.plans.oracle import RECORDS
+
+    return validate.validated(table(spark, sf_dir, "events").select("event_id", F.expr(RECORDS).alias("json")), "json", 1, ["fixed", "open"])
+
+
+def validate_records(spark, sf_dir):
+    """Records with one fault each, through the whole validation."""
+    return checked_records(spark, sf_dir).select("event_id", F.array_join("errors", "; ").alias("errors"))
+
+
+def validation_summary(spark, sf_dir):
+    return validate.summary(checked_records(spark, sf_dir))
+
+
 def calls(spark, sf_dir):
     """Events as model calls: tokens from the value, the model from the user."""
     n = F.floor(F.col("value") * 100).cast("long")
-    names = F.array(*[F.lit(m) for m in ("small-1-20240101", "large-2-2024-01-01", "mini-2", "self-hosted")])
+    names = F.array(*[F.lit(m) for m in ("north-20240101", "south-2024-01-01", "east", "west")])
     model = F.element_at(names, (F.col("user_id") % 4 + 1).cast("int"))
     return table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value", model.alias("model"), n.alias("prompt_tokens"), F.floor(n / 3).alias("completion_tokens"), F.floor(n / 10).alias("cache_write_tokens"), F.floor(n / 2).alias("cache_read_tokens"))
 
 
 def llm_cost(spark, sf_dir):
-    paid = cost.priced(calls(spark, sf_dir), cost.price_table(spark), check=False)
+    paid = cost.priced(calls(spark, sf_dir), cost.price_table(spark, PRICES))
     return paid.select("event_id", "alias", F.round("cost_usd", 9).alias("cost_usd"))
 
 
 def run_totals(spark, sf_dir):
-    paid = cost.priced(calls(spark, sf_dir), cost.price_table(spark), check=False)
+    paid = cost.priced(calls(spark, sf_dir), cost.price_table(spark, PRICES))
     return paid.groupBy("alias").agg(F.count(F.lit(1)).alias("calls"), F.sum("prompt_tokens").alias("tokens_in"), F.sum("completion_tokens").alias("tokens_out"), F.round(F.sum("value"), 2).alias("latency"), F.round(F.sum("cost_usd"), 6).alias("cost_usd"))
 
 
+def run_summary(spark, sf_dir):
+    paid = cost.priced(calls(spark, sf_dir), cost.price_table(spark, PRICES))
+    rows = evaluate.run_summary(paid.withColumns({"record": F.when(F.col("event_id") % 7 != 0, F.col("event_id")), "latency_ms": F.col("value")}))
+    return rows.select("calls", "parsed", "failed", "tokens_in", "tokens_out", F.round("latency_ms", 2).alias("latency_ms"), F.round("cost_usd", 6).alias("cost_usd"), F.round("cost_per_ticket", 9).alias("cost_per_ticket"))
+
+
 def running_elapsed(spark, sf_dir):
     rows = table(spark, sf_dir, "events").withColumn("cents", F.round(F.col("value") * 100).cast("long"))
     return rows.select("event_id", index.running(rows, "user_id", "event_id", "cents").alias("elapsed"))
@@ -277,7 +380,8 @@ NAMES: tuple[Callable, ...] = (
     search_topk, search_threshold, rank_full, rank_topk_miss, recall_curve, modes_compare, threshold_sweep, score_distribution, score_histogram,
     strip_html_canonical, strip_html_sampling, render_thread, thread_budget, embedding_text, format_duration, quality_verdicts, quality_report, index_report,
     filter_vs_labels, not_yet_processed, kept_semi, stratified_sample, export_nested, export_verify, validate_json, llm_cost, run_totals, running_elapsed,
-    upsert_latest, point_ids, fake_embed_norms, hourly_activity,
+    upsert_latest, point_ids, fake_embed_norms, hourly_activity, validate_records, validation_summary, html_entities, html_numbers, mode_table, mode_deltas,
+    missed_queries, lost_hits, distractor_detail, search_responses, median_length, sample_report, clipped_text, strip_answer, too_long, ids_for_rule, run_summary,
 )
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 SCORES = """
 e as (select vec_id, label, embedding::double[] as v from embeddings),
 s as (select q.vec_id as query_id, q.label, c.vec_id as id, c.label as other, list_cosine_similarity(q.v, c.v) as score
-      from e q join e c on q.vec_id < 50 and q.vec_id <> c.vec_id),
+      from e q join e c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
 h as (select * from (select *, row_number() over (partition by query_id order by score desc, id) as rank from s) where rank <= 5),
 x as (select q.vec_id as query_id, q.label, (select min(c.vec_id) from e c where c.label = q.label and c.vec_id <> q.vec_id) as expected_id
-      from e q where q.vec_id < 50)
+      from e q where q.vec_id % 50 = 0)
 """
 
 RANKS = SCORES + """,
@@ -60,8 +60,8 @@ j as (select doc_id, lang, not (len(list_filter(w, lambda x: x in ('the', 'les',
 """
 
 CALLS = """
-p(vendor, alias, pin, pout) as (values ('added', 'small-1', 1.0::double, 5.0::double), ('inside', 'large-2', 2.5, 15.0), ('inside', 'mini-2', 0.75, 4.5), ('own', 'self-hosted', 0.0, 0.0)),
-k as (select event_id, value, (['small-1', 'large-2', 'mini-2', 'self-hosted'])[(user_id % 4)::int + 1] as alias, floor(value * 100)::bigint as n from events),
+p(vendor, alias, pin, pout) as (values ('added', 'north', 0.9::double, 4.2::double), ('inside', 'south', 2.2, 11.0), ('inside', 'east', 0.6, 3.1), ('own', 'west', 0.0, 0.0)),
+k as (select event_id, value, (['north', 'south', 'east', 'west'])[(user_id % 4)::int + 1] as alias, floor(value * 100)::bigint as n from events),
 t as (select event_id, value, alias, n as a, floor(n / 3)::bigint as b, floor(n / 10)::bigint as w, floor(n / 2)::bigint as r from k),
 c as (select t.*, case vendor when 'added' then (a + 1.25::double * w + 0.1::double * r) * pin / 1e6 + b * pout / 1e6
         when 'inside' then (greatest(a - r, 0) + 0.1::double * r) * pin / 1e6 + b * pout / 1e6 else 0 end as cost_usd from t join p using (alias))
@@ -69,13 +69,73 @@ c as (select t.*, case vendor when 'added' then (a + 1.25::double * w + 0.1::dou
 
 MODE = """
 e{m} as (select vec_id, label, (embedding::double[])[{a}:{b}] as v from embeddings),
-s{m} as (select q.vec_id as query_id, c.vec_id as id, list_cosine_similarity(q.v, c.v) as score from e{m} q join e{m} c on q.vec_id < 50 and q.vec_id <> c.vec_id),
-x{m} as (select q.vec_id as query_id, (select min(c.vec_id) from e{m} c where c.label = q.label and c.vec_id <> q.vec_id) as expected_id from e{m} q where q.vec_id < 50),
+s{m} as (select q.vec_id as query_id, c.vec_id as id, list_cosine_similarity(q.v, c.v) as score from e{m} q join e{m} c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
+x{m} as (select q.vec_id as query_id, (select min(c.vec_id) from e{m} c where c.label = q.label and c.vec_id <> q.vec_id) as expected_id from e{m} q where q.vec_id % 50 = 0),
 o{m} as (select x.query_id, x.expected_id, s.score from x{m} x left join s{m} s on s.query_id = x.query_id and s.id = x.expected_id),
 r{m} as (select '{m}' as mode, o.query_id, case when any_value(o.score) is not null then 1 + sum(case when s.score > o.score or (s.score = o.score and s.id < o.expected_id) then 1 else 0 end) end as rank
   from o{m} o left join s{m} s on s.query_id = o.query_id group by o.query_id)
 """
 
+#: JSON records with one fault each, by event; the same text in both dialects.
+GOOD = '{"ticket_id":"7","date":"2024-05-06","component":"app","problem":"p","symptoms":"s","error_codes":["E1"],"cause":"c","solution":"x","resolution":"fixed","resolution_vocabulary_version":1,"questions_summary":"q"}'
+FAULTS = (
+    GOOD,
+    GOOD.replace('"ticket_id":"7",', ""),
+    GOOD.replace("2024-05-06", "not a date"),
+    GOOD.replace("2024-05-06", "2024-02-31"),
+    GOOD.replace('"problem":"p"', '"problem":5'),
+    GOOD.replace('["E1"]', '"E1"'),
+    GOOD.replace('["E1"]', '["E1",2]'),
+    GOOD.replace('"cause":"c"', '"cause":"  "'),
+    GOOD.replace('"solution":"x"', '"solution":null'),
+    GOOD.replace('"resolution":"fixed"', '"resolution":"other"'),
+    GOOD.replace('_version":1', '_version":2'),
+    GOOD.replace('_version":1', '_version":1.5'),
+    GOOD.replace('"questions_summary":"q"', '"questions_summary":"","extra":1'),
+    GOOD.replace(',"questions_summary":"q"', "").replace('"error_codes":["E1"],', ""),
+    "[1]",
+    "{broken",
+)
+RECORDS = "case event_id % 16 " + " ".join(f"when {i} then '{text}'" for i, text in enumerate(FAULTS)) + " end"
+
+
+def text_error(f: str, blank: bool = True) -> str:
+    optional = f == "questions_summary"
+    missing = "" if optional else f"when json_type(d, '$.{f}') is null then '{f}: missing' "
+    empty = f"when trim(json_extract_string(d, '$.{f}')) = '' then '{f}: blank or missing' " if blank else ""
+    return f"case {missing}when json_type(d, '$.{f}') <> 'VARCHAR' then '{f}: not a text' {empty}end"
+
+
+FIELD_ERRORS = ", ".join(
+    [
+        text_error("ticket_id", False),
+        "case when json_type(d, '$.date') is null then 'date: missing' when json_type(d, '$.date') <> 'VARCHAR' then 'date: not a text' when try_cast(json_extract_string(d, '$.date') as date) is null then 'date: not a date' end",
+        *[text_error(f) for f in ("component", "problem", "symptoms")],
+        "case when json_type(d, '$.error_codes') is not null and (json_type(d, '$.error_codes') <> 'ARRAY' or len(list_filter(json_extract(d, '$.error_codes[*]'), lambda x: json_type(x) <> 'VARCHAR')) > 0) then 'error_codes: not a list of texts' end",
+        *[text_error(f) for f in ("cause", "solution")],
+        text_error("resolution", False),
+        "case when json_type(d, '$.resolution_vocabulary_version') is null then 'resolution_vocabulary_version: missing' when try_cast(json_extract_string(d, '$.resolution_vocabulary_version') as double) % 1 <> 0 then 'resolution_vocabulary_version: not an integer' end",
+        text_error("questions_summary"),
+        "case when list_contains(json_keys(d), 'extra') then 'extra: unknown field' end",
+    ]
+)
+CHECKED = f"""
+a as (select event_id, {RECORDS} as t from events),
+b as (select event_id, case when json_valid(t) then t end as d from a),
+f as (select event_id, d, list_filter([{FIELD_ERRORS}], lambda x: x is not null) as e from b where d is not null and json_type(d) = 'OBJECT'),
+v as (select event_id, case when f.event_id is null then 'rekord: not a JSON object' when len(e) > 0 then array_to_string(e, '; ')
+        when json_extract_string(d, '$.resolution_vocabulary_version')::double <> 1 then 'rekord: vocabulary version is not 1'
+        when json_extract_string(d, '$.resolution') not in ('fixed', 'open') then 'rekord: resolution is not in the vocabulary' else '' end as errors from b left join f using (event_id, d))
+"""
+
+
+def entity_rows() -> str:
+    from html.entities import html5
+
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    return ", ".join(f"({quoted(name)}, {quoted(value)})" for name, value in sorted(html5.items()))
+
+
 LOCATED = "least(n - 1, floor({f} * n)::bigint)::int + 1"
 
 ORACLE = {
@@ -109,7 +169,7 @@ ORACLE = {
         from (select *, chr(10) || 'KOMENTARZ ' || row_number() over (partition by conv_id, turn > 0 order by turn) || ' — ' || role || ', ' || turn || ' (typ: zwyczajny):' || chr(10)
                 || coalesce(nullif(text, ''), '(pusty komentarz)') as line from conversations) group by conv_id""",
     "thread_budget": f"select conv_id, sum(len)::int as chars, sum(len) + 500 <= 2304 as fits from (select conv_id, length({measured('text')}) as len from conversations) group by 1",
-    "embedding_text": "select doc_id, concat_ws(chr(10), lang, substr(text, 1, 100)) as embedded from documents",
+    "embedding_text": "select doc_id, concat_ws(chr(10), lang, text) as embedded from documents",
     "format_duration": """select event_id, case when s < 90 then round_even(s, 0)::bigint || 's' when floor(s) < 3600 then floor(s)::bigint // 60 || 'min ' || lpad((floor(s)::bigint % 60)::varchar, 2, '0') || 's'
           else floor(s)::bigint // 3600 || 'h ' || lpad((floor(s)::bigint // 60 % 60)::varchar, 2, '0') || 'min' end as took from (select event_id, value * 37 as s from events)""",
     "quality_verdicts": f"with {JUDGED} select doc_id, keep, case when not keep then 'no_resolution' end as rule, case when not keep then evidence end as evidence from j",
@@ -141,5 +201,31 @@ ORACLE = {
     "upsert_latest": "select user_id, event_id, event_type, value from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1",
     "point_ids": """select doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || lower(printf('%02x', (('0x' || substr(h, 17, 2))::int & 63) | 128)) || substr(h, 19, 2) || '-' || substr(h, 21, 12) as point_id
         from (select doc_id, sha1(unhex('6f1d5a3c6b8e5e2a9a440f2c6f9c1b77') || doc_id::varchar::blob) as h from documents)""",
+    "validate_records": f"with {CHECKED} select event_id, errors from v",
+    "validation_summary": f"with {CHECKED} select count(*) as checked, count(*) filter (where errors <> '') as failed, count(*) filter (where errors <> '') = 0 as ok from v",
+    "html_entities": f"select n as name, 'a' || c || ' b' as text from (values {entity_rows()}) as e(n, c)",
+    "html_numbers": """select event_id, chr((event_id % 50000 + 160)::int) || '.' || chr((event_id % 50000 + 160)::int) || ' &;' as text from events""",
+    "mode_deltas": f"""with {MODE.format(m="problem", a=1, b=32)}, {MODE.format(m="sts", a=33, b=64)}, u as (select * from rproblem union all select * from rsts),
+        m as (select mode, 100.0::double * count(*) filter (where rank <= 1) / count(*) as a, 100.0::double * count(*) filter (where rank <= 3) / count(*) as b,
+          100.0::double * count(*) filter (where rank <= 5) / count(*) as c, avg(1.0::double / rank) as d from u group by mode)
+        select round(p.a - s.a, 6) as recall_1_delta, round(p.b - s.b, 6) as recall_3_delta, round(p.c - s.c, 6) as recall_k_delta, round(p.d - s.d, 6) as mrr_delta from m p, m s where p.mode = 'problem' and s.mode = 'sts'""",
+    "mode_table": f"""with {MODE.format(m="problem", a=1, b=32)}, {MODE.format(m="sts", a=33, b=64)}, u as (select * from rproblem union all select * from rsts)
+        select case when query_id % 100 = 0 then 'even' else 'odd' end as input, mode, round(100.0::double * count(*) filter (where rank <= 1) / count(*), 6) as recall_1,
+          round(100.0::double * count(*) filter (where rank <= 3) / count(*), 6) as recall_3, round(100.0::double * count(*) filter (where rank <= 5) / count(*), 6) as recall_k,
+          round(avg(1.0::double / rank), 6) as mrr from u group by 1, 2""",
+    "missed_queries": f"with {SCORES} select x.query_id from x left join h on h.query_id = x.query_id and h.id = x.expected_id where h.id is null",
+    "lost_hits": f"with {FAMILIES} select query_id, round(score, 6) as score from g where score < 0.48",
+    "distractor_detail": f"""with {FAMILIES} select query_id, array_to_string(list(printf('%.4f', score) order by rank), ' ') as scores, count(*) filter (where score >= 0.30) as passing,
+          case when count(*) filter (where score >= 0.30) = 0 then 'silenced' else 'answers' end as verdict from a group by 1""",
+    "search_responses": f"""with {SCORES} select x.query_id, coalesce(string_agg(coalesce(d.doc_id::varchar, '') || ':' || round(h.score, 4)::decimal(10, 4) || ':' || coalesce(d.lang, ''), ' ' order by rank) filter (where h.score >= 0.30), '') as hits,
+          count(h.id) filter (where h.score < 0.30) as dropped_below_threshold from x left join h using (query_id) left join documents d on d.doc_id = h.id group by 1""",
+    "median_length": "select median(length(text)) as median_length from documents where text is not null",
+    "sample_report": "select lang, count(*) as size from documents where length(text) > 50 group by 1",
+    "clipped_text": "select doc_id, case when length(text) > 60 then substr(text, 1, 59) || '…' else text end as text from documents",
+    "strip_answer": "select event_id, props as answer from events",
+    "too_long": "select doc_id from documents where length(text) > 6144",
+    "ids_for_rule": f"with {JUDGED} select doc_id from j where not keep",
+    "run_summary": f"""with {CALLS} select count(*) as calls, count(*) filter (where event_id % 7 <> 0) as parsed, count(*) filter (where event_id % 7 = 0) as failed, sum(a)::bigint as tokens_in,
+          sum(b)::bigint as tokens_out, round(sum(value), 2) as latency_ms, round(sum(cost_usd), 6) as cost_usd, round(sum(cost_usd) / count(*), 9) as cost_per_ticket from c""",
     "hourly_activity": "select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2",
 }

@@ -8,12 +8,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import strip_html
+from quernstone.operators.validate import validated
 
+# The export's fields, in the export's order.
 COMMENT = "struct<id:int,typ:string,autor_rola:string,created_at:string,tresc:string>"
 SCALARS = (
-    "created_at updated_at status kategoria modul czego_dotyczy szczegolowy_opis priorytet sposob_zgloszenia wersja_zgloszona numer_mantis data_przyjecia data_zamkniecia"
-    " powod_zakonczenia wykonane_czynnosci przyczyna ocena_rozwiazania instytucja osoba_kontakt email_kontakt telefon_kontakt"
-).split()
+    "created_at",
+    "updated_at",
+    "status",
+    "kategoria",
+    "modul",
+    "czego_dotyczy",
+    "szczegolowy_opis",
+    "priorytet",
+    "sposob_zgloszenia",
+    "wersja_zgloszona",
+    "numer_mantis",
+    "data_przyjecia",
+    "data_zamkniecia",
+    "powod_zakonczenia",
+    "wykonane_czynnosci",
+    "przyczyna",
+    "ocena_rozwiazania",
+    "instytucja",
+    "osoba_kontakt",
+    "email_kontakt",
+    "telefon_kontakt",
+)
 RAW = f"zrodlo string, tabela string, zgloszenie struct<id:int,rozwiazanieid:int,{','.join(f'{s}:string' for s in SCALARS)}>, komentarze array<{COMMENT}>"
 PARSED = (
     "ticket_id string, date date, component string, problem string, symptoms string, error_codes array<string>, cause string, solution string, resolution string,"
@@ -63,6 +84,21 @@ def read_parsed(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("error_codes", F.coalesce("error_codes", F.array().cast("array<string>"))).withColumn("questions_summary", F.coalesce("questions_summary", F.lit("brak")))
 
 
+def read_artifacts(spark: SparkSession, folder: str, version: int, names: Sequence[str]) -> DataFrame:
+    """The records of a folder's artifacts in the order of their file names. An invalid one
+    stops the read, with its file's name and first error."""
+    checked = validated(read_texts(spark, folder), "text", version, names)
+    file = F.element_at(F.split("path", "/"), -1)
+    stop = F.raise_error(F.concat(file, F.lit(": "), F.get("errors", F.lit(0))))
+    return checked.select(file.alias("file_name"), F.when(F.size("errors") == 0, F.col("record")).otherwise(stop).alias("record")).orderBy("file_name").select("file_name", "record.*")
+
+
+def write_files(rows: DataFrame, folder: str, name: str, text: str) -> None:
+    """One JSON file per row, ``<name>.json``, written by the tasks through Hadoop's text
+    format: a folder per name, that many tools read as one document."""
+    rows.select(F.concat(F.col(name).cast("string"), F.lit(".json")).alias("file"), F.col(text).alias("value")).write.partitionBy("file").text(folder)
+
+
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
     """path and whole text of every JSON file, for validation that reports and never aborts."""
     return spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
@@ -84,16 +120,23 @@ def read_distractors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered(rows: DataFrame, file_name: str = "file_name") -> DataFrame:
-    """With ``number``: the last part of the file's stem, as an integer."""
+    """With ``number``: the last part of the file's stem, as an integer; ordered by it."""
     stem = F.regexp_replace(F.col(file_name), r"\.[^.]*$", "")
-    return rows.withColumn("number", F.element_at(F.split(stem, "-"), -1).cast("int"))
+    return rows.withColumn("number", F.element_at(F.split(stem, "-"), -1).cast("int")).orderBy("number", file_name)
 
 
 def write_ids(ids: DataFrame, path: str) -> None:
-    """One id per line, ascending."""
-    ids.select(F.col(ids.columns[0]).cast("string")).coalesce(1).write.text(path)
+    """One id per line, ascending: part files in the order of their ranges."""
+    column = ids.columns[0]
+    ids.select(column).repartitionByRange(column).sortWithinPartitions(column).select(F.col(column).cast("string")).write.text(path)
+
+
+def ids_of_module(spark: SparkSession, url: str, table: str, module: str, **options: str) -> DataFrame:
+    """Ids of a module's rows, ascending; filter and column are pushed down."""
+    return read_relational(spark, url, table, **options).where(F.col("modul") == module).select("id").orderBy("id")
 
 
 def read_relational(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
-    """A table by JDBC; filters and columns are pushed down by Spark."""
+    """A table by JDBC; filters and columns are pushed down by Spark. With the options
+    partitionColumn, lowerBound, upperBound and numPartitions it is read by several tasks."""
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()

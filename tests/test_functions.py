@@ -93,6 +93,9 @@ def test_vectors(spark):
     assert one(spark, normalised(F.array(F.lit(0.0)))) == [0.0]
 
 
+PRICES = [("added", "small-1", 1.00, 5.00), ("inside", "mini-2", 0.75, 4.50), ("own", "self-hosted", 0.00, 0.00)]
+
+
 @pytest.mark.parametrize(
     ("model", "prompt", "completion", "write", "read", "usd"),
     [
@@ -105,14 +108,14 @@ def test_vectors(spark):
 )
 def test_cost(spark, model, prompt, completion, write, read, usd):
     calls = spark.createDataFrame([(model, prompt, completion, write, read)], "model string, prompt_tokens long, completion_tokens long, cache_write_tokens long, cache_read_tokens long")
-    assert cost.priced(calls, cost.price_table(spark)).first()["cost_usd"] == pytest.approx(usd)
+    assert cost.priced(calls, cost.price_table(spark, PRICES)).first()["cost_usd"] == pytest.approx(usd)
 
 
 def test_cost_is_never_negative_and_unknown_models_fail(spark):
     schema = "model string, prompt_tokens long, completion_tokens long, cache_write_tokens long, cache_read_tokens long"
-    assert cost.priced(spark.createDataFrame([("mini-2", 100, 0, 0, 5000)], schema), cost.price_table(spark)).first()["cost_usd"] >= 0
+    assert cost.priced(spark.createDataFrame([("mini-2", 100, 0, 0, 5000)], schema), cost.price_table(spark, PRICES)).first()["cost_usd"] >= 0
     with pytest.raises(cost.PriceError):
-        cost.priced(spark.createDataFrame([("other", 1, 1, 0, 0)], schema), cost.price_table(spark))
+        cost.priced(spark.createDataFrame([("other", 1, 1, 0, 0)], schema), cost.price_table(spark, PRICES))
 
 
 def test_completion_keeps_rows(spark):
@@ -122,3 +125,32 @@ def test_completion_keeps_rows(spark):
 
 def test_settings_blank_is_default():
     assert Settings.load({"RAG_TOP_K": " ", "RAG_SCORE_MIN": "0.5"}) == Settings(rag_score_min=0.5)
+
+
+def test_entities_equal_pythons(spark):
+    import html
+    import random
+
+    draw = random.Random(4)
+    names = sorted(html.entities.html5)
+    odd = ["&", "&&amp;", "&#", "&#;", "&#x;", "&#x80;", "&#128", "&#0;", "&#xD800;", "&#1114112;", "&#99999999999999999999;", "&#x000041", "&#11;", "&#13;", "&notit;", "&ampx", "&AMP", "&lt&gt", "&Ksi;&eacute;&#322;&#261;d", "a&b;c", "&nosuch;", "&" + "a" * 40 + ";", "&#xFDD0;", "&#x1F600;", "&sup1x", "&amp;lt;"]
+    rows = odd + ["".join(draw.choice(["&" + draw.choice(names), "&" + draw.choice(names)[:-1], f"&#{draw.randrange(70000)};", f"&#x{draw.randrange(1200000):x}", "x ", ";", "é&", "\n"]) for _ in range(8)) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in [*rows, None]], "t string")
+    got = [tuple(r) for r in df.select("t", text.unescape(F.col("t")), text.unescape_all(F.col("t"))).collect()]
+    assert [(t, a) for t, a, _ in got if t is not None and a != html.unescape(t)] == []
+    assert all(a == b for _, a, b in got) and got[-1] == (None, None, None)
+
+
+def test_script_of_answers_ends(spark):
+    rows = spark.createDataFrame([("a",), ("b",)], "p string").coalesce(1)
+    out = encoders.completed(rows, "p", encoders.scripted_completer(["x", "y z"])).collect()
+    assert [r["completion"]["text"] for r in out] == ["x", "y z"]
+    with pytest.raises(Exception, match="script of 1 answers"):
+        encoders.completed(rows, "p", encoders.scripted_completer(["x"])).collect()
+    assert one(spark, text.clipped(F.lit("abcdef"), 4)) == "abc…" and one(spark, text.clipped(F.lit("abcd"), 4)) == "abcd"
+
+
+def test_prices_from_a_file(spark, tmp_path):
+    path = tmp_path / "prices.json"
+    path.write_text('[{"vendor": "added", "model": "m", "input_price": 1.0, "output_price": 2.0}]')
+    assert [tuple(r) for r in cost.read_prices(spark, str(path)).collect()] == [("added", "m", 1.0, 2.0)]

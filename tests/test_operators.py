@@ -200,3 +200,77 @@ def test_ticket_files(spark, tmp_path):
     with pytest.raises(tickets.SourceError):
         tickets.chosen(rows, ["8"])
     assert tickets.read_texts(spark, str(tmp_path)).count() == 1
+
+
+@pytest.mark.parametrize(
+    ("change", "error"),
+    [
+        ({"ticket_id": None}, "ticket_id: not a text"),
+        ({"date": "not a date"}, "date: not a date"),
+        ({"date": "2026-02-30"}, "date: not a date"),
+        ({"problem": 5}, "problem: not a text"),
+        ({"error_codes": "E1"}, "error_codes: not a list of texts"),
+        ({"error_codes": ["E1", None]}, "error_codes: not a list of texts"),
+        ({"error_codes": []}, None),
+        ({"resolution_vocabulary_version": "x"}, "resolution_vocabulary_version: not an integer"),
+        ({"questions_summary": " "}, "questions_summary: blank or missing"),
+    ],
+)
+def test_types_of_fields(spark, change, error):
+    row = validate.validated(spark.createDataFrame([(json.dumps(GOOD | change),)], "t string"), "t", 1, NAMES).first()
+    assert row["errors"] == ([error] if error else [])
+
+
+def test_missing_fields_and_answers_of_wrong_types(spark):
+    for f in ("ticket_id", "date", "problem", "resolution_vocabulary_version"):
+        text = json.dumps({k: v for k, v in GOOD.items() if k != f})
+        assert validate.validated(spark.createDataFrame([(text,)], "t string"), "t", 1, NAMES).first()["errors"] == [f"{f}: missing"]
+    rows = spark.createDataFrame([(json.dumps(GOOD | {"problem": 5}), "1", "2026-01-01")], "a string, i string, d string")
+    assert validate.parsed_answers(rows, "a", "i", "d", 1, NAMES).first()["errors"] == ["problem: not a text"]
+
+
+def test_artifacts_are_read_in_order_and_strictly(spark, tmp_path):
+    for name in ("b", "a"):
+        (tmp_path / f"{name}.json").write_text(json.dumps(GOOD | {"ticket_id": name}))
+    assert [r["ticket_id"] for r in tickets.read_artifacts(spark, str(tmp_path), 1, NAMES).collect()] == ["a", "b"]
+    (tmp_path / "c.json").write_text(json.dumps(GOOD | {"problem": ""}))
+    with pytest.raises(Exception, match="c.json: problem"):
+        tickets.read_artifacts(spark, str(tmp_path), 1, NAMES).collect()
+
+
+def test_ids_are_written_in_order(spark, tmp_path):
+    path = str(tmp_path / "ids")
+    tickets.write_ids(spark.range(500).orderBy(F.rand(3)), path)
+    lines = [x for f in sorted((tmp_path / "ids").glob("part-*")) for x in f.read_text().split()]
+    assert lines == [str(i) for i in range(500)]
+    tickets.write_files(spark.createDataFrame([(1, "{}"), (2, "[]")], "id int, doc string"), str(tmp_path / "files"), "id", "doc")
+    assert {p.name for p in (tmp_path / "files").iterdir() if p.is_dir()} == {"file=1.json", "file=2.json"}
+
+
+def test_hits_requests_and_responses(spark):
+    rows = spark.createDataFrame([('{"id": "p", "score": 0.5, "payload": {"ticket_id": "7"}}',), ("{}",)], "entry string")
+    got = [(r["point_id"], r["score"], r["ticket_id"], r["payload"]) for r in search.decoded_hits(rows).collect()]
+    assert got == [("p", 0.5, "7", {"ticket_id": "7"}), ("", 0.0, "", {})]
+    schema = "ticket_id string, date date, category string, subject string, body string, comments array<struct<role:string,created_at:string,body:string>>"
+    row = search.requests_as_tickets(spark.createDataFrame([("1", None, "", "", "b", [(None, None, "x")])], schema)).first()
+    assert row["date"] is not None and tuple(row["comments"][0]) == ("zwyczajny", "nieznany", "", "x")
+
+
+def test_index_is_created_verified_and_dropped(spark, tmp_path):
+    path = str(tmp_path / "index")
+    assert index.create_or_verify(spark, path, 2)
+    rows = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new"), ("b", 1, "x")], "point_id string, at int, text string")
+    rows = rows.withColumns({"vector_problem": F.array(F.lit(1.0), F.lit(0.0)), "vector_sts": F.array(F.lit(1.0), F.lit(0.0))})
+    assert index.upsert(spark, path, rows, order="at") == 2
+    assert {r["point_id"]: r["text"] for r in index.load(spark, path).collect()} == {"a": "new", "b": "x"}
+    assert not index.create_or_verify(spark, path, 2)
+    with pytest.raises(index.IndexError_):
+        index.create_or_verify(spark, path, 3)
+    assert index.drop(spark, path) and not index.drop(spark, path)
+
+
+def test_places_in_categories(spark):
+    rows = spark.createDataFrame([(i, None if i % 7 == 0 else "ab"[i % 2]) for i in range(200)], "id int, c string")
+    got = sampling.placed_in(rows, "c", F.col("id")).collect()
+    for c in (None, "a", "b"):
+        assert [r["at"] for r in sorted((r for r in got if r["c"] == c), key=lambda r: r["id"])] == list(range(sum(r["c"] == c for r in got)))
