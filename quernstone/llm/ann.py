@@ -4,25 +4,29 @@ Fit, on a bounded sample (``SAMPLE`` vectors, those with the smallest hash of th
 the sample's exact ``NEIGHBOURS``-nearest-neighbour graph is cut into balanced parts, by
 growing parts of equal size from spread-out seeds and then refining with label
 propagation under a capacity; a small classifier (softmax regression on the vector) is
-trained on each sample vector's part, with its neighbours' parts as soft targets. The
-number of parts that a query visits is the smallest that finds ``TARGET`` of the true
-neighbours of sample queries, measured against brute force.
+trained on each sample vector's part, with its neighbours' parts as soft targets. There is
+a part for each ``PART_ROWS`` rows of the table, as far as the sample goes (``PART_SAMPLE``
+sample vectors for each, so at most 256). The number of parts that a query visits, at
+every size of the table, is the smallest that finds ``TARGET`` of the true neighbours of
+sample vectors, measured against brute force: few where the vectors have clusters, most of
+them where they have none.
 
 Index: every row goes to its most probable part, whatever the part's size.
 
-Search: a query visits its most probable parts. Parts are dealt to tasks in blocks of
-bounded size (rows by hash), each block meets the queries that visit its part, and only
-each block's nearest go on to the merge, so no part, however large, meets in one task.
+Search: a query visits its most probable parts. A part's rows and the queries that visit it
+are dealt to blocks of bounded size by hash; each block of rows meets each block of
+queries, and only each block's nearest go on to the merge, so no part, however large, meets
+in one task. A part that at most ``QUERY_BLOCK`` queries visit is not copied.
 Distances are Euclidean, in double precision, on the original vectors; ties go to the
 smaller id.
 
 Vectors that are null, zero, of another length than most, or that hold null, NaN or
 infinite components take no part, as a candidate or as a query.
 
-Edge cases: fewer candidates than ``TOP``: all that the visited parts hold, and all
-parts are visited by queries over a table with at most ``EXACT`` rows; repeated vectors
-are separate rows, a row whose id is null is no candidate; an empty table gives an
-empty result; other columns are ignored.
+Edge cases: fewer than ``TOP`` candidates: all parts are visited, so all are found; repeated
+vectors are separate rows; a row whose id is null is no candidate; of rows with equal id
+all are candidates of others, none of each other, and a query id is asked once, with the
+smallest of its vectors; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,13 +40,11 @@ from pyspark.sql import functions as F
 
 from quernstone.llm.common import read, written
 
-SAMPLE, NEIGHBOURS, TOP, EVERY = 4096, 10, 10, 100
-#: Sample rows for each part, bounds on the number of parts, recall aimed at.
-PART_SAMPLE, PARTS, TARGET = 128, (2, 64), 0.94
+SAMPLE, NEIGHBOURS, TOP, EVERY = 8192, 10, 10, 100
+#: Rows and sample rows for each part, recall aimed at.
+PART_ROWS, PART_SAMPLE, TARGET = 256, 32, 0.94
 #: Rows of a part that meet in one task, and queries with them.
-BLOCK, QUERY_BLOCK = 8192, 2048
-#: Tables of at most this many rows are searched in all their parts.
-EXACT = 2000
+BLOCK, QUERY_BLOCK = 16_384, 8_192
 
 
 def usable(column: str) -> Column:
@@ -126,12 +128,12 @@ def classifier(x: Any, target: Any, steps: int = 300, rate: float = 0.05) -> tup
     return w[:-1], w[-1]
 
 
-def fit(rows: Any) -> dict[str, Any]:
-    """The model from an array of sample vectors: mean, spread, w, b, visits."""
+def fit(rows: Any, count: int, top: int = TOP) -> dict[str, Any]:
+    """The model from an array of sample vectors of ``count`` rows: mean, spread, w, b, visits."""
     import numpy as np
 
     n = len(rows)
-    parts = int(np.clip(n // PART_SAMPLE, *PARTS))
+    parts = max(2, min(count // PART_ROWS, n // PART_SAMPLE))
     mean, spread = rows.mean(axis=0), rows.std(axis=0) + 1e-9
     k = min(NEIGHBOURS, n - 1)
     if k < 1:
@@ -150,7 +152,7 @@ def fit(rows: Any) -> dict[str, Any]:
     np.put_along_axis(place, order, np.arange(parts)[None, :], axis=1)
     # the place of each true neighbour's part in the query's order
     found = np.take_along_axis(place, at[near], axis=1)
-    visits = next((c for c in range(1, parts + 1) if (found < c).mean() >= TARGET), parts)
+    visits = next((c for c in range(1, parts + 1) if (found < c).mean() >= TARGET), parts) if count > top else parts
     return {"mean": mean, "spread": spread, "w": w, "b": b, "visits": visits}
 
 
@@ -218,17 +220,18 @@ def search(vectors: DataFrame, queries: Column, top: int = TOP, id_col: str = "v
     dim, count = sizes[0]
     good = good.where(F.size("v") == dim)
     drawn = good.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()
-    model = fit(np.array([r["v"] for r in drawn]))
-    parts = model["w"].shape[1]
-    visits = parts if count <= EXACT else model["visits"]
+    model = fit(np.array([r["v"] for r in drawn]), count, top)
     indexed = written(routed(good, model, 1).select("id", "v", F.col("parts")[0].alias("part")), "ann-index")
-    asked = written(routed(good.where(queries), model, visits), "ann-queries")
-    query_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    held = indexed.groupBy("part").count().select("part", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    visiting = asked.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int").alias("query_block"), F.explode("parts").alias("part")).join(held, "part")
-    visiting = visiting.select("id", "v", "query_block", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    blocks = indexed.join(held, "part").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    blocks = blocks.select("id", "v", "part", "block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"))
+    once = good.where(queries).groupBy("id").agg(F.min("v").alias("v"))
+    asked = written(routed(once, model, model["visits"]).select("id", "v", F.explode("parts").alias("part")), "ann-queries")
+    blocks_of = lambda n, size, name: F.greatest(F.ceil(n / size), F.lit(1)).cast("int").alias(name)
+    held = indexed.groupBy("part").count().select("part", blocks_of(F.col("count"), BLOCK, "blocks"))
+    visits = asked.groupBy("part").count().select("part", blocks_of(F.col("count"), QUERY_BLOCK, "query_blocks"))
+    plan = F.broadcast(held.join(visits, "part"))  # a row for each part
+    within = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    visiting = asked.join(plan, "part").select("id", "v", "part", within(F.col("query_blocks")).alias("query_block"), every(F.col("blocks")).alias("block"))
+    blocks = indexed.join(plan, "part").select("id", "v", "part", within(F.col("blocks")).alias("block"), every(F.col("query_blocks")).alias("query_block"))
     key = ["part", "block", "query_block"]
     near = visiting.groupBy(key).cogroup(blocks.groupBy(key)).applyInPandas(nearest_in_block(top), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))

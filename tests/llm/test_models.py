@@ -117,6 +117,8 @@ def test_neighbours(spark):
     bad = [(5000, None), (5100, [0.0] * 16), (5200, [float("nan")] * 16), (5300, [1.0]), (5400, [1.0] * 15 + [None]), (None, [1.0] * 16)]
     df = spark.createDataFrame([*((i, v.tolist()) for i, v in enumerate(x)), *bad], "vec_id long, embedding array<double>").withColumn("v", F.lit("clash"))
     found = ann.search(df, F.col("id") % 100 == 0).collect()
+    model = ann.fit(x, 3000)
+    assert 2 * model["visits"] < model["w"].shape[1]  # the router prunes
     hit = 0
     for q in range(0, 3000, 100):
         mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in found if r["query_id"] == q)
@@ -130,3 +132,6 @@ def test_neighbours(spark):
     few = ann.search(df.where("vec_id < 4"), F.col("id") == 0).orderBy("rank").collect()
     assert [r["rank"] for r in few] == [1, 2, 3]
     assert ann.search(df.where("vec_id < 0"), F.col("id") == 0).count() == 0
+    twice = df.where("vec_id < 40").unionByName(df.where("vec_id < 2"))
+    got = ann.search(twice, F.col("id") == 0).orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1, 11)) and 0 not in {r["vec_id"] for r in got}
