@@ -6,14 +6,17 @@ names with digits or very long become wildcards that keep the file ending; beyon
 form a tree by host, much smaller than the pages. On it, level by level,
 
 * a node with more than ``FAN_OUT`` different literal children makes them one ``*``;
-* literal siblings with equal continuation merge into ``*`` if no child's share of
-  blocked pages differs significantly from that of all together (two-proportion test).
+* literal siblings that have labelled pages, with equal continuation, merge into ``*`` if
+  no child's share of blocked pages among its labelled ones differs significantly from
+  that of all together (two-proportion test). A branch without labels stays as it is:
+  nothing is known against it, so it is allowed.
 
 A template is rejected if it has ``MIN_LABELS`` labelled pages and its purity, smoothed
 towards its host's, which is smoothed towards the corpus', reaches ``PURITY``.
 Labels come from the rules, or from a column of the caller's.
 
-DataFrame functions only; pages meet the tree in one equi-join on (host, template,
+DataFrame functions only. Hosts with very many templates are spread in the tree's joins;
+pages meet the tree in one equi-join on (host, template,
 salt), salted because one host can own a third of all pages.
 
 Edge cases: a url that is null or has no ``://`` has empty host and path and fits no
@@ -29,7 +32,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import read, written
+from quernstone.llm.common import read, spread_join, written
 
 #: (verdict, host, path prefix)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -87,25 +90,32 @@ def literal(segment: Column) -> Column:
 def tree(leaves: DataFrame, depth: int = DEPTH, fan_out: int = FAN_OUT, z: float = Z) -> DataFrame:
     """``leaves`` (host, leaf, n, blocked, allowed; one row per host and leaf) with
     ``node``: the leaf's template after generalising and merging."""
-    rows = leaves.withColumn("node", F.col("leaf"))
+    rows, count = leaves.withColumn("node", F.col("leaf")), leaves.count()
+
+    def meet(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+        return spread_join(rows, facts, keys, rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")), by="leaf", how="left")
+
     for d in range(1, depth + 1):
         child = F.get("node", F.lit(d - 1))
         up = F.slice("node", 1, d - 1)
         kinds = rows.where(literal(child)).select("host", up.alias("up"), child.alias("child")).distinct()
-        wide = kinds.groupBy("host", "up").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > fan_out)
-        rows = rows.withColumn("up", up).join(wide, ["host", "up"], "left")
+        wide = written(kinds.groupBy("host", "up").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > fan_out), "url-wide", count)
+        rows = meet(rows.withColumn("up", up), wide, ["host", "up"])
         rows = rows.withColumn("node", F.when(F.col("kinds").isNotNull() & literal(child), put(F.col("node"), d, F.lit("*"))).otherwise(F.col("node"))).drop("up", "kinds")
-        rows = written(rows, "url-tree")
+        rows = written(rows, "url-tree", count)
     for d in range(1, depth + 1):
         child = F.get("node", F.lit(d - 1))
         blank = F.when(literal(child), put(F.col("node"), d, F.lit("*")))
-        kids = rows.where(literal(child)).groupBy("host", blank.alias("blank"), child.alias("child")).agg(F.sum("n").alias("n"), F.sum("blocked").alias("b"), F.sum("allowed").alias("a"))
-        whole = kids.groupBy("host", "blank").agg(F.sum("n").alias("wn"), F.sum("b").alias("wb"), F.sum("a").alias("wa"), F.count(F.lit(1)).alias("kids"))
-        far = lambda x, w: F.abs(F.col(x) / F.col("n") - F.col(w) / F.col("wn")) > z * F.sqrt((F.col(w) + 1) / (F.col("wn") + 2) * (1 - (F.col(w) + 1) / (F.col("wn") + 2)) * (1 / F.col("n") + 1 / F.col("wn")))
-        alike = kids.join(whole, ["host", "blank"]).groupBy("host", "blank").agg(F.max("kids").alias("kids"), F.max((far("b", "wb") | far("a", "wa")).cast("int")).alias("odd")).where("kids > 1 and odd = 0")
-        rows = rows.withColumn("blank", blank).join(alike, ["host", "blank"], "left")
-        rows = rows.withColumn("node", F.when(F.col("odd").isNotNull(), F.col("blank")).otherwise(F.col("node"))).drop("blank", "odd", "kids")
-        rows = written(rows, "url-tree")
+        kids = rows.where(literal(child)).groupBy("host", blank.alias("blank"), child.alias("child")).agg(F.sum("blocked").alias("b"), (F.sum("blocked") + F.sum("allowed")).alias("l")).where("l > 0")
+        whole = kids.groupBy("host", "blank").agg(F.sum("b").alias("wb"), F.sum("l").alias("wl"), F.count(F.lit(1)).alias("kids"))
+        p = (F.col("wb") + 1) / (F.col("wl") + 2)
+        far = F.abs(F.col("b") / F.col("l") - F.col("wb") / F.col("wl")) > z * F.sqrt(p * (1 - p) * (1 / F.col("l") + 1 / F.col("wl")))
+        judged = kids.join(whole, ["host", "blank"])
+        alike = judged.groupBy("host", "blank").agg(F.max("kids").alias("kids"), F.max(far.cast("int")).alias("odd")).where("kids > 1 and odd = 0").select("host", "blank")
+        merged = written(kids.join(alike, ["host", "blank"]).select("host", "blank", "child", F.lit(True).alias("merged")), "url-merged", count)
+        rows = meet(rows.withColumns({"blank": blank, "child": child}), merged, ["host", "blank", "child"])
+        rows = rows.withColumn("node", F.when(F.col("merged"), F.col("blank")).otherwise(F.col("node"))).drop("blank", "child", "merged")
+        rows = written(rows, "url-tree", count)
     return rows
 
 
@@ -170,13 +180,14 @@ def oracle() -> str:
     for k in range(1, DEPTH + 1):
         lit = f"(node[{k}] is not null and node[{k}][1] not in ('{{', '*'))"
         star = f"list_transform(node, lambda s, i: case when i = {k} then '*' else s end)"
-        p = lambda x: f"(({x} + 1) / (wn + 2.0::double))"
-        far = lambda x: f"abs({x} / n::double - w{x} / wn::double) > {Z} * sqrt({p('w' + x)} * (1 - {p('w' + x)}) * (1 / n::double + 1 / wn::double))"
+        p = "((wb + 1) / (wl + 2.0::double))"
+        far = f"abs(b / l::double - wb / wl::double) > {Z} * sqrt({p} * (1 - {p}) * (1 / l::double + 1 / wl::double))"
         sql += [
-            f"k{at} as (select host, {star} as blank, node[{k}] as child, sum(n) as n, sum(b) as b, sum(a) as a from t{at} where {lit} group by all)",
-            f"s{at} as (select *, sum(n) over w as wn, sum(b) over w as wb, sum(a) over w as wa, count(*) over w as kids from k{at} window w as (partition by host, blank))",
-            f"m{at} as (select host, blank from s{at} group by host, blank having max(kids) > 1 and not bool_or(({far('b')}) or ({far('a')})))",
-            f"t{at + 1} as (select t.host, leaf, case when m.host is not null and {lit} then m.blank else node end as node, n, b, a from t{at} t left join m{at} m on m.host = t.host and m.blank = {star} and {lit})",
+            f"k{at} as (select host, {star} as blank, node[{k}] as child, sum(b) as b, sum(b) + sum(a) as l from t{at} where {lit} group by all having sum(b) + sum(a) > 0)",
+            f"s{at} as (select *, sum(b) over w as wb, sum(l) over w as wl, count(*) over w as kids from k{at} window w as (partition by host, blank))",
+            f"m{at} as (select host, blank from s{at} group by host, blank having max(kids) > 1 and not bool_or({far}))",
+            f"c{at} as (select k.host, k.blank, k.child from k{at} k join m{at} m on k.host = m.host and k.blank = m.blank)",
+            f"t{at + 1} as (select t.host, leaf, case when c.host is not null then c.blank else node end as node, n, b, a from t{at} t left join c{at} c on c.host = t.host and c.blank = {star} and c.child = t.node[{k}] and {lit})",
         ]
         at += 1
     sql += [

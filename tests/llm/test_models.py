@@ -109,6 +109,104 @@ def test_templates_learn_from_labels(spark):
     assert leaves is not None
 
 
+def brute_tree(rows):
+    """page_id -> verdict by the same tree in plain Python; rows: (page_id, url, mark)."""
+    import re
+    from collections import defaultdict
+
+    literal = lambda s: s[0] not in "{*"
+
+    def shape(s):
+        m = re.search(r"(\.[A-Za-z]{1,5})$", s)
+        end = m[1] if m else ""
+        stem = s[: len(s) - len(end)]
+        if re.fullmatch(r"[0-9]+", stem):
+            return "{n}" + end
+        if re.fullmatch(r"[0-9a-fA-F-]{8,}", stem):
+            return "{h}" + end
+        if re.search(r"[0-9]", stem):
+            return "{x}" + end
+        return "{l}" + end if len(stem) > 40 or stem[:1] in ("{", "*") else s
+
+    leaf_of, leaves = {}, defaultdict(lambda: [0, 0])
+    for i, url, mark in rows:
+        host, path = parts(url)
+        segments = [s for s in path.split("/") if s]
+        leaf = tuple([shape(s) for s in segments[: url_filter.DEPTH]] + (["**"] if len(segments) > url_filter.DEPTH else []))
+        leaf_of[i] = (host, leaf)
+        c = leaves[host, leaf]
+        c[0] += mark == 1
+        c[1] += mark == 0
+    node = {k: k[1] for k in leaves}
+    at = lambda n, d: n[d] if len(n) > d else None
+    blank = lambda n, d: n[:d] + ("*",) + n[d + 1 :]
+    for d in range(url_filter.DEPTH):
+        kinds = defaultdict(set)
+        for (host, _), n in node.items():
+            if at(n, d) and literal(n[d]):
+                kinds[host, n[:d]].add(n[d])
+        node = {k: blank(n, d) if at(n, d) and literal(n[d]) and len(kinds[k[0], n[:d]]) > url_filter.FAN_OUT else n for k, n in node.items()}
+    merges = 0
+    for d in range(url_filter.DEPTH):
+        kids = defaultdict(lambda: defaultdict(lambda: [0, 0]))
+        for k, n in node.items():
+            if at(n, d) and literal(n[d]):
+                kids[k[0], blank(n, d)][n[d]][0] += leaves[k][0]
+                kids[k[0], blank(n, d)][n[d]][1] += sum(leaves[k])
+        good = set()
+        for group, children in kids.items():
+            known = {c: v for c, v in children.items() if v[1]}
+            wb, wl = (sum(v[j] for v in known.values()) for j in (0, 1))
+            if len(known) > 1:
+                p = (wb + 1) / (wl + 2)
+                if all(abs(b / n - wb / wl) <= url_filter.Z * (p * (1 - p) * (1 / n + 1 / wl)) ** 0.5 for b, n in known.values()):
+                    good |= {(*group, c) for c in known}
+        merges += len(good)
+        node = {k: blank(n, d) if at(n, d) and literal(n[d]) and (k[0], blank(n, d), n[d]) in good else n for k, n in node.items()}
+    total = [sum(v[j] for v in leaves.values()) for j in (0, 1)]
+    base = (total[0] + 1) / (sum(total) + 2)
+    hosts, nodes = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    for k, v in leaves.items():
+        for j in (0, 1):
+            hosts[k[0]][j] += v[j]
+            nodes[k[0], node[k]][j] += v[j]
+    alpha = url_filter.ALPHA
+
+    def bad(k):
+        b, a = nodes[k[0], node[k]]
+        hb, ha = hosts[k[0]]
+        prior = (hb + alpha * base) / (hb + ha + alpha)
+        return b + a >= url_filter.MIN_LABELS and (b + alpha * prior) / (b + a + alpha) >= url_filter.PURITY
+
+    return {i: "block" if bad(k) else "allow" for i, k in leaf_of.items()}, merges
+
+
+def test_tree_equals_brute_force(spark):
+    """Several hosts: branches that merge, branches whose labels differ, wide ones, branches
+    without labels, too few labels."""
+    draw, rows = random.Random(9), []
+    for h in range(6):
+        for i in range(600):
+            first = draw.choice(["shop", "blog", "spam", "ads"])
+            second = draw.choice("abcdef") if first != "ads" else f"u{''.join(draw.choice('abcdefghij') for _ in range(3))}"
+            third = draw.choice(["x.html", f"{i}.html", "p/q/r/s"])
+            share = {"shop": 0.05, "blog": 0.5 if second < "c" else 0.02, "spam": 0.95, "ads": 0.9}[first] if h < 4 else 0.5
+            mark = int(draw.random() < share) if draw.random() < 0.6 and not (first == "shop" and second == "f") else None
+            rows.append((len(rows), f"https://h{h}.test/{first}/{second}/{third}?q", mark))
+    rows += [(9000 + i, f"https://few.test/spam/{i}", 1) for i in range(5)] + [(9100 + i, f"https://none.test/a/{i}", None) for i in range(30)]
+    want, merges = brute_tree(rows)
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, mark int"), rules=(), label="mark").collect()}
+    assert got == want and merges > 20
+    assert 300 < sum(v == "block" for v in want.values()) < 2500
+
+
+def test_repeated_pages_and_equal_rules(spark):
+    rows = spark.createDataFrame([(1, "http://a.b/x/1"), (1, "http://a.b/x/1"), (None, "http://a.b/y")], "page_id long, url string")
+    rules = (("allow", "b", "/x/"), ("block", "b", "/y"), ("block", "a.b", "/"))  # a.b/ and b/x/ are equally long
+    got = [tuple(r)[3:] for r in url_filter.judge(rows, rules=rules).orderBy(F.col("page_id").asc_nulls_last()).collect()]
+    assert got == [("a.b/", "block"), ("a.b/", "block"), ("a.b/", "block")]
+
+
 def test_neighbours(spark):
     draw = np.random.default_rng(2)
     centres = draw.normal(size=(12, 16)) * 3
