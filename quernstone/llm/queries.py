@@ -27,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_dedup": minhash.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op10_url_filter": url_filter.oracle()}
+    return {"op2_minhash_dedup": minhash.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op5_rendezvous_sharding": sharding.oracle(), "op10_url_filter": url_filter.oracle()}

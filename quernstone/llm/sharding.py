@@ -73,3 +73,28 @@ def op5_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     placed = written(assign(rows, F.col("doc_id"), [1.0] * SHARDS), "shards")
     return with_slots(placed).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def crc_table() -> list[int]:
+    """The byte table of CRC-32 (its reversed polynomial is a fixed value)."""
+    out = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        out.append(value)
+    return out
+
+
+def oracle() -> str:
+    """The query in SQL. With equal weights the smallest -ln(u) is the largest u. Slots are
+    those of shards of at most ``BLOCK_ROWS`` rows."""
+    step = f"xor(c >> 8, ({crc_table()}::bigint[])[((xor(c, b)) & 255) + 1])"
+    number = "(('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':' || s), 1, 13))::bigint + 0.5::double)"
+    return f"""
+with t as (select row_number() over () as row, doc_id, encode(coalesce(text, '')) as raw from documents),
+x as (select *, hex(raw) as h from t),
+c as (select row, doc_id, octet_length(raw) + 16 as size,
+        xor(list_reduce(list_transform(range(0, octet_length(raw)), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint), lambda c, b: {step}, 4294967295::bigint), 4294967295::bigint) as text_crc32 from x),
+u as (select row, doc_id, size, text_crc32, s, {number} as u from c, (select unnest(range(0, {SHARDS + 1})) as s)),
+g as (select row, any_value(doc_id) as doc_id, any_value(size) as size, any_value(text_crc32) as text_crc32, max_by(s, u) filter (where s < {SHARDS}) as shard, max_by(s, u) as grown from u group by row)
+select doc_id, size, text_crc32, 'key' as law, shard::int as shard, row_number() over (partition by shard order by doc_id nulls last, row) - 1 as slot, grown::int as grown_shard from g"""

@@ -33,6 +33,89 @@ def test_kernel_is_the_presence_kernel():
     assert len(language_id.grams(text, table, flags)) == len(want) and not flags.any()
 
 
+def brute_language(rows, texts):
+    """Scores of each language by the definitions: presence kernel, landmarks, ridge."""
+    counts = {}
+    for _, t in rows:
+        for c in set(t.lower()):
+            if c.isalpha():
+                counts[c] = counts.get(c, 0) + 1
+    letters = set(sorted(counts, key=lambda c: (-counts[c], c))[: language_id.LETTERS])
+
+    def spectrum(t):
+        out = []
+        for c in t.lower():
+            x = " " if not c.isalpha() else c if c in letters else "?"
+            if x != " " or not out or out[-1] != " ":
+                out.append(x)
+        return {"".join(out[i : i + n]) for n in (1, 2, 3) for i in range(len(out) - n + 1)}
+
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    langs = sorted({lang for lang, _ in rows})
+    sets = [spectrum(t) for _, t in rows]
+    each = language_id.LANDMARKS // len(langs)
+    marks = [i for lang in langs for i in [j for j, r in enumerate(rows) if r[0] == lang][:each]]
+    cross = np.array([[kernel(a, sets[m]) for m in marks] for a in sets])
+    within = np.array([[kernel(sets[a], sets[m]) for m in marks] for a in marks])
+    target = np.array([[1.0 if lang == x else -1.0 for x in langs] for lang, _ in rows])
+    solved = np.linalg.lstsq(cross.T @ cross + language_id.RIDGE * len(rows) * (within + 1e-6 * np.eye(len(marks))), cross.T @ target, rcond=None)[0]
+    raw = np.array([[kernel(spectrum(t), sets[m]) for m in marks] for t in texts]) @ solved
+    soft = np.exp(language_id.SHARPNESS * (raw - raw.max(axis=1, keepdims=True)))
+    return langs, soft / soft.sum(axis=1, keepdims=True)
+
+
+def test_language_equals_brute_force(spark):
+    draw = random.Random(11)
+    text = lambda lang: " ".join(draw.choice(ENDINGS[lang]) + draw.choice(["x", "y", "é", "1", "-", "Q"]) for _ in range(draw.randint(3, 25)))
+    rows = [(lang, text(lang)) for lang in list(ENDINGS) * 25]
+    texts = [text(lang) for lang in list(ENDINGS) * 10] + ["tion und que", "ñandú", rows[0][1], rows[0][1]]
+    langs, want = brute_language(rows, texts)
+    predict = language_id.predictor(spark, language_id.train(rows))
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", predict(F.col("text")).alias("p")).orderBy("i").collect()
+    for r, w in zip(got, want, strict=True):
+        assert abs(r["p"]["score"] - w.max()) < 2e-3
+        if np.sort(w)[-1] - np.sort(w)[-2] > 5e-3:
+            assert r["p"]["lang"] == langs[int(w.argmax())]
+    assert got[-1]["p"] == got[-2]["p"]
+
+
+def test_toxic_scores_equal_brute_force(spark):
+    """Scores recomputed from the two dictionaries: windows, lengths, features, calibration."""
+    import math
+
+    import zstandard
+
+    draw = random.Random(12)
+    words = ["".join(draw.choice("abcdefgh") for _ in range(5)) for _ in range(60)]
+    rows = []
+    for i in range(240):
+        t = [draw.choice(words) for _ in range(30)] + (["zzkrumpf", "wwknorz"] if i % 3 == 0 else [])
+        draw.shuffle(t)
+        rows.append((int(i % 3 == 0), " ".join(t)))
+    model = toxicity.train(rows)
+    texts = [*(t for _, t in rows[:40]), None, "", "zzkrumpf", rows[0][1], "x" * 100_000, " ".join(words * 400)]
+    score = toxicity.scorer(spark, model)
+    got = [r["s"] for r in spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", score(F.col("text")).alias("s")).orderBy("i").collect()]
+    length = []
+    for content in model["pair"]:
+        table = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        length.append(lambda w, d=table: len(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=d, write_content_size=False, write_dict_id=False, write_checksum=False).compress(w)))
+    for text, s in zip(texts, got, strict=True):
+        w = (text or "").lower().split()
+        if len(w) > 1000:
+            assert 0 <= s <= 1  # a long text: only that it is scored
+            continue
+        cut = [(" " + " ".join(w[i : i + toxicity.WORDS])).encode() for i in range(0, len(w), toxicity.WORDS)]
+        margins = [length[0](x) - length[1](x) for x in cut] or [0]
+        top = [*sorted(margins, reverse=True)[:3], 0, 0][:3]
+        above = [sum(m >= k for m in margins) for k in (2, 3, 4, 5, 6)]
+        n = math.log1p(len(margins))
+        x = [*(min(max(t, -2), 12) for t in top), *(math.log1p(a) for a in above), *(a / len(margins) for a in above), n, top[0] * n / 10]
+        z = sum((v - m) / d * b for v, m, d, b in zip(x, model["mean"], model["spread"], model["b"][:-1], strict=True)) + model["b"][-1]
+        assert abs(s - 1 / (1 + math.exp(-min(max(z, -30), 30)))) < 1e-9
+    assert got[0] == got[43]
+
+
 def test_toxicity(spark, docs, empty):
     draw = random.Random(6)
     words = ["".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(80)]
@@ -84,6 +167,26 @@ def parts(url):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), slash + path
 
 
+def test_sharding_query(spark, tmp_path):
+    """The whole query against hashlib, zlib and the definitions, with null and repeated keys."""
+    import hashlib
+    import math
+
+    rows = [(i, None if i % 9 == 0 else "" if i % 7 == 0 else f"text é {i}" * (i % 5)) for i in range(400)] + [(5, "again"), (5, "again"), (None, "no id")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sharding.op5_rendezvous_sharding(spark, str(tmp_path)).collect()
+
+    def shard(key, n):
+        u = [(int(hashlib.md5(f"{key}:{s}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for s in range(n)]
+        return min(range(n), key=lambda s: (-math.log(u[s]), s))
+
+    facts = lambda i, t: (i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode()), shard("" if i is None else i, 40), shard("" if i is None else i, 41))
+    assert sorted(map(str, ((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["grown_shard"]) for r in got))) == sorted(str(facts(*r)) for r in rows)
+    for s in range(40):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+    assert {r["law"] for r in got} == {"key"}
+
+
 URLS = [None, "", "no scheme/x", "http://A.Example.NET/en/1?x", "http://example.net/de/1", "http://x.org/fr/", "http://org/en", "https://q.example.com/de/x#y", "http://example.com", "http://notexample.com/de/1", "a://b://c/d", "http://x.net", "http://x.NET?a/b", "http://ÄX.org/fr/x"]
 
 
