@@ -6,6 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,13 +42,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return MADE[-1]
 
 
-def drop_tables(spark: SparkSession, since: int) -> None:
-    """Deletes the intermediate tables named after the first ``since``; for a caller that
-    has written the result which was made from them."""
+def drop_tables(spark: SparkSession, since: int, keep: tuple[str, ...] = ()) -> None:
+    """Deletes the intermediate tables named after the first ``since`` but those of the names
+    in ``keep``; for a caller that has written what was made from them."""
     for path in MADE[since:]:
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-    del MADE[since:]
+        if not path.rsplit("/", 1)[-1].startswith(tuple(f"{k}-" for k in keep) or "/"):
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+            MADE.remove(path)
 
 
 def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
@@ -88,11 +90,21 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` with one more column that numbers its rows, and that column's name, which
-    no other has. It is written, so that every later read sees the same numbers."""
+    no other has. Every later read sees the same numbers: rows of Parquet files are numbered by
+    file (their names are listed on the driver) and place in it; other rows are written."""
     row = "row_number"
     while row in (c.lower() for c in docs.columns):
         row += "_"
-    return written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+    try:
+        if "_metadata" in docs.columns:
+            raise AnalysisException("the table has a column of that name")
+        placed = docs.select("*", F.col("_metadata.file_path").alias(f"{row}_file"), F.col("_metadata.row_index").alias(f"{row}_at"))
+    except AnalysisException:
+        return written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+    files = sorted(r[0] for r in placed.select(f"{row}_file").distinct().collect())
+    names = docs.sparkSession.createDataFrame([(f, i << 33) for i, f in enumerate(files)], f"{row}_file string, {row}_base long")
+    rows = placed.join(F.broadcast(names), f"{row}_file")
+    return rows.select(*[rows[c] for c in docs.columns], (F.col(f"{row}_base") + F.col(f"{row}_at")).alias(row)), row
 
 
 def drop_rows(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:

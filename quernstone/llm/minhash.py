@@ -56,7 +56,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import numbered, read, spread_join, written
+from quernstone.llm.common import MADE, drop_tables, numbered, read, spread_join, written
 from quernstone.llm.components import star
 
 SHINGLE, PERCENT = 5, 75
@@ -253,14 +253,15 @@ def crossing(nodes: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     A link with a set of m shingles takes (n + m) * percent / (100 + percent) common ones; they
     are counted for each class of sizes m. Exact."""
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(SIZES))).cast("int")
-    items = nodes.join(sets.select("node", "n", "items"), "node").select("node", "comp", "n", size_class.alias("class"), F.explode("items").alias("item"))
+    items = nodes.join(sets.select("node", "n", "items"), "node").select("node", "comp", size_class.alias("class"), F.explode("items").alias("item"))
     shared = items.groupBy("item", "class").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
     shared = written(shared, "shingles")
     facts = shared.select("item", F.col("class").alias("other"), "c0", "c1")
-    met = spread_join(items.select("node", "comp", "n", "item"), facts, ["item"], shared.groupBy("item").agg(F.sum("size").alias("size")), by="node")
+    met = spread_join(items.select("node", "comp", "item"), facts, ["item"], shared.groupBy("item").agg(F.sum("size").alias("size")), by="node")
     least = F.pow(F.lit(SIZES), F.col("other")) * (1 - 1e-9)
-    met = met.where(((F.col("c0") != F.col("comp")) | (F.col("c1") != F.col("comp"))) & (100 * least * SIZES * (1 + 1e-8) >= percent * F.col("n")))
-    same = met.groupBy("node", "other").agg(F.count(F.lit(1)).alias("same"), F.first("n").alias("n"))
+    met = met.where((F.col("c0") != F.col("comp")) | (F.col("c1") != F.col("comp")))
+    same = met.groupBy("node", "other").agg(F.count(F.lit(1)).alias("same")).join(sets.select("node", "n"), "node")
+    same = same.where(100 * least * SIZES * (1 + 1e-8) >= percent * F.col("n"))
     return same.where((100 + percent) * F.col("same") >= percent * (F.col("n") + F.greatest(least, F.lit(1.0)))).select("node").distinct()
 
 
@@ -269,14 +270,14 @@ def merged(live: DataFrame, sets: DataFrame, stars: DataFrame, percent: int = PE
     at = live.select("node", "n", "prefix").join(stars, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     at = written(at, "components")
 
-    def mixed(nodes: DataFrame) -> DataFrame:
-        posted = nodes.select("node", "n", "comp", "prefix", F.explode("prefix").alias("key"))
+    def mixed(nodes: DataFrame, *keep: str) -> DataFrame:
+        posted = nodes.select("node", "comp", *keep, F.explode("prefix").alias("key"))
         lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key", "size")
         lists = written(lists, "mixed-lists")
         return written(spread_join(posted, lists, ["key"], lists, by="node"), "mixed")
 
     able = crossing(mixed(at).select("node", "comp").distinct(), sets, percent)
-    rest = mixed(at.join(able, "node", "left_semi")).join(sets.select("node", *[F.col("fine")[i].alias(f) for i, f in enumerate(FINE_WORDS)]), "node")
+    rest = mixed(at.join(able, "node", "left_semi"), "n", "prefix").join(sets.select("node", *[F.col("fine")[i].alias(f) for i, f in enumerate(FINE_WORDS)]), "node")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     x = rest.withColumn("part", F.pmod(F.xxhash64("node"), blocks).cast("int")).alias("x")
     y = rest.withColumn("part", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("y")
@@ -298,6 +299,7 @@ def linked(nodes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFra
 
 def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
+    since = len(MADE)
     found = written(signatures(docs), "signatures")
     known = found.where("doc_id is not null and d1 is not null")
     one = [F.first(c).alias(c) for c in ("n", "coords")]
@@ -310,6 +312,7 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     labels = spread_join(members, least.select("root", "least"), ["root"], least, by="node").select("node", "least")
     labels = nodes.select("d1", "d2", "node", "size", "doc_id").join(labels, "node", "left").where("size > 1 or least is not null")
     labels = written(labels.select("d1", "d2", "size", F.coalesce("least", "doc_id").alias("component_id")), "labels")
+    drop_tables(docs.sparkSession, since, ("signatures", "labels"))  # all that the result reads
     rows = spread_join(known.select("doc_id", "n", "d1", "d2"), labels.drop("size"), ["d1", "d2"], labels, by="doc_id", how="left")
     rows = rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     alone = found.where("doc_id is null or d1 is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))

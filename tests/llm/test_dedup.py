@@ -156,6 +156,18 @@ def test_rows_are_dropped_not_ids(spark, drop):
     assert sorted(map(str, kept)) == sorted(map(str, [*alone, (7, long_text("own")), (3, long_text("copy")), (9, long_text("twice"))]))
 
 
+@pytest.mark.parametrize("drop", [exact_dedup.drop_copies, minhash.drop_near_copies])
+def test_rows_of_files_are_dropped(spark, drop, tmp_path):
+    """Rows of Parquet files are numbered by file and place, nothing is copied."""
+    rows = [(i % 7 if i % 5 else None, long_text(f"t{i // 2}")) for i in range(40)]
+    spark.createDataFrame(rows, ROWS).withColumn("row_number", F.lit("clash")).repartition(5).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    made = len(common.MADE)
+    kept = drop(docs)
+    assert kept.columns == docs.columns and sorted(r["text"] for r in kept.collect()) == sorted({t for _, t in rows})
+    assert not any("/numbered-" in path for path in common.MADE[made:])
+
+
 def test_near_copies_without_ids_are_dropped(spark):
     rows = [(None, long_text("a")), (None, long_text("a") + " more"), (2, long_text("b") + " more"), (None, long_text("b")), (1, None), (None, None)]
     kept = [tuple(r) for r in minhash.drop_near_copies(spark.createDataFrame(rows, ROWS)).collect()]
