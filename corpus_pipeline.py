@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quernstone.llm import packing
-from quernstone.llm.common import read, written
+from quernstone.llm.common import MADE, drop_tables, read, written
 from quernstone.llm.exact_dedup import drop_copies
 from quernstone.llm.language_id import keep_identified
 from quernstone.llm.minhash import drop_near_copies
@@ -56,5 +56,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        since = len(MADE)
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_tables(spark, since, ("stage",))  # what the stage was made from
     return STAGES[-1][1](spark, docs, sf_dir)
