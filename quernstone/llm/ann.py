@@ -188,22 +188,26 @@ def nearest_in_block(top: int) -> Any:
         if not len(queries) or not len(rows):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         x, ids = np.vstack(rows["v"].to_list()), rows["id"].to_numpy()
-        square, out = (x**2).sum(axis=1), []
+        square, asked, found, scores = (x**2).sum(axis=1), [], [], []
+        largest = square.max()
         for begin in range(0, len(queries), 64):
             part = queries.iloc[begin : begin + 64]
-            q = np.vstack(part["v"].to_list())
+            q, names = np.vstack(part["v"].to_list()), part["id"].to_numpy()
             size = (q**2).sum(axis=1)
             d = size[:, None] - 2 * q @ x.T + square
-            for i, query in enumerate(part["id"].to_numpy()):
-                row = np.where(ids == query, np.inf, d[i])
-                k = min(top, len(row))
-                # rounding of the expanded form: all that may be among the nearest stay
-                line = np.partition(row, k - 1)[k - 1] + 1e-9 * (size[i] + square.max())
-                at = np.flatnonzero(row <= line) if np.isfinite(line) else np.flatnonzero(np.isfinite(row))
-                exact = np.sqrt(((x[at] - q[i]) ** 2).sum(axis=1))
-                best = np.lexsort((ids[at], exact))[:top]
-                out.append(pd.DataFrame({"query_id": query, "vec_id": ids[at][best], "score": exact[best]}))
-        return pd.concat(out)
+            d[names[:, None] == ids] = np.inf
+            k = min(top, len(ids))
+            # rounding of the expanded form: all that may be among the nearest stay
+            line = np.partition(d, k - 1, axis=1)[:, k - 1] + 1e-9 * (size + largest)
+            of, at = np.nonzero((d <= line[:, None]) & np.isfinite(d))
+            exact = np.sqrt(((x[at] - q[of]) ** 2).sum(axis=1))
+            order = np.lexsort((ids[at], exact, of))
+            of, at, exact = of[order], at[order], exact[order]
+            best = np.arange(len(of)) - np.searchsorted(of, of) < top  # the place within the query
+            asked.append(names[of[best]])
+            found.append(ids[at[best]])
+            scores.append(exact[best])
+        return pd.DataFrame({"query_id": np.concatenate(asked), "vec_id": np.concatenate(found), "score": np.concatenate(scores)})
 
     return run
 
