@@ -169,5 +169,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without texts in which no language is found (null, or no letter)."""
-    return docs.where(identified(docs)["lang"] != UND).select(docs.columns)
+    """``docs`` without texts in which no language is found (null, or no letter). Rows without
+    a ``lang`` get the predicted one. If no language can be learned, texts with a letter stay."""
+    model = train(sample(docs))
+    if not model["langs"]:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = docs.withColumn("__found", predictor(docs.sparkSession, model)(F.col("text"))["lang"]).where(F.col("__found") != UND)
+    return found.withColumn("lang", F.coalesce("lang", "__found")).select(docs.columns)

@@ -22,6 +22,10 @@ def test_language(spark, docs, empty):
     assert kept.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [4, 5, 6, 8, 9, None]))
     assert language_id.keep_identified(empty).count() == 0
+    nothing = language_id.keep_identified(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert sorted(str(r["doc_id"]) for r in nothing.collect()) == sorted(map(str, [4, 5, 6, 8, 9, None]))
+    told = {r["doc_id"]: r["lang"] for r in language_id.keep_identified(df).collect()}
+    assert told[902] in ENDINGS and 900 not in told and all(told[i] == lang for i, _, lang in rows)
 
 
 def test_kernel_is_the_presence_kernel():
