@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quernstone.llm import ann, bpe, exact_dedup, language_id, minhash, packing, sharding, token_store, toxicity, url_filter
+from quernstone.llm import ann, bpe, exact_dedup, fim, language_id, minhash, packing, resample, sharding, simhash, token_store, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,9 +22,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ann.op8_learned_partitions,
         packing.op9_packing,
         url_filter.op10_url_filter,
+        simhash.op11_simhash_dedup,
+        fim.op12_fill_in_middle,
+        resample.op13_importance_resampling,
     ]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_dedup": minhash.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op5_rendezvous_sharding": sharding.oracle(), "op10_url_filter": url_filter.oracle()}
+    return {"op2_minhash_dedup": minhash.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op5_rendezvous_sharding": sharding.oracle(), "op10_url_filter": url_filter.oracle(), "op12_fill_in_middle": fim.oracle()}
