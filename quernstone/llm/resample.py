@@ -323,7 +323,7 @@ def contributions(posted: DataFrame, gained: DataFrame) -> DataFrame:
                     held = 0
         yield from sent()
 
-    met = posted.drop("totals").join(gained, "g")
+    met = posted.drop("totals").join(F.broadcast(gained), "g")  # BUCKETS numbers
     return met.select("g", "block", "n", "ids", "words", "payload", "gains").mapInArrow(run, "block long, at long, weight long, doc_id long, words long, named boolean")
 
 
