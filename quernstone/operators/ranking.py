@@ -29,14 +29,13 @@ def cuts(rows: DataFrame, range_rows: int = RANGE_ROWS, ranges: int = RANGES) ->
     """__key, __cuts of the keys with more than ``range_rows`` rows: groups of cut values,
     ascending. At most ``2 * ranges`` cuts in all. None if there is no such key."""
     sizes = rows.groupBy("__key").agg(F.count(F.lit(1)).alias("n"))
-    sizes = written(sizes.where(F.col("n") > range_rows), "sizes")
-    total = sizes.agg(F.sum("n")).first()[0]
-    if total is None:
+    most, total = sizes.agg(F.max("n"), F.sum("n")).first()
+    if (most or 0) <= range_rows:
         return None
     line = max(range_rows, total // ranges)
-    hot = sizes.where(F.col("n") > line).withColumn("parts", F.ceil(F.col("n") / line).cast("long"))
+    hot = sizes.where(F.col("n") > line).select(F.col("__key").alias("__hot"), "n", F.ceil(F.col("n") / line).cast("long").alias("parts"))
     share = F.greatest(F.floor(F.col("n") / (F.col("parts") * SAMPLES)), F.lit(1))
-    met = rows.join(F.broadcast(hot), rows["__key"].eqNullSafe(hot["__key"])).select(hot["__key"], "parts", "__order", share.alias("share"))
+    met = rows.join(F.broadcast(hot), F.col("__key").eqNullSafe(F.col("__hot"))).select("__key", "parts", "__order", share.alias("share"))
     met = met.where(F.pmod(F.xxhash64("__order"), "share") == 0)
     found = met.groupBy("__key", "parts").agg(F.sort_array(F.collect_set("__order")).alias("v"))
     place = lambda i: F.element_at("v", F.floor(i * F.size("v") / F.col("parts")).cast("int") + 1)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import strip, strip_html_to_measure
+from quernstone.operators.ranking import RANGE_ROWS, running
 
 MIN_CHARS, CHARS_PER_TOKEN = 50, 3.0
 #: Categories whose quotas are broadcast.
@@ -21,28 +22,24 @@ def has_content(status: Column, description: Column, comments: Column, least: in
 
 def stratified(df: DataFrame, category: str, id_col: str, count: int) -> DataFrame:
     """A systematic sample: each category gets its share, at least one, taken at equal
-    steps in the order of the id's text; at last the smallest ids up to ``count``."""
+    steps in the order of the id's text; at last the smallest ids up to ``count``. Repeated
+    ids are counted, not sorted: a row of the plan is an id with its copies."""
     sizes = df.groupBy(category).agg(F.count(F.lit(1)).alias("n"))
-    total = df.count()
-    quota = F.greatest(F.lit(1), F.bround(count * F.col("n") / max(total, 1), 0).cast("long"))
+    total, categories = sizes.agg(F.sum("n"), F.count(F.lit(1))).first()
+    quota = F.greatest(F.lit(1), F.bround(count * F.col("n") / max(total or 0, 1), 0).cast("long"))
     sizes = sizes.withColumn("quota", quota).withColumn("step", F.greatest(F.lit(1), F.floor(F.col("n") / F.col("quota"))))
-    placed = placed_in(df.select(id_col, category), category, F.col(id_col).cast("string")).join(F.broadcast(sizes) if sizes.count() <= FEW_CATEGORIES else sizes, category)
-    picked = placed.where((F.col("at") % F.col("step") == 0) & (F.floor(F.col("at") / F.col("step")) < F.col("quota")))
-    return picked.select(id_col, category).distinct().orderBy(id_col).limit(count)
-
-
-def placed_in(df: DataFrame, category: str, order: Column) -> DataFrame:
-    """``df`` with ``at``: each row's place in its category, from 0. Rows are dealt to ranges
-    of (category, order), so a category may lie in many tasks; the offsets come from the
-    ranges' counts, of which there are few."""
-    ranged = df.withColumn("__order", order).repartitionByRange(category, "__order").withColumn("__range", F.spark_partition_id())
-    counts = ranged.groupBy(category, "__range").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy(category).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(category, "__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy(category, "__range").orderBy("__order"))
-    ranked = ranged.withColumn("__in", inside)
-    same = ranked[category].eqNullSafe(offsets[category]) & (ranked["__range"] == offsets["__range"])
-    return ranked.join(offsets, same).select(*[ranked[c] for c in df.columns], (F.col("__in") - 1 + F.col("__before")).alias("at"))
+    ids = df.groupBy(category, id_col).agg(F.count(F.lit(1)).alias("copies"))
+    placed = running(ids, [category], [F.col(id_col).cast("string")], F.col("copies"), "before", before=True)
+    placed = placed.join(F.broadcast(sizes) if categories <= FEW_CATEGORIES else sizes, category)
+    nth = F.ceil(F.col("before") / F.col("step"))  # the first step at or after the id's first copy
+    picked = placed.where((nth * F.col("step") < F.col("before") + F.col("copies")) & (nth < F.col("quota")))
+    return picked.select(id_col, category).orderBy(id_col).limit(count)
+
+
+def placed_in(df: DataFrame, category: str, order: Column, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """``df`` with ``at``: each row's place in its category, from 0. A large category is cut
+    into ranges of the order that are fixed beforehand, so it may lie in many tasks."""
+    return running(df, [category], [order], out="at", before=True, range_rows=range_rows)
 
 
 def sample_report(df: DataFrame, picked: DataFrame, category: str, id_col: str) -> DataFrame:
