@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.tables import scope, scratch, written
+
 #: The grid of thresholds in hundredths, and the histogram's bins.
 THRESHOLDS = tuple(t / 100 for t in range(30, 61, 2))
 BINS = 100
@@ -55,23 +57,59 @@ def threshold_sweep(correct: DataFrame, silent: DataFrame, thresholds: Sequence[
     )
 
 
-def distribution(scores: DataFrame, series: str = "series", score: str = "score") -> DataFrame:
-    """n, min, p05, p25, median, p75, p95, max of each series. Percentiles are the sorted
-    score at floor(share * n), the median is interpolated. Exact, by counts of distinct
-    scores, so no series is gathered in one row."""
-    from pyspark.sql import Window
-
-    rows = scores.where(F.col(score).isNotNull()).groupBy(series, score).agg(F.count(F.lit(1)).alias("c"))
-    order = Window.partitionBy(series).orderBy(score)
-    rows = rows.withColumns({"n": F.sum("c").over(Window.partitionBy(series)), "upto": F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+#: Bins of a pass of ``selected``; rows of its state that are broadcast.
+NARROWING, BROADCAST_CELLS = 1024, 100_000
+#: Shares whose places are selected; the median has two places.
+PLACES = (("p05", 0.05), ("p25", 0.25), ("p75", 0.75), ("p95", 0.95))
+
+
+def selected(rows: DataFrame, places: DataFrame, into: str | None = None, bins: int = NARROWING) -> DataFrame:
+    """The values at given places of sorted series, exactly, without a sort. ``rows``: series,
+    score (finite doubles); ``places``: series, name, place (from 0), low, high (the series' extremes).
+    Gives series, name, value.
+
+    Each pass counts a histogram between the bounds that are left for a place and keeps the
+    bin that holds it, with that bin's own extremes as the next bounds, until both are one
+    value. Counts combine before the shuffle; a place has at most ``bins`` rows."""
+    state = places.select("series", "name", "place", "low", "high", F.lit(0).cast("long").alias("below"))
+    while True:
+        state = written(state, "places", 1, into)
+        open_, n = state.agg(F.count_if(F.col("low") < F.col("high")), F.count(F.lit(1))).first()
+        if not open_:
+            return state.select("series", "name", F.col("low").alias("value"))
+        cells = state.where("low < high").select("series", "low", "high").distinct()
+        cells = F.broadcast(cells) if n <= BROADCAST_CELLS else cells
+        width = F.col("high") - F.col("low")
+        met = rows.join(cells, "series").where(F.col("score").between(F.col("low"), F.col("high")))
+        bin_ = F.least(F.lit(bins - 1), F.floor((F.col("score") - F.col("low")) / width * bins)).alias("bin")
+        counts = met.groupBy("series", "low", bin_).agg(F.count(F.lit(1)).alias("c"), F.min("score").alias("least"), F.max("score").alias("most"))
+        upto = Window.partitionBy("series", "low").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # at most ``bins`` rows
+        counts = counts.withColumn("before", F.coalesce(F.sum("c").over(upto), F.lit(0)))
+        going = state.where("low < high").join(counts, ["series", "low"])
+        left = F.col("place") - F.col("below")
+        going = going.where((F.col("before") <= left) & (left < F.col("before") + F.col("c")))
+        going = going.select("series", "name", "place", F.col("least").alias("low"), F.col("most").alias("high"), (F.col("below") + F.col("before")).alias("below"))
+        state = state.where("low >= high").unionByName(going)
 
-    def at(share: float) -> Column:
-        place = F.least(F.col("n") - 1, F.floor(F.lit(share) * F.col("n")))
-        return F.min(F.when(F.col("upto") > place, F.col(score)))
 
-    middle = lambda place: F.min(F.when(F.col("upto") > place, F.col(score)))
-    median = (middle(F.floor((F.col("n") - 1) / 2)) + middle(F.floor(F.col("n") / 2))) / 2
-    return rows.groupBy(series).agg(F.max("n").alias("n"), F.min(score).alias("min"), at(0.05).alias("p05"), at(0.25).alias("p25"), median.alias("median"), at(0.75).alias("p75"), at(0.95).alias("p95"), F.max(score).alias("max"))
+def distribution(scores: DataFrame, series: str = "series", score: str = "score") -> DataFrame:
+    """n, min, p05, p25, median, p75, p95, max of each series. Percentiles are the sorted
+    score at floor(share * n), the median is interpolated. Exact: places are ``selected`` by
+    narrowing histograms, so no series is sorted or gathered."""
+    spark = scores.sparkSession
+    outer, kind = scope(spark), scores.schema[score].dataType
+    with scratch(spark):
+        rows = scores.where(F.col(score).isNotNull()).select(F.col(series).alias("series"), F.col(score).cast("double").alias("score"))
+        rows = written(rows, "scores")
+        ends = written(rows.groupBy("series").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"), F.max("score").alias("high")), "ends", into=outer)
+        at = [(name, F.least(F.col("n") - 1, F.floor(F.lit(share) * F.col("n")))) for name, share in PLACES]
+        at += [("lower", F.floor((F.col("n") - 1) / 2)), ("upper", F.floor(F.col("n") / 2))]
+        places = ends.select("series", "low", "high", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), place.alias("place")) for name, place in at])).alias("p"))
+        values = written(selected(rows, places.select("series", "low", "high", "p.name", "p.place")), "values", 1, into=outer)
+    value = lambda name: F.max(F.when(F.col("name") == name, F.col("value")))
+    found = values.groupBy("series").agg(*[value(name).cast(kind).alias(name) for name, _ in PLACES], ((value("lower") + value("upper")) / 2).alias("median"))
+    end = lambda c, name: F.col(c).cast(kind).alias(name)
+    return ends.join(found, ends["series"].eqNullSafe(found["series"])).select(ends["series"].alias(series), "n", end("low", "min"), "p05", "p25", "median", "p75", "p95", end("high", "max"))
 
 
 def histogram(scores: DataFrame, series: str = "series", score: str = "score", bins: int = BINS) -> DataFrame:

@@ -1,8 +1,9 @@
 """Exact nearest records by cosine similarity, and what is judged on them.
 
-The set of queries is stated and small beside the corpus. It is broadcast only if it has
-at most ``BROADCAST_QUERIES`` rows (counted first); beyond, queries are dealt to blocks
-and each block meets the corpus by a keyed join.
+``nearest`` and ``rank_of`` work on blocks of vectors (``blocks``); ``scored`` makes every
+pair a row, for reports that need all scores. There the queries are broadcast only if they
+are at most ``BROADCAST_QUERIES`` rows (counted first); beyond, they are dealt to blocks and
+each block meets the corpus by a keyed join.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions.text import or_else
 from quernstone.functions.vectors import dot, normalised
+from quernstone.operators import blocks
 
 BROADCAST_QUERIES, QUERY_BLOCK = 10_000, 1_000
 TOP_K, SCORE_MIN, NOT_FOUND = 5, 0.48, 10**6
@@ -33,9 +35,9 @@ def scored(queries: DataFrame, corpus: DataFrame, same: bool = False, keep: Sequ
     if count <= BROADCAST_QUERIES:
         pairs = corpus.select("id", "v").crossJoin(F.broadcast(asked))
     else:
-        blocks = -(-count // QUERY_BLOCK)
-        asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-        pairs = corpus.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).join(asked, "block")
+        n = -(-count // QUERY_BLOCK)
+        asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int"))
+        pairs = corpus.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block")).join(asked, "block")
     pairs = pairs if same else pairs.where("id <> query_id")
     return pairs.select("query_id", "id", dot(F.col("q"), F.col("v")).alias("score"), *keep)
 
@@ -46,6 +48,12 @@ def top_k(scores: DataFrame, k: int = TOP_K) -> DataFrame:
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def nearest(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, same: bool = False) -> DataFrame:
+    """query_id, id, score, rank: the best k records of each query, as ``top_k`` of
+    ``scored`` gives, but by blocks: only each task's best records become rows."""
+    return top_k(blocks.nearest(queries, corpus, k, same), k)
+
+
 def split_at(queries: DataFrame, hits: DataFrame, threshold: float = SCORE_MIN) -> DataFrame:
     """query_id, kept, dropped_below: the threshold is inclusive and acts after the top k;
     queries without hits have zeros."""
@@ -65,13 +73,12 @@ def results(hits: DataFrame, threshold: float = SCORE_MIN) -> DataFrame:
 def rank_of(expected: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """``expected`` (query_id, expected_id) with the expected record's full rank. The rank
     is one more than the number of better records, so nothing is sorted; null if the
-    record is missing. The expected records are scored by a keyed join of two vectors and go
-    with their queries, so each pair is scored once, and counts combine before the shuffle."""
-    wanted = expected.select(F.col("query_id").alias("id"), "expected_id").join(queries.select("id", "v"), "id")
+    record is missing. The expected records are scored by a keyed join of two vectors; the
+    better ones are counted in blocks (``blocks.better``)."""
+    wanted = expected.select(F.col("query_id").alias("id"), "expected_id").distinct().join(queries.select("id", "v"), "id")
     own = wanted.join(corpus.select(F.col("id").alias("expected_id"), F.col("v").alias("w")), "expected_id")
     own = own.where("id <> expected_id").select("id", "v", "expected_id", dot(F.col("v"), F.col("w")).alias("own"))
-    better = (F.col("score") > F.col("own")) | ((F.col("score") == F.col("own")) & (F.col("id") < F.col("expected_id")))
-    ranks = scored(own, corpus, keep=("expected_id", "own")).groupBy("query_id", "expected_id").agg((F.count_if(better) + 1).alias("rank"))
+    ranks = blocks.better(own, corpus).select("query_id", "expected_id", (F.col("better") + 1).alias("rank"))
     return expected.join(ranks, ["query_id", "expected_id"], "left")
 
 
