@@ -42,11 +42,14 @@ def cost_usd(vendor: Column, prompt: Column, completion: Column, write: Column,
 def priced(calls: DataFrame, prices: DataFrame, check: bool = True) -> DataFrame:
     """``calls`` (model, prompt_tokens, completion_tokens, cache_write_tokens,
     cache_read_tokens) with ``cost_usd``; the price is found by the model without date.
-    ``check`` looks once for models that have no price."""
-    out = calls.withColumn("alias", model_alias(F.col("model"))).join(prices.withColumnRenamed("model", "alias"), "alias", "left")
+    ``check`` looks once for models that have no price, among the distinct models only."""
+    named = calls.withColumn("alias", model_alias(F.col("model")))
+    prices = prices.withColumnRenamed("model", "alias")
     if check:
-        missing = [r[0] for r in out.where(F.col("vendor").isNull()).select("model").distinct().limit(10).collect()]
+        models = calls.select("model").distinct().withColumn("alias", model_alias(F.col("model")))
+        missing = [r[0] for r in models.join(prices.select("alias"), "alias", "left_anti").select("model").limit(10).collect()]
         if missing:
             raise PriceError(f"no price for {', '.join(map(str, missing))}")
+    out = named.join(prices, "alias", "left")
     c = F.col
     return out.withColumn("cost_usd", cost_usd(c("vendor"), c("prompt_tokens"), c("completion_tokens"), c("cache_write_tokens"), c("cache_read_tokens"), c("input_price"), c("output_price")))

@@ -24,6 +24,10 @@ class EncoderError(Exception):
     """The encoder was asked for what it can't give."""
 
 
+class TransportError(Exception):
+    """A provider could not be reached or refused; nothing is known about the prompt."""
+
+
 def with_prefix(text: Column, mode: str) -> Column:
     if mode not in MODES:
         raise EncoderError(f"mode must be one of {', '.join(MODES)}, not {mode!r}")
@@ -75,6 +79,18 @@ def embed(text: Column, mode: str, factory: Callable, dimension: int) -> Column:
     return run(with_prefix(text, mode))
 
 
+def embed_request(texts: Sequence[str], mode: str, factory: Callable, dimension: int) -> list[list[float]]:
+    """The vectors of one request, outside a table: at least one text, in a known mode."""
+    if not texts:
+        raise EncoderError("a request needs at least one text")
+    if mode not in MODES:
+        raise EncoderError(f"mode must be one of {', '.join(MODES)}, not {mode!r}")
+    vectors = list(factory()([PREFIXES[mode] + t for t in texts]))
+    if len(vectors) != len(texts) or any(len(v) != dimension for v in vectors):
+        raise EncoderError(f"the encoder must give one vector of {dimension} for each text")
+    return vectors
+
+
 def embed_query(text: Column, factory: Callable, dimension: int) -> Column:
     return embed(text, "query", factory, dimension)
 
@@ -97,7 +113,7 @@ def fixed_completer(answer: str, model: str = "fake") -> Callable[[], Callable[[
 
 
 class CompleterError(Exception):
-    """A scripted completer was asked for more answers than it has."""
+    """An unknown completer, or a scripted one that was asked for more answers than it has."""
 
 
 def scripted_completer(answers: Sequence[str], model: str = "fake") -> Callable[[], Callable[[Sequence[str]], list[dict[str, Any]]]]:
@@ -117,6 +133,38 @@ def scripted_completer(answers: Sequence[str], model: str = "fake") -> Callable[
     return made
 
 
+def failing_completer(answer: str, fails: Callable[[Sequence[str]], bool]) -> Callable[[], Callable[[Sequence[str]], list[dict[str, Any]]]]:
+    """For tests: a call for which ``fails`` holds can't be made, others get ``answer``."""
+
+    def made() -> Callable[[Sequence[str]], list[dict[str, Any]]]:
+        good = fixed_completer(answer)()
+
+        def complete(prompts: Sequence[str]) -> list[dict[str, Any]]:
+            if fails(prompts):
+                raise TransportError("connection refused")
+            return good(prompts)
+
+        return complete
+
+    return made
+
+
+#: Completers by name; each is made from keyword settings. Callers register their own.
+COMPLETERS: dict[str, Callable[..., Callable]] = {"fake": fixed_completer, "scripted": scripted_completer}
+
+
+def completer_named(name: str, **settings: Any) -> Callable:
+    """The factory registered under ``name`` (case and surrounding space don't count). An
+    unknown name or missing settings fail here, before anything runs."""
+    made = COMPLETERS.get(name.strip().lower())
+    if made is None:
+        raise CompleterError(f"unknown completer {name!r}; known: {', '.join(sorted(COMPLETERS))}")
+    try:
+        return made(**settings)
+    except TypeError as error:
+        raise CompleterError(f"completer {name.strip().lower()!r}: {error}") from error
+
+
 def completed(df: DataFrame, prompt: str, factory: Callable, out: str = "completion") -> DataFrame:
     """``df`` with the model's answer. The call is paid for, so write the result before
     anything reads it twice; Spark is told that the call does not repeat itself."""
