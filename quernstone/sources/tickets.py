@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.functions.text import strip_html
+from quernstone.functions.text import strip_editorial, strip_html
 from quernstone.operators.validate import validated
+from quernstone.sources import relational
+from quernstone.sources.documents import write_documents
 
 # The export's fields, in the export's order.
 COMMENT = "struct<id:int,typ:string,autor_rola:string,created_at:string,tresc:string>"
@@ -94,14 +96,13 @@ def read_artifacts(spark: SparkSession, folder: str, version: int, names: Sequen
 
 
 def write_files(rows: DataFrame, folder: str, name: str, text: str) -> None:
-    """One JSON file per row, ``<name>.json``, written by the tasks through Hadoop's text
-    format: a folder per name, that many tools read as one document."""
-    rows.select(F.concat(F.col(name).cast("string"), F.lit(".json")).alias("file"), F.col(text).alias("value")).write.partitionBy("file").text(folder)
+    """One JSON file per row, ``<name>.json``; none appears before its task is committed."""
+    write_documents(rows, folder, F.col(name), F.col(text))
 
 
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
     """path and whole text of every JSON file, for validation that reports and never aborts."""
-    return spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
@@ -133,10 +134,10 @@ def write_ids(ids: DataFrame, path: str) -> None:
 
 def ids_of_module(spark: SparkSession, url: str, table: str, module: str, **options: str) -> DataFrame:
     """Ids of a module's rows, ascending; filter and column are pushed down."""
-    return read_relational(spark, url, table, **options).where(F.col("modul") == module).select("id").orderBy("id")
+    return relational.ids_of(spark, url, table, "id", {"modul": module}, **options)
 
 
-def read_relational(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
-    """A table by JDBC; filters and columns are pushed down by Spark. With the options
-    partitionColumn, lowerBound, upperBound and numPartitions it is read by several tasks."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+def read_prompt(spark: SparkSession, path: str) -> str:
+    """The text of a prompt file, without its comments; one small file."""
+    text = spark.read.text(path, wholetext=True)
+    return text.select(strip_editorial(F.col("value")).alias("prompt")).first()["prompt"]

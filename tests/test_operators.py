@@ -244,7 +244,7 @@ def test_ids_are_written_in_order(spark, tmp_path):
     lines = [x for f in sorted((tmp_path / "ids").glob("part-*")) for x in f.read_text().split()]
     assert lines == [str(i) for i in range(500)]
     tickets.write_files(spark.createDataFrame([(1, "{}"), (2, "[]")], "id int, doc string"), str(tmp_path / "files"), "id", "doc")
-    assert {p.name for p in (tmp_path / "files").iterdir() if p.is_dir()} == {"file=1.json", "file=2.json"}
+    assert {p.name for p in (tmp_path / "files").iterdir() if p.is_file()} == {"1.json", "2.json"}
 
 
 def test_hits_requests_and_responses(spark):
