@@ -61,24 +61,26 @@ def field_errors(record: Column, fields: Sequence[str] = FIELDS) -> Column:
     return listed(*found)
 
 
-def record_errors(text: Column, version: int, names: Sequence[str], known: Sequence[str] = (), told: Column | None = None) -> Column:
+def record_errors(text: Column, version: int | Column, names: Sequence[str] | Column, known: Sequence[str] = (), told: Column | None = None) -> Column:
     """``field: message`` of each failed check of a record's JSON. Checks on the whole record
     (location ``rekord``) run only if no field failed, and the vocabulary's version before
     membership in it. Fields in ``known`` come from elsewhere, not from the text; ``told``
-    is then the version."""
+    is then the version. ``names``: the vocabulary's, or an array column of them."""
     record = F.try_parse_json(text)
     strange = F.transform(unknown_keys(text, FIELDS), lambda k: F.concat(k, F.lit(": unknown field")))
     field = F.concat(field_errors(record, [f for f in FIELDS if f not in known]), strange)
     if told is None:
         told = F.try_variant_get(record, "$.resolution_vocabulary_version", "double")
     resolution = strip(F.try_variant_get(record, "$.resolution", "string"))
-    whole = F.when(told != version, F.array(F.lit(f"rekord: vocabulary version is not {version}"))).when(
-        ~resolution.isin(*names), F.array(F.lit("rekord: resolution is not in the vocabulary"))
+    asked = version if isinstance(version, Column) else F.lit(version)
+    member = F.array_contains(names, resolution) if isinstance(names, Column) else resolution.isin(*names)
+    whole = F.when(told != asked, F.array(F.concat(F.lit("rekord: vocabulary version is not "), asked.cast("string")))).when(
+        ~member, F.array(F.lit("rekord: resolution is not in the vocabulary"))
     ).otherwise(F.array().cast("array<string>"))
     return F.when(~is_object(text), F.array(F.lit("rekord: not a JSON object"))).when(F.size(field) > 0, field).otherwise(whole)
 
 
-def validated(df: DataFrame, text: str, version: int, names: Sequence[str]) -> DataFrame:
+def validated(df: DataFrame, text: str, version: int | Column, names: Sequence[str] | Column) -> DataFrame:
     """``df`` with ``record`` and ``errors`` (empty: valid); required texts are trimmed."""
     parsed = F.from_json(F.col(text), SCHEMA)
     out = df.withColumn("record", parsed).withColumn("errors", record_errors(F.col(text), version, names))
@@ -87,6 +89,30 @@ def validated(df: DataFrame, text: str, version: int, names: Sequence[str]) -> D
     return out.withColumn("record", F.when(F.size("errors") == 0, F.col("record")))
 
 
+class VocabularyError(Exception):
+    """The vocabulary has no such version, or too many names."""
+
+
+#: Names of one version that go to every task.
+NAMES = 10_000
+
+
+def names_of(vocabulary: DataFrame, version: int) -> DataFrame:
+    """One row: the names of one version of a vocabulary (version, name). Their number is
+    checked, so that they may be broadcast."""
+    names = vocabulary.where(F.col("version") == version).select("name").distinct()
+    count = names.limit(NAMES + 1).count()
+    if not 0 < count <= NAMES:
+        raise VocabularyError(f"version {version} of the vocabulary has {'no' if not count else f'more than {NAMES}'} names")
+    return names.agg(F.collect_set("name").alias("__names"))
+
+
+def validated_by(df: DataFrame, text: str, version: int, vocabulary: DataFrame) -> DataFrame:
+    """``validated`` against one version of a table of vocabularies (version, name)."""
+    rows = df.join(F.broadcast(names_of(vocabulary, version)))  # one row
+    return validated(rows, text, version, F.col("__names")).drop("__names")
+
+
 def parsed_answers(df: DataFrame, answer: str, ticket_id: str, date: str, version: int, names: Sequence[str]) -> DataFrame:
     """Model answers to records: the fence goes, and id, date and version are the source's,
     whatever the model says. A failed answer keeps its row, and with it its cost."""

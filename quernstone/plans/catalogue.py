@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import cost, encoders, text
 from quernstone.functions.ids import uuid5
-from quernstone.operators import evaluate, export, index, quality, sampling, search, validate
-from quernstone.streaming.incremental import activity
+from quernstone.operators import completion, evaluate, export, index, quality, sampling, search, validate
+from quernstone.sources import documents, tickets
+from quernstone.streaming.incremental import activity, file_stream, keep_activity
+from quernstone.tables import new_path
 
 K, EVERY, MIN_SCORE = 5, 50, 0.30
 #: Escape phrases for the four languages of ``documents``.
@@ -42,22 +44,21 @@ def asked(corpus: DataFrame) -> DataFrame:
     return corpus.where(F.col("id") % EVERY == 0)
 
 
-def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = vectors(spark, sf_dir)
-    return search.scored(asked(corpus), corpus)
+    return search.nearest(asked(corpus), corpus, K)
 
 
-def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.top_k(scores(spark, sf_dir), K)
+def expected(spark: SparkSession, sf_dir: str, part: Column) -> DataFrame:
+    """query_id, label, expected_id: the record that a query should find is the nearest one
+    by ``part`` of the vector, so that a search by another part finds it now and then."""
+    corpus = vectors(spark, sf_dir, part)
+    found = search.nearest(asked(corpus), corpus, 1)
+    return asked(corpus).select(F.col("id").alias("query_id"), "label").join(found.select("query_id", F.col("id").alias("expected_id")), "query_id", "left")
 
 
-def expected(corpus: DataFrame) -> DataFrame:
-    """The record that a query should find: the smallest other id of its label."""
-    q = asked(corpus).select(F.col("id").alias("query_id"), "label")
-    two = corpus.groupBy("label").agg(F.min("id").alias("first"))
-    second = corpus.join(two, "label").where("id <> first").groupBy("label").agg(F.min("id").alias("second"))
-    both = q.join(two, "label").join(second, "label", "left")
-    return both.select("query_id", "label", F.when(F.col("first") != F.col("query_id"), F.col("first")).otherwise(F.col("second")).alias("expected_id"))
+def half(begin: int) -> Column:
+    return F.slice("embedding", begin, 32)
 
 
 def search_topk(spark, sf_dir):
@@ -68,9 +69,13 @@ def search_threshold(spark, sf_dir):
     return search.split_at(asked(vectors(spark, sf_dir)), hits(spark, sf_dir), MIN_SCORE)
 
 
-def ranked(spark: SparkSession, sf_dir: str, part: Column | None = None) -> DataFrame:
-    corpus = vectors(spark, sf_dir, part)
-    return search.rank_of(expected(corpus), asked(corpus), corpus)
+def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = vectors(spark, sf_dir)
+    return search.rank_of(expected(spark, sf_dir, half(1)), asked(corpus), corpus)
+
+
+def found_in_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank_in(expected(spark, sf_dir, half(1)), hits(spark, sf_dir))
 
 
 def rank_full(spark, sf_dir):
@@ -78,7 +83,7 @@ def rank_full(spark, sf_dir):
 
 
 def rank_topk_miss(spark, sf_dir):
-    return search.rank_in(expected(vectors(spark, sf_dir)), hits(spark, sf_dir)).select("query_id", "expected_id", "rank")
+    return found_in_top(spark, sf_dir).select("query_id", "expected_id", "rank")
 
 
 def recall_curve(spark, sf_dir):
@@ -88,8 +93,13 @@ def recall_curve(spark, sf_dir):
 
 
 def by_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranks in two spaces: the halves of the vector."""
-    one = lambda mode, begin: ranked(spark, sf_dir, F.slice("embedding", begin, 32)).withColumn("mode", F.lit(mode))
+    """Ranks of the nearest record by the whole vector in two spaces: the vector's halves."""
+
+    def one(mode: str, begin: int) -> DataFrame:
+        corpus = vectors(spark, sf_dir, half(begin))
+        return search.rank_of(wanted, asked(corpus), corpus).withColumn("mode", F.lit(mode))
+
+    wanted = expected(spark, sf_dir, F.col("embedding"))
     return one("problem", 1).unionByName(one("sts", 33))
 
 
@@ -111,24 +121,24 @@ def mode_deltas(spark, sf_dir):
 
 
 def missed_queries(spark, sf_dir):
-    return evaluate.missed(search.rank_in(expected(vectors(spark, sf_dir)), hits(spark, sf_dir)))
+    return evaluate.missed(found_in_top(spark, sf_dir))
 
 
 def search_responses(spark, sf_dir):
     """Hits with the fields of the document of the same id."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ticket_id"), F.lit("").alias("date"), F.col("lang").alias("component"), *[F.lit(None).cast("string").alias(f) for f in search.HIT_FIELDS[2:]])
-    queries = asked(vectors(spark, sf_dir)).select(F.col("id").alias("query_id"), F.col("label").cast("string").alias("problem"))
+    queries = asked(vectors(spark, sf_dir)).select(F.col("id").alias("query_id"), F.concat(F.lit("label "), "label").alias("problem"), F.lit("brak").alias("cause"))
     rows = search.responses(queries, hits(spark, sf_dir), docs, MIN_SCORE)
     hit = lambda h: F.concat_ws(":", h["ticket_id"], F.round(h["score"], 4).cast("decimal(10,4)").cast("string"), h["component"])
-    return rows.select("query_id", F.array_join(F.transform("hits", hit), " ").alias("hits"), "dropped_below_threshold")
+    return rows.select("query_id", F.to_json("query").alias("query"), F.array_join(F.transform("hits", hit), " ").alias("hits"), "dropped_below_threshold")
 
 
 def families(spark, sf_dir):
     """Correct scores of the golden queries, best scores of the distractors."""
     corpus = vectors(spark, sf_dir)
     golden = asked(corpus).where("label <> 9")
-    found = search.rank_in(expected(corpus).where("label <> 9"), search.top_k(search.scored(golden, corpus), K))
-    apart = search.top_k(search.scored(asked(corpus).where("label = 9"), corpus.where("label <> 9")), K)
+    found = search.rank_in(expected(spark, sf_dir, half(1)).where("label <> 9"), search.nearest(golden, corpus, K))
+    apart = search.nearest(asked(corpus).where("label = 9"), corpus.where("label <> 9"), K)
     silent = asked(corpus).where("label = 9").select(F.col("id").alias("query_id")).join(apart.groupBy("query_id").agg(F.max("score").alias("best")), "query_id", "left")
     return found.select("query_id", "score"), silent, apart
 
@@ -176,11 +186,11 @@ def strip_html_sampling(spark, sf_dir):
 
 
 def html_entities(spark, sf_dir):
-    """Every HTML5 name, decoded."""
-    from html.entities import html5
-
-    names = spark.createDataFrame([(n,) for n in sorted(html5)], "name string")
-    return names.select("name", text.unescape(F.concat(F.lit("a&"), "name", F.lit(" b"))).alias("text"))
+    """The references of each page in order, and what they stand for. (All HTML5 names are
+    decoded in the unit tests.)"""
+    found = F.regexp_extract_all("html", F.lit("&#?[A-Za-z0-9]+;"), F.lit(0))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(found).alias("place", "reference"))
+    return rows.select("page_id", "place", "reference", text.unescape(F.col("reference")).alias("text"))
 
 
 def html_numbers(spark, sf_dir):
@@ -274,7 +284,8 @@ def stratified_sample(spark, sf_dir):
 
 def sample_report(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").where("length(text) > 50")
-    return sampling.sample_report(rows, sampling.stratified(rows, "lang", "doc_id", 200), "lang", "doc_id").select("lang", "size")
+    report = sampling.sample_report(rows, sampling.stratified(rows, "lang", "doc_id", 200), "lang", "doc_id")
+    return report.select("lang", "size", "picked", F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"))
 
 
 # --- export, validation, cost, index ---------------------------------------------------
@@ -312,27 +323,102 @@ def validate_json(spark, sf_dir):
     return rows.select("event_id", F.array_join(errors, "; ").alias("errors"))
 
 
-def checked_records(spark, sf_dir):
-    from quernstone.plans.oracle import RECORDS
+def record_texts(spark, sf_dir):
+    """doc_id, json: documents as parsed records. What is wrong with a record comes from its
+    document: a missing language, an impossible date, a blank cause, a class that is not in the
+    vocabulary, fields of the wrong type, one too many, no object at all."""
+    d = F.col("doc_id")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    fields = {
+        "ticket_id": d.cast("string"),
+        "date": F.concat(F.lit("2024-"), two(d % 14), F.lit("-"), two(d % 33)),
+        "component": F.col("lang"),
+        "problem": F.substring("text", 1, 40),
+        "symptoms": F.col("source"),
+        "error_codes": F.array("lang"),
+        "cause": F.when(F.col("n_chars") % 4 == 0, "  ").otherwise("c"),
+        "solution": F.col("source"),
+        "resolution": F.concat(F.lit("class "), F.col("n_chars") % 3),
+        "resolution_vocabulary_version": F.when(F.col("n_chars") % 5 == 0, 2).otherwise(1),
+    }
+    made = lambda **other: F.to_json(F.struct(*[c.alias(f) for f, c in (fields | other).items()]))
+    json = (
+        F.when(d % 6 == 1, made(extra=F.col("n_chars")))
+        .when(d % 6 == 2, made(problem=F.col("n_chars")))
+        .when(d % 6 == 3, made(error_codes=F.col("lang")))
+        .when(d % 6 == 4, F.to_json(F.array("lang")))
+        .otherwise(made())
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", json.alias("json"))
+
 
-    return validate.validated(table(spark, sf_dir, "events").select("event_id", F.expr(RECORDS).alias("json")), "json", 1, ["fixed", "open"])
+def vocabulary(spark, sf_dir):
+    """version, position, name, hint: two versions of a vocabulary, by the regions' keys."""
+    rows = table(spark, sf_dir, "region").select((F.col("r_regionkey") % 2 + 1).alias("version"), F.col("r_regionkey").alias("position"), F.concat(F.lit("class "), F.floor(F.col("r_regionkey") / 2)).alias("name"), F.col("r_name").alias("hint"))
+    return rows
+
+
+def checked_records(spark, sf_dir):
+    return validate.validated_by(record_texts(spark, sf_dir), "json", 1, vocabulary(spark, sf_dir))
 
 
 def validate_records(spark, sf_dir):
-    """Records with one fault each, through the whole validation."""
-    return checked_records(spark, sf_dir).select("event_id", F.array_join("errors", "; ").alias("errors"))
+    """Records through the whole validation, the vocabulary's names being a table."""
+    return checked_records(spark, sf_dir).select("doc_id", F.array_join("errors", "; ").alias("errors"))
 
 
 def validation_summary(spark, sf_dir):
     return validate.summary(checked_records(spark, sf_dir))
 
 
+def valid_records(spark, sf_dir):
+    """The valid records with their required texts trimmed."""
+    rows = checked_records(spark, sf_dir).where("record is not null")
+    return rows.select("doc_id", "record.ticket_id", "record.component", "record.problem", "record.symptoms", "record.resolution")
+
+
+def answers_as_records(spark, sf_dir):
+    """Model answers in a fence whose identity is the source's, whatever they say."""
+    rows = record_texts(spark, sf_dir).withColumns({"answer": F.concat(F.lit("```json\n"), "json", F.lit("\n```")), "day": F.lit("2024-05-06")})
+    got = validate.parsed_answers(rows, "answer", "doc_id", "day", 1, ["class 0", "class 1"])
+    return got.select("doc_id", F.array_join("errors", "; ").alias("errors"), "record.ticket_id", "record.date", "record.resolution_vocabulary_version")
+
+
+def vocabulary_text(spark, sf_dir):
+    """Each version's vocabulary as it stands in a prompt."""
+    classes = F.sort_array(F.collect_list(F.struct("position", "name", "hint")))
+    return vocabulary(spark, sf_dir).groupBy("version").agg(text.render_vocabulary(classes).alias("classes"))
+
+
+def prompts(spark, sf_dir):
+    """The prompt of each thread: vocabulary first, then the thread, in a template."""
+    classes = vocabulary_text(spark, sf_dir).where("version = 1").select(F.col("classes"))
+    thread = text.render_thread(F.col("conv_id").cast("string"), F.lit("2024-01-01").cast("date"), F.lit("rozmowa"), F.col("body"), F.col("comments"))
+    return threads(spark, sf_dir).crossJoin(F.broadcast(classes)).select("conv_id", text.parse_prompt("{{vocabulary}}\n--\n{{thread}}", thread, F.col("classes")).alias("prompt"))  # one row of classes
+
+
+def tokens_estimate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.tokens_estimate(F.col("text")).alias("tokens"))
+
+
+def has_content(spark, sf_dir):
+    """Which threads are long enough to be parsed."""
+    status = F.when(F.col("conv_id") % 3 == 0, "nowy").when(F.col("conv_id") % 3 == 1, "zamkniety").otherwise("rozwiazany")
+    return threads(spark, sf_dir).select("conv_id", F.coalesce(sampling.has_content(status, F.col("body"), F.col("comments"), 400), F.lit(False)).alias("has_content"))
+
+
+def answer_problems(spark, sf_dir):
+    """Calls whose answer can't be trusted: the window was full, or the prompt was cut."""
+    rows = calls(spark, sf_dir)
+    return rows.select("event_id", sampling.answer_problem(F.col("completion_tokens") * 10, F.col("prompt_tokens"), F.lit(5000)).alias("problem"))
+
+
 def calls(spark, sf_dir):
     """Events as model calls: tokens from the value, the model from the user."""
     n = F.floor(F.col("value") * 100).cast("long")
     names = F.array(*[F.lit(m) for m in ("north-20240101", "south-2024-01-01", "east", "west")])
     model = F.element_at(names, (F.col("user_id") % 4 + 1).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value", model.alias("model"), n.alias("prompt_tokens"), F.floor(n / 3).alias("completion_tokens"), F.floor(n / 10).alias("cache_write_tokens"), F.floor(n / 2).alias("cache_read_tokens"))
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value", "props", model.alias("model"), n.alias("prompt_tokens"), F.floor(n / 3).alias("completion_tokens"), F.floor(n / 10).alias("cache_write_tokens"), F.floor(n / 2).alias("cache_read_tokens"))
 
 
 def llm_cost(spark, sf_dir):
@@ -353,7 +439,7 @@ def run_summary(spark, sf_dir):
 
 def running_elapsed(spark, sf_dir):
     rows = table(spark, sf_dir, "events").withColumn("cents", F.round(F.col("value") * 100).cast("long"))
-    return rows.select("event_id", index.running(rows, "user_id", "event_id", "cents").alias("elapsed"))
+    return index.running(rows, "user_id", "event_id", "cents", "elapsed").select("event_id", "elapsed")
 
 
 def upsert_latest(spark, sf_dir):
@@ -361,14 +447,96 @@ def upsert_latest(spark, sf_dir):
     return index.latest(rows, "user_id", F.col("ts"), F.col("event_id")).select("user_id", "event_id", "event_type", "value")
 
 
+def event_index(spark, sf_dir) -> str:
+    """The last event of each user, kept in the keyed index by two batches; the second
+    one is merged twice under one number, which changes nothing."""
+    path = new_path(spark, "event-index")
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type", "value")
+    for number, part in enumerate((rows.where("event_id % 3 <> 0"), rows.where("event_id % 3 = 0"), rows.where("event_id % 3 = 1"))):
+        index.upsert(spark, path, part, "user_id", order="event_id", batch=("events", min(number, 1)))
+    return path
+
+
+def index_upsert(spark, sf_dir):
+    return index.load(spark, event_index(spark, sf_dir)).select("user_id", "event_id", "event_type", "value")
+
+
+def index_count(spark, sf_dir):
+    """The exact number of points of an index."""
+    path = event_index(spark, sf_dir)
+    index.size(spark, path)  # refuses a missing or empty one
+    return index.load(spark, path).agg(F.count(F.lit(1)).alias("points"))
+
+
 def point_ids(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", uuid5(F.col("doc_id").cast("string")).alias("point_id"))
 
 
+def index_points(spark, sf_dir):
+    """Points with named vectors and a payload, of the records that have an embedding."""
+    rows = table(spark, sf_dir, "embeddings").join(checked_records(spark, sf_dir).where("record is not null"), F.col("vec_id") == F.col("doc_id"))
+    names = [f for f in index.PAYLOAD if f not in ("date",)]
+    flat = rows.select(*[F.col(f"record.{f}").alias(f) for f in names], F.to_date("record.date").alias("date"), "embedding")
+    made = index.points(flat, half(1), half(33))
+    wire = made.select("point_id", index.wire(made).alias("point"))
+    share = lambda v: F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 9)
+    return wire.select("point_id", "point.payload.ticket_id", "point.payload.date", "point.payload.problem", share(F.col("point.vector.problem")).alias("problem_sum"), share(F.col("point.vector.sts")).alias("sts_sum"))
+
+
+def decoded_hits(spark, sf_dir):
+    """Hits as JSON texts, read back; odd ranks come without a payload."""
+    found = hits(spark, sf_dir)
+    payload = F.when(F.col("rank") % 2 == 0, F.create_map(F.lit("ticket_id"), F.col("id").cast("string")))
+    rows = found.select("query_id", "rank", F.to_json(F.struct(uuid5(F.col("id").cast("string")).alias("id"), F.round("score", 4).alias("score"), payload.alias("payload"))).alias("entry"))
+    return search.decoded_hits(rows).select("query_id", "rank", "point_id", "score", "ticket_id")
+
+
+def search_requests(spark, sf_dir):
+    """Conversations as search requests, in the shape of tickets."""
+    comments = F.transform("comments", lambda c: F.struct(F.when(c["role"] != "user", c["role"]).alias("role"), F.lit(None).cast("string").alias("created_at"), c["body"].alias("body")))
+    rows = threads(spark, sf_dir).select(F.col("conv_id").cast("string").alias("ticket_id"), F.lit("2024-02-03").cast("date").alias("date"), F.lit("").alias("category"), F.lit("rozmowa").alias("subject"), "body", comments.alias("comments"))
+    told = lambda c: F.concat_ws(",", c["kind"], c["role"], c["created_at"], F.length(c["body"]).cast("string"))
+    return search.requests_as_tickets(rows).select("ticket_id", F.col("date").cast("string").alias("date"), F.length("body").alias("body_chars"), F.array_join(F.transform("comments", told), ";").alias("comments"))
+
+
+def failed_ids(spark, sf_dir):
+    """Calls without a record."""
+    rows = calls(spark, sf_dir).withColumn("record", F.when(F.get_json_object("props", "$.k").cast("int") >= 5, F.col("event_id")))
+    return evaluate.failed_ids(rows, "record", "event_id")
+
+
+def completions(spark, sf_dir):
+    """A model's answers about each document's language and source: each different prompt is
+    asked once, rows share its answer."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", F.lit("language"), "lang", F.lit("from"), "source").alias("prompt"))
+    done = completion.completed_once(rows, "prompt", encoders.completer_named("fake", answer="brak danych"), new_path(spark, "answers"))
+    return done.select("doc_id", "completion.text", "completion.prompt_tokens", "completion.completion_tokens", "error_kind")
+
+
+def document_files(spark, sf_dir):
+    """One file for each supplier, written and read back."""
+    folder = new_path(spark, "suppliers")
+    rows = table(spark, sf_dir, "supplier")
+    tickets.write_files(rows.select(F.concat(F.lit("supplier-"), "s_suppkey").alias("name"), F.to_json(F.struct("s_suppkey", "s_name")).alias("text")), folder, "name", "text")
+    back = documents.read_documents(spark, folder).withColumn("file_name", F.concat("name", F.lit(".json")))
+    return tickets.numbered(back).select("file_name", "number", F.get_json_object("text", "$.s_name").alias("s_name"))
+
+
 def fake_embed_norms(spark, sf_dir):
+    """The components' sum and two of them, and the length, of each text's pseudo-vector."""
     v = encoders.embed_passage(F.col("text"), encoders.encoder_named("fake", 64), 64)
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    return table(spark, sf_dir, "documents").select("doc_id", v.alias("v")).select("doc_id", F.round(norm, 9).alias("norm"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", v.alias("v"))
+    total = lambda f: F.aggregate("v", F.lit(0.0), f)
+    return rows.select("doc_id", F.round(F.sqrt(total(lambda s, x: s + x * x)), 9).alias("norm"), F.round(total(lambda s, x: s + x), 9).alias("total"), F.round(F.get("v", F.lit(0)), 9).alias("first"), F.round(F.get("v", F.lit(63)), 9).alias("last"))
+
+
+def stream_activity(spark, sf_dir):
+    """The hourly counts of the events as a stream of files: a state store behind a
+    watermark, each batch upserted into an index."""
+    path, checkpoint = new_path(spark, "activity"), new_path(spark, "activity-checkpoint")
+    events = file_stream(spark, f"{sf_dir}/events.parquet").select("ts", "event_type", "value")
+    keep_activity(spark, events, path, checkpoint).awaitTermination()
+    return index.load(spark, path).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
 def hourly_activity(spark, sf_dir):
@@ -382,6 +550,8 @@ NAMES: tuple[Callable, ...] = (
     filter_vs_labels, not_yet_processed, kept_semi, stratified_sample, export_nested, export_verify, validate_json, llm_cost, run_totals, running_elapsed,
     upsert_latest, point_ids, fake_embed_norms, hourly_activity, validate_records, validation_summary, html_entities, html_numbers, mode_table, mode_deltas,
     missed_queries, lost_hits, distractor_detail, search_responses, median_length, sample_report, clipped_text, strip_answer, too_long, ids_for_rule, run_summary,
+    valid_records, answers_as_records, vocabulary_text, prompts, tokens_estimate, has_content, answer_problems, index_upsert, index_count, index_points,
+    decoded_hits, search_requests, failed_ids, completions, document_files, stream_activity,
 )
 
 

@@ -7,8 +7,9 @@ e as (select vec_id, label, embedding::double[] as v from embeddings),
 s as (select q.vec_id as query_id, q.label, c.vec_id as id, c.label as other, list_cosine_similarity(q.v, c.v) as score
       from e q join e c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
 h as (select * from (select *, row_number() over (partition by query_id order by score desc, id) as rank from s) where rank <= 5),
-x as (select q.vec_id as query_id, q.label, (select min(c.vec_id) from e c where c.label = q.label and c.vec_id <> q.vec_id) as expected_id
-      from e q where q.vec_id % 50 = 0)
+x as (select query_id, label, expected_id from (
+        select q.vec_id as query_id, q.label, c.vec_id as expected_id, row_number() over (partition by q.vec_id order by list_cosine_similarity(q.v[1:32], c.v[1:32]) desc, c.vec_id) as n
+        from e q join e c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id) where n = 1)
 """
 
 RANKS = SCORES + """,
@@ -70,74 +71,67 @@ c as (select t.*, case vendor when 'added' then (a + 1.25::double * w + 0.1::dou
 MODE = """
 e{m} as (select vec_id, label, (embedding::double[])[{a}:{b}] as v from embeddings),
 s{m} as (select q.vec_id as query_id, c.vec_id as id, list_cosine_similarity(q.v, c.v) as score from e{m} q join e{m} c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
-x{m} as (select q.vec_id as query_id, (select min(c.vec_id) from e{m} c where c.label = q.label and c.vec_id <> q.vec_id) as expected_id from e{m} q where q.vec_id % 50 = 0),
+x{m} as (select query_id, expected_id from (
+        select q.vec_id as query_id, c.vec_id as expected_id, row_number() over (partition by q.vec_id order by list_cosine_similarity(q.embedding::double[], c.embedding::double[]) desc, c.vec_id) as n
+        from embeddings q join embeddings c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id) where n = 1),
 o{m} as (select x.query_id, x.expected_id, s.score from x{m} x left join s{m} s on s.query_id = x.query_id and s.id = x.expected_id),
 r{m} as (select '{m}' as mode, o.query_id, case when any_value(o.score) is not null then 1 + sum(case when s.score > o.score or (s.score = o.score and s.id < o.expected_id) then 1 else 0 end) end as rank
   from o{m} o left join s{m} s on s.query_id = o.query_id group by o.query_id)
 """
 
-#: JSON records with one fault each, by event; the same text in both dialects.
-GOOD = '{"ticket_id":"7","date":"2024-05-06","component":"app","problem":"p","symptoms":"s","error_codes":["E1"],"cause":"c","solution":"x","resolution":"fixed","resolution_vocabulary_version":1,"questions_summary":"q"}'
-FAULTS = (
-    GOOD,
-    GOOD.replace('"ticket_id":"7",', ""),
-    GOOD.replace("2024-05-06", "not a date"),
-    GOOD.replace("2024-05-06", "2024-02-31"),
-    GOOD.replace('"problem":"p"', '"problem":5'),
-    GOOD.replace('["E1"]', '"E1"'),
-    GOOD.replace('["E1"]', '["E1",2]'),
-    GOOD.replace('"cause":"c"', '"cause":"  "'),
-    GOOD.replace('"solution":"x"', '"solution":null'),
-    GOOD.replace('"resolution":"fixed"', '"resolution":"other"'),
-    GOOD.replace('_version":1', '_version":2'),
-    GOOD.replace('_version":1', '_version":1.5'),
-    GOOD.replace('"questions_summary":"q"', '"questions_summary":"","extra":1'),
-    GOOD.replace(',"questions_summary":"q"', "").replace('"error_codes":["E1"],', ""),
-    "[1]",
-    "{broken",
-)
-RECORDS = "case event_id % 16 " + " ".join(f"when {i} then '{text}'" for i, text in enumerate(FAULTS)) + " end"
-
-
-def text_error(f: str, blank: bool = True) -> str:
-    optional = f == "questions_summary"
-    missing = "" if optional else f"when json_type(d, '$.{f}') is null then '{f}: missing' "
-    empty = f"when trim(json_extract_string(d, '$.{f}')) = '' then '{f}: blank or missing' " if blank else ""
-    return f"case {missing}when json_type(d, '$.{f}') <> 'VARCHAR' then '{f}: not a text' {empty}end"
-
-
-FIELD_ERRORS = ", ".join(
-    [
-        text_error("ticket_id", False),
-        "case when json_type(d, '$.date') is null then 'date: missing' when json_type(d, '$.date') <> 'VARCHAR' then 'date: not a text' when try_cast(json_extract_string(d, '$.date') as date) is null then 'date: not a date' end",
-        *[text_error(f) for f in ("component", "problem", "symptoms")],
-        "case when json_type(d, '$.error_codes') is not null and (json_type(d, '$.error_codes') <> 'ARRAY' or len(list_filter(json_extract(d, '$.error_codes[*]'), lambda x: json_type(x) <> 'VARCHAR')) > 0) then 'error_codes: not a list of texts' end",
-        *[text_error(f) for f in ("cause", "solution")],
-        text_error("resolution", False),
-        "case when json_type(d, '$.resolution_vocabulary_version') is null then 'resolution_vocabulary_version: missing' when try_cast(json_extract_string(d, '$.resolution_vocabulary_version') as double) % 1 <> 0 then 'resolution_vocabulary_version: not an integer' end",
-        text_error("questions_summary"),
-        "case when list_contains(json_keys(d), 'extra') then 'extra: unknown field' end",
-    ]
-)
-CHECKED = f"""
-a as (select event_id, {RECORDS} as t from events),
-b as (select event_id, case when json_valid(t) then t end as d from a),
-f as (select event_id, d, list_filter([{FIELD_ERRORS}], lambda x: x is not null) as e from b where d is not null and json_type(d) = 'OBJECT'),
-v as (select event_id, case when f.event_id is null then 'rekord: not a JSON object' when len(e) > 0 then array_to_string(e, '; ')
-        when json_extract_string(d, '$.resolution_vocabulary_version')::double <> 1 then 'rekord: vocabulary version is not 1'
-        when json_extract_string(d, '$.resolution') not in ('fixed', 'open') then 'rekord: resolution is not in the vocabulary' else '' end as errors from b left join f using (event_id, d))
+#: What is wrong with each document taken as a parsed record (``catalogue.record_texts``), from the
+#: documents' own columns: errors of the fields in their order, then of the whole record.
+CHECKED = r"""
+a as (select doc_id, lang, source, n_chars, doc_id % 6 as kind, regexp_replace(substr(text, 1, 40), '^\s+|\s+$', '', 'g') as problem, text,
+        '2024-' || lpad((doc_id % 14)::varchar, 2, '0') || '-' || lpad((doc_id % 33)::varchar, 2, '0') as day from documents),
+f as (select *, list_filter([
+        case when try_cast(day as date) is null then 'date: not a date' end,
+        case when lang is null then 'component: missing' when trim(lang) = '' then 'component: blank or missing' end,
+        case when kind = 2 then case when n_chars is null then 'problem: missing' else 'problem: not a text' end when text is null then 'problem: missing' when problem = '' then 'problem: blank or missing' end,
+        case when source is null then 'symptoms: missing' when trim(source) = '' then 'symptoms: blank or missing' end,
+        case when (kind = 3 and lang is not null) or (kind <> 3 and lang is null and false) then 'error_codes: not a list of texts' end,
+        case when n_chars % 4 = 0 then 'cause: blank or missing' end,
+        case when source is null then 'solution: missing' when trim(source) = '' then 'solution: blank or missing' end,
+        case when n_chars is null then 'resolution: missing' end,
+        case when kind = 1 and n_chars is not null then 'extra: unknown field' end], lambda x: x is not null) as e from a),
+v as (select *, case when kind = 4 then 'rekord: not a JSON object' when len(e) > 0 then array_to_string(e, '; ')
+        when n_chars % 5 = 0 then 'rekord: vocabulary version is not 1'
+        when 'class ' || (n_chars % 3) not in (select 'class ' || (r_regionkey // 2) from region where r_regionkey % 2 = 0) then 'rekord: resolution is not in the vocabulary' else '' end as errors from f)
+"""
+
+#: The same as model answers: date and version are the source's.
+ANSWERED = CHECKED + r""",
+w as (select doc_id, case when kind = 4 then 'rekord: not a JSON object' when len(g) > 0 then array_to_string(g, '; ')
+        when n_chars % 3 = 2 then 'rekord: resolution is not in the vocabulary' else '' end as errors
+      from (select *, list_filter(e, lambda x: x <> 'date: not a date') as g from v))
+"""
+
+TURNS = """
+t as (select conv_id, turn, role, text, row_number() over (partition by conv_id, turn > 0 order by turn) as place from conversations)
 """
 
 
-def entity_rows() -> str:
+def entity_values() -> str:
+    """Names and values of the HTML5 references, as SQL values."""
     from html.entities import html5
 
     quoted = lambda t: "'" + t.replace("'", "''") + "'"
-    return ", ".join(f"({quoted(name)}, {quoted(value)})" for name, value in sorted(html5.items()))
+    return ", ".join(f"({quoted('&' + name)}, {quoted(value)})" for name, value in sorted(html5.items()) if name.endswith(";"))
 
 
 LOCATED = "least(n - 1, floor({f} * n)::bigint)::int + 1"
 
+RENDERED = """select conv_id, 'ZGŁOSZENIE ' || conv_id || ' z 2024-01-01' || chr(10) || 'Temat: rozmowa' || chr(10) || chr(10) || 'OPIS ZGŁASZAJĄCEGO:' || chr(10)
+          || coalesce(nullif(max(case when turn = 0 then text end), ''), '(brak opisu)') || chr(10)
+          || coalesce(string_agg(line, chr(10) order by turn) filter (where turn > 0), chr(10) || '(brak komentarzy w wątku)') as thread
+        from (select *, chr(10) || 'KOMENTARZ ' || row_number() over (partition by conv_id, turn > 0 order by turn) || ' — ' || role || ', ' || turn || ' (typ: zwyczajny):' || chr(10)
+                || coalesce(nullif(text, ''), '(pusty komentarz)') as line from conversations) group by conv_id"""
+
+STRATIFIED = """with d as (select doc_id, lang, row_number() over (partition by lang order by doc_id::varchar) - 1 as pos from documents where length(text) > 50),
+        n as (select lang, count(*) as n from d group by 1), q as (select lang, n, greatest(1, round_even(200 * n / (select sum(n) from n)::double, 0)::bigint) as quota from n),
+        z as (select *, greatest(1, n // quota) as step from q)
+        select doc_id, lang from d join z using (lang) where pos % step = 0 and pos // step < quota order by doc_id limit 200"""
+
 ORACLE = {
     "search_topk": f"with {SCORES} select query_id, rank::int as rank, id as vec_id, round(score, 6) as score from h",
     "search_threshold": f"with {SCORES} select x.query_id, count(*) filter (where score >= 0.30) as kept, count(*) filter (where score < 0.30) as dropped_below from x left join h using (query_id) group by 1",
@@ -163,11 +157,7 @@ ORACLE = {
         from b join i on score >= i / 100.0::double and (score < (i + 1) / 100.0::double or (i = 99 and score = 1)) join n on n.series = b.series group by 1, 2""",
     "strip_html_canonical": f"select page_id, regexp_replace(regexp_replace({lines_stripped(CANONICAL)}, '\\n{{3,}}', chr(10) || chr(10), 'g'), {STRIP}) as body from pages",
     "strip_html_sampling": f"select page_id, {measured('html')} as body from pages",
-    "render_thread": """select conv_id, 'ZGŁOSZENIE ' || conv_id || ' z 2024-01-01' || chr(10) || 'Temat: rozmowa' || chr(10) || chr(10) || 'OPIS ZGŁASZAJĄCEGO:' || chr(10)
-          || coalesce(nullif(max(case when turn = 0 then text end), ''), '(brak opisu)') || chr(10)
-          || coalesce(string_agg(line, chr(10) order by turn) filter (where turn > 0), chr(10) || '(brak komentarzy w wątku)') as thread
-        from (select *, chr(10) || 'KOMENTARZ ' || row_number() over (partition by conv_id, turn > 0 order by turn) || ' — ' || role || ', ' || turn || ' (typ: zwyczajny):' || chr(10)
-                || coalesce(nullif(text, ''), '(pusty komentarz)') as line from conversations) group by conv_id""",
+    "render_thread": RENDERED,
     "thread_budget": f"select conv_id, sum(len)::int as chars, sum(len) + 500 <= 2304 as fits from (select conv_id, length({measured('text')}) as len from conversations) group by 1",
     "embedding_text": "select doc_id, concat_ws(chr(10), lang, text) as embedded from documents",
     "format_duration": """select event_id, case when s < 90 then round_even(s, 0)::bigint || 's' when floor(s) < 3600 then floor(s)::bigint // 60 || 'min ' || lpad((floor(s)::bigint % 60)::varchar, 2, '0') || 's'
@@ -181,10 +171,7 @@ ORACLE = {
           (select count(*) from l where doc_id not in (select doc_id from d)) as missed""",
     "not_yet_processed": "select doc_id from documents where doc_id not in (select doc_id from labels)",
     "kept_semi": f"with {JUDGED} select doc_id, lang from j where keep",
-    "stratified_sample": """with d as (select doc_id, lang, row_number() over (partition by lang order by doc_id::varchar) - 1 as pos from documents where length(text) > 50),
-        n as (select lang, count(*) as n from d group by 1), q as (select lang, n, greatest(1, round_even(200 * n / (select sum(n) from n)::double, 0)::bigint) as quota from n),
-        z as (select *, greatest(1, n // quota) as step from q)
-        select doc_id, lang from d join z using (lang) where pos % step = 0 and pos // step < quota order by doc_id limit 200""",
+    "stratified_sample": STRATIFIED,
     "export_nested": """select o_orderkey, c_name, n_name, r_name, case when o_orderpriority = '1-URGENT' then 'konsultant' when o_orderstatus = 'O' then 'klient' else 'brak' end as role,
           coalesce(n, 0)::int as line_count, lines from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
           left join (select l_orderkey, count(*) as n, string_agg(l_linenumber || ':' || l_partkey || ':' || l_suppkey, ',' order by l_linenumber, l_partkey, l_suppkey) as lines from lineitem group by 1) on l_orderkey = o_orderkey""",
@@ -201,9 +188,11 @@ ORACLE = {
     "upsert_latest": "select user_id, event_id, event_type, value from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1",
     "point_ids": """select doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || lower(printf('%02x', (('0x' || substr(h, 17, 2))::int & 63) | 128)) || substr(h, 19, 2) || '-' || substr(h, 21, 12) as point_id
         from (select doc_id, sha1(unhex('6f1d5a3c6b8e5e2a9a440f2c6f9c1b77') || doc_id::varchar::blob) as h from documents)""",
-    "validate_records": f"with {CHECKED} select event_id, errors from v",
+    "validate_records": f"with {CHECKED} select doc_id, errors from v",
     "validation_summary": f"with {CHECKED} select count(*) as checked, count(*) filter (where errors <> '') as failed, count(*) filter (where errors <> '') = 0 as ok from v",
-    "html_entities": f"select n as name, 'a' || c || ' b' as text from (values {entity_rows()}) as e(n, c)",
+    "html_entities": f"""with r as (select page_id, regexp_extract_all(html, '&#?[A-Za-z0-9]+;') as l from pages), u as (select page_id, unnest(l) as reference, generate_subscripts(l, 1) - 1 as place from r)
+        select page_id, place::int as place, reference, case when reference like '&#x%' or reference like '&#X%' then chr(('0x' || substr(reference, 4, length(reference) - 4))::int) when reference like '&#%' then chr(substr(reference, 3, length(reference) - 3)::int)
+          else coalesce(c, reference) end as text from u left join (values {entity_values()}) as e(n, c) on n = reference""",
     "html_numbers": """select event_id, chr((event_id % 50000 + 160)::int) || '.' || chr((event_id % 50000 + 160)::int) || ' &;' as text from events""",
     "mode_deltas": f"""with {MODE.format(m="problem", a=1, b=32)}, {MODE.format(m="sts", a=33, b=64)}, u as (select * from rproblem union all select * from rsts),
         m as (select mode, 100.0::double * count(*) filter (where rank <= 1) / count(*) as a, 100.0::double * count(*) filter (where rank <= 3) / count(*) as b,
@@ -217,15 +206,41 @@ ORACLE = {
     "lost_hits": f"with {FAMILIES} select query_id, round(score, 6) as score from g where score < 0.48",
     "distractor_detail": f"""with {FAMILIES} select query_id, array_to_string(list(printf('%.4f', score) order by rank), ' ') as scores, count(*) filter (where score >= 0.30) as passing,
           case when count(*) filter (where score >= 0.30) = 0 then 'silenced' else 'answers' end as verdict from a group by 1""",
-    "search_responses": f"""with {SCORES} select x.query_id, coalesce(string_agg(coalesce(d.doc_id::varchar, '') || ':' || round(h.score, 4)::decimal(10, 4) || ':' || coalesce(d.lang, ''), ' ' order by rank) filter (where h.score >= 0.30), '') as hits,
-          count(h.id) filter (where h.score < 0.30) as dropped_below_threshold from x left join h using (query_id) left join documents d on d.doc_id = h.id group by 1""",
+    "search_responses": f"""with {SCORES} select x.query_id, '{{"problem":"label ' || x.label || '","cause":"brak"}}' as query,
+          coalesce(string_agg(coalesce(d.doc_id::varchar, '') || ':' || round(h.score, 4)::decimal(10, 4) || ':' || coalesce(d.lang, ''), ' ' order by rank) filter (where h.score >= 0.30), '') as hits,
+          count(h.id) filter (where h.score < 0.30) as dropped_below_threshold from x left join h using (query_id) left join documents d on d.doc_id = h.id group by x.query_id, x.label""",
     "median_length": "select median(length(text)) as median_length from documents where text is not null",
-    "sample_report": "select lang, count(*) as size from documents where length(text) > 50 group by 1",
+    "sample_report": f"""with p as ({STRATIFIED}) select lang, size, coalesce(picked, 0) as picked, ids from (select lang, count(*) as size from documents where length(text) > 50 group by 1)
+        left join (select lang, count(*) as picked, string_agg(doc_id::varchar, ' ' order by doc_id) as ids from p group by 1) using (lang)""",
     "clipped_text": "select doc_id, case when length(text) > 60 then substr(text, 1, 59) || '…' else text end as text from documents",
     "strip_answer": "select event_id, props as answer from events",
     "too_long": "select doc_id from documents where length(text) > 6144",
     "ids_for_rule": f"with {JUDGED} select doc_id from j where not keep",
     "run_summary": f"""with {CALLS} select count(*) as calls, count(*) filter (where event_id % 7 <> 0) as parsed, count(*) filter (where event_id % 7 = 0) as failed, sum(a)::bigint as tokens_in,
           sum(b)::bigint as tokens_out, round(sum(value), 2) as latency_ms, round(sum(cost_usd), 6) as cost_usd, round(sum(cost_usd) / count(*), 9) as cost_per_ticket from c""",
+    "valid_records": f"with {CHECKED} select doc_id, doc_id::varchar as ticket_id, lang as component, problem, source as symptoms, 'class ' || (n_chars % 3) as resolution from v where errors = ''",
+    "answers_as_records": f"with {ANSWERED} select doc_id, errors, case when errors = '' then doc_id::varchar end as ticket_id, case when errors = '' then '2024-05-06' end as date, case when errors = '' then 1 end as resolution_vocabulary_version from w",
+    "vocabulary_text": "select r_regionkey % 2 + 1 as version, string_agg('- class ' || (r_regionkey // 2) || ': ' || r_name, chr(10) order by r_regionkey) as classes from region group by 1",
+    "tokens_estimate": r"select doc_id, len(regexp_extract_all(text, '\S+'))::int as tokens from documents",
+    "has_content": f"""select conv_id, conv_id % 3 <> 0 and coalesce(max(case when turn = 0 then length({measured('text')}) end) > 400, false) and coalesce(bool_or(turn > 0 and length({measured('text')}) > 400), false) as has_content
+        from conversations group by 1""",
+    "answer_problems": f"with {CALLS} select event_id, case when a >= 5000 then 'window full' when b > 0 and a > 0 and b * 10 / a::double > 3 then 'prompt cut' end as problem from c",
+    "index_upsert": """select user_id, event_id, event_type, value from events
+        qualify row_number() over (partition by user_id order by (event_id % 3 = 0) desc, event_id desc) = 1""",
+    "index_count": "select count(distinct user_id) as points from events",
+    "index_points": f"""with {CHECKED}, i as (select e.vec_id, sha1(unhex('6f1d5a3c6b8e5e2a9a440f2c6f9c1b77') || e.vec_id::varchar::blob) as h, v.problem, v.day, (embedding::double[])[1:32] as a, (embedding::double[])[33:64] as b from embeddings e join v on v.doc_id = e.vec_id where errors = '')
+        select substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || lower(printf('%02x', (('0x' || substr(h, 17, 2))::int & 63) | 128)) || substr(h, 19, 2) || '-' || substr(h, 21, 12) as point_id,
+          vec_id::varchar as ticket_id, day as date, problem, round(list_sum(a) / sqrt(list_dot_product(a, a)), 9) as problem_sum, round(list_sum(b) / sqrt(list_dot_product(b, b)), 9) as sts_sum from i""",
+    "decoded_hits": f"""with {SCORES}, i as (select *, sha1(unhex('6f1d5a3c6b8e5e2a9a440f2c6f9c1b77') || id::varchar::blob) as z from h)
+        select query_id, rank::int as rank, substr(z, 1, 8) || '-' || substr(z, 9, 4) || '-5' || substr(z, 14, 3) || '-' || lower(printf('%02x', (('0x' || substr(z, 17, 2))::int & 63) | 128)) || substr(z, 19, 2) || '-' || substr(z, 21, 12) as point_id,
+          round(score, 4) as score, case when rank % 2 = 0 then id::varchar else '' end as ticket_id from i""",
+    "search_requests": f"""with {TURNS} select conv_id::varchar as ticket_id, '2024-02-03' as date, max(case when turn = 0 then length(text) end)::int as body_chars,
+          coalesce(string_agg('zwyczajny,' || case when role <> 'user' then role else 'nieznany' end || ',,' || length(text), ';' order by turn) filter (where turn > 0), '') as comments from t group by 1""",
+    "failed_ids": "select event_id from events where coalesce((json_extract_string(props, '$.k'))::int < 5, true)",
+    "completions": r"""select doc_id, 'brak danych' as text, len(regexp_extract_all(concat_ws(' ', 'language', lang, 'from', source), '\S+'))::bigint as prompt_tokens, 2::bigint as completion_tokens, null::varchar as error_kind from documents""",
+    "document_files": "select 'supplier-' || s_suppkey || '.json' as file_name, s_suppkey::int as number, s_name from supplier",
+    "stream_activity": "select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2",
+    "prompts": f"""with r as ({RENDERED}), y as (select string_agg('- class ' || (r_regionkey // 2) || ': ' || r_name, chr(10) order by r_regionkey) as classes from region where r_regionkey % 2 = 0)
+        select conv_id, classes || chr(10) || '--' || chr(10) || thread as prompt from r, y""",
     "hourly_activity": "select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2",
 }

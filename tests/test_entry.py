@@ -24,7 +24,7 @@ def test_every_sql_has_a_query():
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for table in "region nation customer orders lineitem events documents embeddings pages labels conversations".split():
+    for table in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     got = catalogue.queries()[name](spark, SF)
     columns = sorted(got.columns)
