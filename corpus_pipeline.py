@@ -14,12 +14,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quernstone.llm import packing
-from quernstone.llm.common import MADE, drop_tables, read, written
+from quernstone.llm.common import read
 from quernstone.llm.exact_dedup import drop_copies
 from quernstone.llm.language_id import keep_identified
 from quernstone.llm.minhash import drop_near_copies
 from quernstone.llm.pieces import tokenizer_path
 from quernstone.llm.toxicity import keep_civil
+from quernstone.tables import delete, new_path, scratch, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, last = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        since = len(MADE)
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-        drop_tables(spark, since, ("stage",))  # what the stage was made from
+        folder = new_path(spark, f"stage-{name}")
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), "docs", into=folder)
+        if last:
+            delete(spark, last)  # what the stage was made from
+        last = folder
     return STAGES[-1][1](spark, docs, sf_dir)
