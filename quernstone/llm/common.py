@@ -1,82 +1,25 @@
-"""What the training-data operators share: the cluster's shared folder, written
-tables, and the split of documents into learning and held-out rows."""
+"""What the training-data operators share: row numbers, and the split of documents into
+learning and held-out rows; written tables and spread joins are the library's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone.operators.joins import spread_join
+from quernstone.tables import new_path, plain_scan, scope, scratch, shared_dir, written
+
+__all__ = ["crc_mod", "drop_rows", "held_out", "new_path", "numbered", "read", "scope", "scratch", "shared_dir", "spread_join", "written"]
 
-#: Rows of a small table's file; rows that a key may have in one task; bound on the keys
-#: that are broadcast to be spread.
-FILE_ROWS, HOT_ROWS, HOT_KEYS = 200_000, 1_000, 10_000
+#: Files whose numbers are broadcast; beyond, they are joined by a shuffle.
+FEW_FILES = 100_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the
-    session. Only a local master may leave it unset (tests): one is made then."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="quernstone-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-#: Intermediate tables that this process has named, for ``drop_tables``.
-MADE: list[str] = []
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    MADE.append(f"{shared_dir(spark)}/quernstone/{name}-{uuid.uuid4().hex}")
-    return MADE[-1]
-
-
-def drop_tables(spark: SparkSession, since: int, keep: tuple[str, ...] = ()) -> None:
-    """Deletes the intermediate tables named after the first ``since`` but those of the names
-    in ``keep``; for a caller that has written what was made from them."""
-    for path in MADE[since:]:
-        if not path.rsplit("/", 1)[-1].startswith(tuple(f"{k}-" for k in keep) or "/"):
-            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-            MADE.remove(path)
-
-
-def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-    """``df`` as a table in the shared folder: its lineage ends there, so a lost
-    executor costs a re-read, not a recomputation. ``rows``: about how many there are,
-    if that is known, so that few rows become few files."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    (df if rows is None else df.coalesce(1 + rows // FILE_ROWS)).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], sizes: DataFrame, by: str, how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``facts`` (one row for each key), whatever the keys' shares.
-    ``sizes`` has the keys and ``size``, their number of rows. A key above the line (one
-    in ``HOT_KEYS`` of all rows) is dealt to blocks by the hash of column ``by``, and its
-    row of ``facts`` is repeated for each. So fewer than ``HOT_KEYS`` keys are broadcast."""
-    total, most = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
-    line = max(HOT_ROWS, total // HOT_KEYS)
-    if most <= line:
-        return rows.join(facts, keys, how)
-    hot = F.broadcast(sizes.where(F.col("size") > line).select(*keys, F.ceil(F.col("size") / line).cast("int").alias("__blocks")))
-    dealt = rows.join(hot, keys, "left").withColumn("__block", F.coalesce(F.pmod(F.xxhash64(by), "__blocks"), F.lit(0)).cast("int")).drop("__blocks")
-    repeated = facts.join(hot, keys, "left").withColumn("__block", F.explode(F.sequence(F.lit(0), F.coalesce("__blocks", F.lit(1)) - 1))).drop("__blocks")
-    return dealt.join(repeated, [*keys, "__block"], how).drop("__block")
-
-
 def crc_mod(doc_id: str = "doc_id", mod: int = 5) -> Column:
     """crc32 of the id written as decimal text, modulo ``mod``."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod
@@ -90,20 +33,22 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` with one more column that numbers its rows, and that column's name, which
-    no other has. Every later read sees the same numbers: rows of Parquet files are numbered by
-    file (their names are listed on the driver) and place in it; other rows are written."""
+    no other has. Every later read sees the same numbers. Rows of a plain scan of Parquet files
+    are numbered by file and place in it. All others are written first: rows made by explode,
+    joins or unions may share a place in a file."""
     row = "row_number"
     while row in (c.lower() for c in docs.columns):
         row += "_"
     try:
-        if "_metadata" in docs.columns:
-            raise AnalysisException("the table has a column of that name")
+        if "_metadata" in docs.columns or not plain_scan(docs):
+            raise AnalysisException("rows may share a place")
         placed = docs.select("*", F.col("_metadata.file_path").alias(f"{row}_file"), F.col("_metadata.row_index").alias(f"{row}_at"))
     except AnalysisException:
         return written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
-    files = sorted(r[0] for r in placed.select(f"{row}_file").distinct().collect())
-    names = docs.sparkSession.createDataFrame([(f, i << 33) for i, f in enumerate(files)], f"{row}_file string, {row}_base long")
-    rows = placed.join(F.broadcast(names), f"{row}_file")
+    # in one partition the increasing ids are 0, 1, 2, ...
+    names = placed.select(f"{row}_file").distinct().coalesce(1).select(f"{row}_file", F.shiftleft(F.monotonically_increasing_id(), 33).alias(f"{row}_base"))
+    names = written(names, "files")
+    rows = placed.join(F.broadcast(names) if names.count() <= FEW_FILES else names, f"{row}_file")
     return rows.select(*[rows[c] for c in docs.columns], (F.col(f"{row}_base") + F.col(f"{row}_at")).alias(row)), row
 
 

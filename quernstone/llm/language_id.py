@@ -6,9 +6,11 @@ that is no letter counts as one separator; letters beyond the ``LETTERS`` most f
 ones of the sample share one symbol).
 
 Model: ``LANDMARKS`` sample texts span the Nyström feature space; one-versus-rest kernel
-ridge regression on at most ``PER_LANGUAGE`` texts for each of the ``LANGUAGES`` most
-frequent languages (the documented bound of the sample; the rows with the smallest hash
-of their id). With A the ridge solution over the landmarks, a text scores
+ridge regression on at most ``PER_LANGUAGE`` texts for each language, ``SAMPLE_ROWS`` in all
+(at least one for each language; the documented bound of the sample: the rows with the smallest
+hash of their id). Of a longer text a window of ``SAMPLE_CHARS`` characters is
+learned from, at a place drawn by that hash; together at most ``SAMPLE_TOTAL`` characters. No
+language is left out. With A the ridge solution over the landmarks, a text scores
 K(x, landmarks) A. Since K is itself a product of presence vectors, the landmarks'
 presence matrix times A is computed once, and a batch of texts is scored as one product
 of its sparse presence matrix with that matrix.
@@ -34,9 +36,9 @@ from pyspark.sql import functions as F
 
 from quernstone.llm.common import held_out, read
 
-PER_LANGUAGE, LANGUAGES, LANDMARKS, LETTERS, RIDGE, SHARPNESS = 300, 32, 256, 60, 1e-2, 6.0
-#: Longest sample text in characters (documents that are scored have no limit).
-SAMPLE_CHARS = 20_000
+PER_LANGUAGE, SAMPLE_ROWS, LANDMARKS, LETTERS, RIDGE, SHARPNESS = 300, 9_600, 256, 60, 1e-2, 6.0
+#: Characters of a sample text, and of the sample (documents that are scored have no limit).
+SAMPLE_CHARS, SAMPLE_TOTAL = 20_000, 40_000_000
 #: Symbols: 0 other letters, 1 separators, then the letters.
 BASE = 64
 SPACE = BASE + BASE**2 + BASE**3
@@ -80,21 +82,28 @@ def grams(text: str | None, table: Any, flags: Any) -> Any:
 
 
 def sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """(lang, text), bounded by PER_LANGUAGE * LANGUAGES rows of SAMPLE_CHARS."""
-    rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
+    """(lang, text) of the rows that are learned from: bounded in rows and characters."""
+    rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = rows.groupBy("lang").count()
+    langs = counts.count()
+    if not langs:
         return []
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, (1.5 * PER_LANGUAGE + 50) / r["count"]))])
+    each = max(1, min(PER_LANGUAGE, SAMPLE_ROWS // langs))
+    chars = max(1, min(SAMPLE_CHARS, SAMPLE_TOTAL // (each * langs)))
     draw = F.xxhash64("doc_id")
-    thin = rows.where(F.pmod(draw, F.lit(1_000_003)) / 1_000_003.0 < F.coalesce(share[F.col("lang")], F.lit(0.0)))
+    # thinned first, so that no window sorts a whole language
+    share = counts.select(F.col("lang").alias("known"), ((1.5 * each + 50) / F.col("count")).alias("share"))
+    thin = rows.join(F.broadcast(share) if langs <= SAMPLE_ROWS else share, F.col("lang") == F.col("known"))
+    thin = thin.where(F.pmod(draw, F.lit(1_000_003)) / 1_000_003.0 < F.col("share"))
+    begin = F.pmod(F.xxhash64("doc_id", "lang"), F.greatest(F.length("text") - chars + 1, F.lit(1))).cast("int") + 1
     first = Window.partitionBy("lang").orderBy(draw, "doc_id", "text")
-    thin = thin.select("lang", "text", F.row_number().over(first).alias("n")).where(F.col("n") <= PER_LANGUAGE)
-    return sorted((r["lang"], r["text"]) for r in thin.select("lang", "text").collect())
+    thin = thin.select("lang", F.expr("text").alias("whole"), begin.alias("begin"), F.row_number().over(first).alias("n")).where(F.col("n") <= each)
+    return sorted((r["lang"], r["text"]) for r in thin.select("lang", F.substring("whole", F.col("begin"), chars).alias("text")).collect())
 
 
 def train(rows: list[tuple[str, str]]) -> dict[str, Any]:
-    """langs, letters, weights (SPACE x languages)."""
+    """langs, letters, place (of each n-gram among those that landmarks have), weights (one
+    row for each of these, and one of zeros; a column for each language)."""
     import numpy as np
 
     count = pd.Series([c for _, t in rows for c in set(t.lower()) if c.isalpha()]).value_counts()
@@ -119,12 +128,14 @@ def train(rows: list[tuple[str, str]]) -> dict[str, Any]:
     landmark = presence(marks)
     cross = np.vstack([presence(use[i : i + 200]) @ landmark.T for i in range(0, len(use), 200)]).astype(float) if use else np.zeros((0, 0))
     target = np.array([[1.0 if rows[i][0] == lang else -1.0 for lang in langs] for i in use])
-    weights = np.zeros((SPACE, len(langs)), dtype=np.float32)
+    place = np.full(SPACE, len(known), dtype=np.int32)
+    place[known] = np.arange(len(known))
+    weights = np.zeros((len(known) + 1, len(langs)), dtype=np.float32)
     if use:
         within = (landmark @ landmark.T).astype(float)
         solved = np.linalg.lstsq(cross.T @ cross + RIDGE * len(use) * (within + 1e-6 * np.eye(len(marks))), cross.T @ target, rcond=None)[0]
-        weights[known] = landmark.T @ solved
-    return {"langs": langs, "letters": letters, "weights": weights}
+        weights[:-1] = landmark.T @ solved
+    return {"langs": langs, "letters": letters, "place": place, "weights": weights}
 
 
 def predictor(spark: SparkSession, model: dict[str, Any]) -> Any:
@@ -147,7 +158,7 @@ def predictor(spark: SparkSession, model: dict[str, Any]) -> Any:
                 if not at or len(names) == 1:
                     continue
                 sizes = np.array([len(found[i]) for i in at])
-                raw = np.add.reduceat(model["weights"][np.concatenate([found[i] for i in at])], np.concatenate(([0], np.cumsum(sizes)[:-1])), axis=0) / np.sqrt(sizes)[:, None]
+                raw = np.add.reduceat(model["weights"][model["place"][np.concatenate([found[i] for i in at])]], np.concatenate(([0], np.cumsum(sizes)[:-1])), axis=0) / np.sqrt(sizes)[:, None]
                 soft = np.exp(SHARPNESS * (raw - raw.max(axis=1, keepdims=True)))
                 soft /= soft.sum(axis=1, keepdims=True)
                 at = np.array(at) + begin

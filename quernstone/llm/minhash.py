@@ -56,7 +56,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import MADE, drop_tables, numbered, read, spread_join, written
+from quernstone.llm.common import numbered, read, scope, scratch, spread_join, written
 from quernstone.llm.components import star
 
 SHINGLE, PERCENT = 5, 75
@@ -227,11 +227,12 @@ def sets_for(live: DataFrame, docs: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, matches: int = MATCHES) -> DataFrame:
     """Those of ``pairs`` (a, b: nodes) that share enough coordinates and whose full sets
-    are linked. b may stand in very many pairs."""
+    are linked. Either may stand in very many pairs, so both sides are spread."""
     pairs = written(pairs, "pairs")
     x = sets.select(F.col("node").alias("a"), F.col("n").alias("xn"), F.col("coords").alias("xc"), F.col("items").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("n").alias("yn"), F.col("coords").alias("yc"), F.col("items").alias("y"))
-    both = spread_join(pairs, y, ["b"], pairs.groupBy("b").agg(F.count(F.lit(1)).alias("size")), by="a").join(x, "a")
+    often = lambda side: pairs.groupBy(side).agg(F.count(F.lit(1)).alias("size"))
+    both = spread_join(spread_join(pairs, y, ["b"], often("b"), by="a"), x, ["a"], often("a"), by="b")
     both = both.where(close_in_size(F.col("xn"), F.col("yn"), percent) & (F.size(F.array_intersect("xc", "yc")) >= matches))
     both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("same"), (F.col("xn") + F.col("yn")).alias("total"))
     return both.where(100 * F.col("same") >= percent * (F.col("total") - F.col("same"))).select("a", "b")
@@ -299,8 +300,21 @@ def linked(nodes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFra
 
 def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
-    since = len(MADE)
-    found = written(signatures(docs), "signatures")
+    spark = docs.sparkSession
+    outer = scope(spark)
+    with scratch(spark):
+        found, labels = labelled(docs, outer, percent)
+    known = found.where("doc_id is not null and d1 is not null")
+    rows = spread_join(known.select("doc_id", "n", "d1", "d2"), labels.drop("size"), ["d1", "d2"], labels, by="doc_id", how="left")
+    rows = rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    alone = found.where("doc_id is null or d1 is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return rows.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def labelled(docs: DataFrame, outer: str, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """The signatures of ``docs``, and (d1, d2, size, component_id) of the sets that have
+    copies or links; both are written ``outer``, as the result reads them."""
+    found = written(signatures(docs), "signatures", into=outer)
     known = found.where("doc_id is not null and d1 is not null")
     one = [F.first(c).alias(c) for c in ("n", "coords")]
     nodes = known.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("doc_id"), *one)
@@ -311,12 +325,8 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     least = written(least, "least")
     labels = spread_join(members, least.select("root", "least"), ["root"], least, by="node").select("node", "least")
     labels = nodes.select("d1", "d2", "node", "size", "doc_id").join(labels, "node", "left").where("size > 1 or least is not null")
-    labels = written(labels.select("d1", "d2", "size", F.coalesce("least", "doc_id").alias("component_id")), "labels")
-    drop_tables(docs.sparkSession, since, ("signatures", "labels"))  # all that the result reads
-    rows = spread_join(known.select("doc_id", "n", "d1", "d2"), labels.drop("size"), ["d1", "d2"], labels, by="doc_id", how="left")
-    rows = rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    alone = found.where("doc_id is null or d1 is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return rows.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    labels = written(labels.select("d1", "d2", "size", F.coalesce("least", "doc_id").alias("component_id")), "labels", into=outer)
+    return found, labels
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

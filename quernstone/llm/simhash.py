@@ -42,9 +42,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import read, spread_join
+from quernstone.llm.common import read, scope, scratch, spread_join, written
 from quernstone.llm.components import star
-from quernstone.tables import scope, scratch, written
 
 WORDS, SEED = 3, 42
 BYTES, BITS = 8, 3
