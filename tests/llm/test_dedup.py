@@ -1,11 +1,16 @@
 import hashlib
+import os
 import re
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.llm import common, components, exact_dedup, minhash
-from quernstone.llm.common import drop_rows
+from quernstone import tables
+from quernstone.llm import components, exact_dedup, minhash, simhash, token_store
+from quernstone.llm.common import drop_rows, numbered
+from quernstone.llm.pieces import tokenizer_path
+from quernstone.operators import joins
 
 ROWS = "doc_id long, text string"
 
@@ -20,7 +25,7 @@ def brute_exact(rows):
 
 @pytest.mark.parametrize("heavy", [1, 256])
 def test_exact_groups(spark, heavy, monkeypatch):
-    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(joins, "HOT_ROWS", 3)
     rows = [(i, t) for i, t in enumerate(["a b", "a  b", None, "", "c", " ", "a\tb", "d"] * 5 + ["hot"] * 40)]
     found = exact_dedup.exact_groups(exact_dedup.digests(spark.createDataFrame(rows, ROWS)), heavy=heavy)
     got = {r["doc_id"]: (r["keep_id"], r["group_size"], bytes(r["sha"]).hex()) for r in found.collect()}
@@ -97,8 +102,8 @@ def test_signature_counts_similarity():
 
 def test_spread_keys_and_blocks_change_nothing(spark, prose, monkeypatch):
     """Every key of more than two rows is spread, and lists are merged in blocks of two."""
-    monkeypatch.setattr(common, "HOT_ROWS", 2)
-    monkeypatch.setattr(common, "HOT_KEYS", 10**6)
+    monkeypatch.setattr(joins, "HOT_ROWS", 2)
+    monkeypatch.setattr(joins, "HOT_KEYS", 10**6)
     monkeypatch.setattr(minhash, "BLOCK", 2)
     monkeypatch.setattr(minhash, "BROADCAST_IDS", 0)
     monkeypatch.setattr(components, "FEW", 0)
@@ -128,7 +133,7 @@ def test_very_long_text(spark):
 @pytest.mark.parametrize("few", [0, 10**6])
 def test_components(spark, monkeypatch, few):
     monkeypatch.setattr(components, "FEW", few)
-    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    monkeypatch.setattr(joins, "HOT_ROWS", 10)
     hub = [(50, i) for i in range(100, 160)] + [(i, 50) for i in range(10, 40)]
     chain = [(i, i + 1) for i in range(1000, 1030)]
     edges = spark.createDataFrame([*hub, *chain, (7, 7)], "a long, b long")
@@ -162,13 +167,78 @@ def test_rows_of_files_are_dropped(spark, drop, tmp_path):
     rows = [(i % 7 if i % 5 else None, long_text(f"t{i // 2}")) for i in range(40)]
     spark.createDataFrame(rows, ROWS).withColumn("row_number", F.lit("clash")).repartition(5).write.parquet(f"{tmp_path}/docs")
     docs = spark.read.parquet(f"{tmp_path}/docs")
-    made = len(common.MADE)
-    kept = drop(docs)
+    with tables.scratch(spark) as folder:
+        kept = drop(docs).cache()
+        kept.count()
+        made = os.listdir(folder.removeprefix("file://"))
     assert kept.columns == docs.columns and sorted(r["text"] for r in kept.collect()) == sorted({t for _, t in rows})
-    assert not any("/numbered-" in path for path in common.MADE[made:])
+    assert not any(name.startswith("numbered-") for name in made)
+    assert not os.path.exists(folder.removeprefix("file://"))
 
 
 def test_near_copies_without_ids_are_dropped(spark):
     rows = [(None, long_text("a")), (None, long_text("a") + " more"), (2, long_text("b") + " more"), (None, long_text("b")), (1, None), (None, None)]
     kept = [tuple(r) for r in minhash.drop_near_copies(spark.createDataFrame(rows, ROWS)).collect()]
     assert len(kept) == 4 and (2, rows[2][1]) in kept and kept.count((None, None)) == 1 and (1, None) in kept
+
+
+def derived(spark, folder):
+    """Tables whose rows share a place in a file, or have none."""
+    rows = [(3, long_text("c")), (1, long_text("a")), (2, long_text("a") + " x")]
+    spark.createDataFrame(rows, ROWS).coalesce(1).write.parquet(f"{folder}/rows")
+    docs = spark.read.parquet(f"{folder}/rows")
+    more = F.array("text", F.concat(F.lit("p "), F.col("doc_id").cast("string"), F.lit(" of its own kind")))
+    other = docs.select(F.col("doc_id").alias("k"), F.lit(1).alias("one"))
+    return {
+        "exploded": docs.select("doc_id", F.explode(more).alias("text")),
+        "joined": docs.join(other.unionByName(other), docs["doc_id"] == other["k"]).select("doc_id", "text"),
+        "union": docs.unionByName(docs),
+        "memory": spark.createDataFrame(rows + rows[:1], ROWS),
+    }
+
+
+def brute_kept(rows, near):
+    left, out = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)), []
+    norm = lambda t: re.sub("[\x20\x09-\x0d]+", " ", t or "")
+    for i, t in left:
+        same = (lambda a, b: bool(a & b) and 100 * len(a & b) >= 75 * len(a | b)) if near else (lambda a, b: a == b)
+        of = shingle_set if near else norm
+        if not any(same(of(t), of(u)) for _, u in out):
+            out.append((i, t))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("kind", ["exploded", "joined", "union", "memory"])
+def test_rows_without_a_place_of_their_own(spark, tmp_path, kind):
+    df = derived(spark, str(tmp_path))[kind]
+    rows = [tuple(r) for r in df.collect()]
+    marked, row = numbered(df)
+    assert marked.select(row).distinct().count() == len(rows)
+    assert sorted(tuple(r) for r in exact_dedup.drop_copies(df).collect()) == brute_kept(rows, False)
+    assert sorted(tuple(r) for r in minhash.drop_near_copies(df).collect()) == brute_kept(rows, True)
+
+
+def test_calls_side_by_side(spark, prose):
+    """Calls in threads of one session have tables of their own."""
+    docs = spark.createDataFrame(prose, ROWS).repartition(3)
+    near = lambda: {r["doc_id"]: r["component_id"] for r in minhash.near_groups(docs).collect()}
+    sims = lambda: {r["doc_id"]: r["component_id"] for r in simhash.simhash_groups(docs).collect()}
+
+    def store():
+        path = token_store.store(docs, tokenizer_path("byte_bpe_50k.json"))
+        return {r["doc_id"]: r["n_tokens"] for r in token_store.read_back(spark, path).collect() if r["verified"]}
+
+    jobs = [near, store, near, sims, near]
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        got = [f.result() for f in [pool.submit(j) for j in jobs]]
+    assert got[0] == got[2] == got[4] == near() and got[3] == sims()
+    assert len(got[1]) == len(prose)
+
+
+def test_scratch_is_deleted(spark, prose):
+    docs = spark.createDataFrame(prose, ROWS)
+    with tables.scratch(spark) as folder:
+        assert minhash.near_groups(docs).count() == len(prose)
+        left = os.listdir(folder.removeprefix("file://"))
+        assert sorted(n.split("-")[0] for n in left) == ["labels", "signatures"]  # what the result reads
+    assert not os.path.exists(folder.removeprefix("file://"))

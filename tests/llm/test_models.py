@@ -28,6 +28,32 @@ def test_language(spark, docs, empty):
     assert told[902] in ENDINGS and 900 not in told and all(told[i] == lang for i, _, lang in rows)
 
 
+def test_every_language_is_learned(spark):
+    """Forty languages, one of which has long texts only; the sample is bounded all the same."""
+    draw = random.Random(6)
+    names = [f"l{k:02}" for k in range(40)]
+    parts = {n: ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(12)] for n in names}
+    text = lambda n, size: " ".join(draw.choice(parts[n]) + draw.choice(parts[n]) for _ in range(size))
+    rows = [(i, text(n, 4_000 if n == "l39" else 40), n) for i, n in enumerate(names * 15)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert all(len(t) > language_id.SAMPLE_CHARS for _, t, n in rows if n == "l39")
+    learned = language_id.sample(df)
+    assert {n for n, _ in learned} == set(names) and len(learned) <= language_id.SAMPLE_ROWS
+    assert max(len(t) for _, t in learned) <= language_id.SAMPLE_CHARS and sum(len(t) for _, t in learned) <= language_id.SAMPLE_TOTAL
+    got = {r["doc_id"]: r["p"]["lang"] for r in df.select("doc_id", language_id.identified(df).alias("p")).collect()}
+    held = [(i, n) for i, _, n in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([got[i] == n for i, n in held]) > 0.95
+    assert all(got[i] == n for i, n in held if n == "l39") and any(n == "l39" for _, n in held)
+
+
+def test_sample_has_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_ROWS", 8)
+    monkeypatch.setattr(language_id, "SAMPLE_TOTAL", 40)
+    rows = [(i, "some text of words", f"l{i % 4}") for i in range(200)]
+    learned = language_id.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(learned) <= 8 and {n for n, _ in learned} == {"l0", "l1", "l2", "l3"} and sum(len(t) for _, t in learned) <= 40
+
+
 def test_kernel_is_the_presence_kernel():
     rows = [("a", "abab abc"), ("b", "xyz xyy")] * 3
     model = language_id.train(rows)
