@@ -1,17 +1,21 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on windows of ordinary text, and one on
-toxic text, which begins with what sets toxic text apart (the openings of words, or
-frequent whole words, that occur far more often in toxic documents) and goes on like
-the ordinary one, so that ordinary words cost the same with both. Every whole text is
-cut into windows of ``WORDS`` words; a window's margin is its compressed length with the
-ordinary dictionary less that with the toxic one. A logistic calibration, fitted on
-sample texts that neither dictionary has seen, turns a document's largest margins, its
-counts of windows above thresholds and its length into a score.
+Two zstandard dictionaries are trained: one on the windows of ordinary text, and one on
+toxic text, that is on what sets it apart: of a toxic sample document the words whose openings
+occur far more often in toxic documents, in windows of ``WORDS``. (Trained on all windows of
+toxic documents, most of which are ordinary, the dictionary is one of ordinary text; figures
+in the README.) Before compression the toxic dictionary is put in front of the ordinary one, so
+that ordinary words cost the same with both. Its size is chosen among ``SIZES`` by the
+calibration's log loss.
+
+Every whole text is cut into windows of ``WORDS`` words; a window's margin is its compressed
+length with the ordinary dictionary less that with the toxic one. A logistic calibration, fitted
+on sample texts that neither dictionary has seen, weighs a document's largest margins, its
+counts of windows above thresholds and its length.
 
 The sample is bounded: at most ``TOXIC`` and ``ORDINARY`` labelled rows that are not held
-out, of at most ``SAMPLE_CHARS`` characters (scored documents have no limit). Only text
-and ``toxic`` are learned from.
+out, of at most ``SAMPLE_CHARS`` characters each and ``SAMPLE_TOTAL`` together (scored documents
+have no limit). Only text and ``toxic`` are learned from.
 
 Edge cases: null and empty texts score like a text without toxic windows; null ids are
 held out and not learned from; null labels are not learned from; if a class has no
@@ -27,13 +31,15 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.llm.common import held_out, read
 
-TOXIC, ORDINARY, SAMPLE_CHARS = 2000, 4000, 20_000
-WORDS, LEVEL, ORDINARY_BYTES, TOXIC_BYTES = 6, 12, 65_536, 8_192
+TOXIC, ORDINARY, SAMPLE_CHARS, SAMPLE_TOTAL = 2000, 4000, 20_000, 40_000_000
+WORDS, LEVEL, ORDINARY_BYTES = 6, 12, 65_536
+#: Sizes of the toxic dictionary that are tried.
+SIZES = (512, 1024, 2048)
 #: A word opening sets toxic text apart if this many sample documents have it, this many
 #: times as often among toxic ones as among ordinary ones.
 OPENING, LEAST_SHARE, RATIO, WHOLE_SHARE = (4, 5, 6), 0.02, 20.0, 0.05
@@ -54,7 +60,9 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str]]:
     drawn = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for c, n in ((1, TOXIC), (0, ORDINARY))]
     ids = drawn[0].unionByName(drawn[1])  # at most TOXIC + ORDINARY rows
     texts = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    return [(r["toxic"], r["text"]) for r in texts.select("doc_id", "toxic", "text").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text", "toxic").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = texts.select("doc_id", "toxic", "text", F.sum(F.length("text")).over(order).alias("chars"))  # of the sample's rows
+    return [(r["toxic"], r["text"]) for r in sizes.where(F.col("chars") <= SAMPLE_TOTAL).orderBy("chars").collect()]
 
 
 def apart(toxic: list[str], ordinary: list[str]) -> list[bytes]:
@@ -67,27 +75,33 @@ def apart(toxic: list[str], ordinary: list[str]) -> list[bytes]:
     marks = {x for x in t if t[x] >= max(4, LEAST_SHARE * n) and (t[x] + 0.5) / n >= RATIO * (o[x] + 0.5) / m}
     found = []
     for words in spans[0]:
-        for w in words:
+        for w in sorted(words):
             k = next((k for k in OPENING if len(w) >= k and w[:k] in marks), None)
             if k:
                 found.append((" " + (w if whole[w] >= WHOLE_SHARE * n else w[:k])).encode())
     return found
 
 
-def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    """Content of the ordinary and of the toxic dictionary."""
+def trained(samples: list[bytes], size: int) -> bytes:
     import zstandard
 
-    def trained(samples: list[bytes], size: int) -> bytes:
-        try:
-            return zstandard.train_dictionary(size, samples).as_bytes()
-        except zstandard.ZstdError:  # too few samples: they are the dictionary
-            return b"".join(dict.fromkeys(samples))[-size:]
+    try:
+        return zstandard.train_dictionary(size, samples).as_bytes()
+    except zstandard.ZstdError:  # too few samples: they are the dictionary
+        return b"".join(dict.fromkeys(samples))[-size:]
 
-    plain = trained([w for t in ordinary for w in windows(t)][:: max(1, sum(len(t) for t in ordinary) // 4_000_000)], ORDINARY_BYTES)
-    counted = Counter(apart(toxic, ordinary))
-    marked = b"".join(x for x, _ in sorted(counted.items(), key=lambda p: (p[1], p[0])))[-TOXIC_BYTES:]
-    return plain, marked + plain
+
+def toxic_windows(toxic: list[str], ordinary: list[str]) -> list[bytes]:
+    found = apart(toxic, ordinary)
+    return [b"".join(found[i : i + WORDS]) for i in range(0, len(found), WORDS)]
+
+
+def dictionaries(toxic: list[str], ordinary: list[str], sizes: tuple[int, ...] = SIZES) -> tuple[bytes, list[bytes]]:
+    """The ordinary dictionary, and toxic ones of several sizes."""
+    thin = max(1, sum(len(t) for t in ordinary) // 4_000_000)
+    plain = trained([w for t in ordinary for w in windows(t)][::thin], ORDINARY_BYTES)
+    marked = toxic_windows(toxic, ordinary)
+    return plain, [trained(marked, size) for size in sizes]
 
 
 def compressors(pair: tuple[bytes, bytes]) -> list[Any]:
@@ -128,6 +142,19 @@ def logistic(x: Any, y: Any, weight: Any, ridge: float = 1e-2, steps: int = 50)
     return b
 
 
+def loss(x: Any, y: Any, weight: Any) -> float:
+    """Log loss of rows that a calibration on the other half has not seen."""
+    import numpy as np
+
+    total = 0.0
+    for half in (0, 1):
+        seen = np.arange(len(x)) % 2 == half
+        b = logistic(x[seen], y[seen], weight[seen])
+        z = np.clip(x[~seen] @ b[:-1] + b[-1], -30, 30)
+        total += float((weight[~seen] * np.logaddexp(0, np.where(y[~seen] == 1, -z, z))).sum())
+    return total
+
+
 def train(rows: list[tuple[int, str]]) -> dict[str, Any]:
     """dictionaries and calibration; of each class two rows in three train the former."""
     import numpy as np
@@ -136,12 +163,19 @@ def train(rows: list[tuple[int, str]]) -> dict[str, Any]:
     if not by[0] or not by[1]:
         return {"share": 1.0 if by[1] else 0.0}
     third = {c: [t for i, t in enumerate(by[c]) if i % 3 == 2] or by[c] for c in by}
-    pair = dictionaries(*([t for i, t in enumerate(by[c]) if i % 3 != 2] for c in (1, 0)))
-    compress = compressors(pair)
+    plain, toxic = dictionaries(*([t for i, t in enumerate(by[c]) if i % 3 != 2] for c in (1, 0)))
     held = [(c, t) for c in (0, 1) for t in third[c]]
-    x, y = np.array([features(t, compress) for _, t in held]), np.array([float(c) for c, _ in held])
-    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-6
-    return {"pair": pair, "mean": mean, "spread": spread, "b": logistic((x - mean) / spread, y, np.where(y == 1, TOXIC_WEIGHT, 1.0))}
+    y = np.array([float(c) for c, _ in held])
+    weight, best = np.where(y == 1, TOXIC_WEIGHT, 1.0), None
+    for content in dict.fromkeys(toxic):
+        pair = (plain, content + plain)
+        compress = compressors(pair)
+        x = np.array([features(t, compress) for _, t in held])
+        mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-6
+        x = (x - mean) / spread
+        found = {"pair": pair, "mean": mean, "spread": spread, "b": logistic(x, y, weight), "loss": loss(x, y, weight)}
+        best = found if best is None or found["loss"] < best["loss"] else best
+    return best
 
 
 def scorer(spark: SparkSession, model: dict[str, Any]) -> Any:
