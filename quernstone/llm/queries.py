@@ -30,4 +30,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_dedup": minhash.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op5_rendezvous_sharding": sharding.oracle(), "op10_url_filter": url_filter.oracle(), "op12_fill_in_middle": fim.oracle()}
+    return {
+        "op2_minhash_dedup": minhash.ORACLE,
+        "op4_exact_dedup": exact_dedup.ORACLE,
+        "op5_rendezvous_sharding": sharding.oracle(),
+        "op10_url_filter": url_filter.oracle(),
+        "op11_simhash_dedup": simhash.oracle(),
+        "op12_fill_in_middle": fim.oracle(),
+        "op13_importance_resampling": resample.oracle(),
+    }

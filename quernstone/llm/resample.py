@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from quernstone.llm.common import read
 from quernstone.llm.pieces import grouped
+from quernstone.llm.sharding import crc_table
 from quernstone.operators.ranking import running
 from quernstone.tables import plain_scan, scope, scratch, written
 
@@ -366,3 +367,25 @@ def resampled(docs: DataFrame, target: DataFrame, share: int = SHARE, least_word
 
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def oracle() -> str:
+    """The query in SQL, which has no CRC-32: it is computed byte by byte."""
+    step = f"xor(c >> 8, ({crc_table()}::bigint[])[((xor(c, b)) & 255) + 1])"
+    return f"""
+with w as (select 'd' as corpus, row_number() over () as row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') as w from documents
+  union all select 'b', row_number() over (), null, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') from benchmark),
+f as (select corpus, row, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) as feature from w),
+g as (select corpus, row, feature, count(*) as c from f group by all),
+h as (select feature, hex(encode(feature)) as x, octet_length(encode(feature)) as n from (select distinct feature from g)),
+k as (select feature, xor(list_reduce(list_transform(range(0, n), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::bigint), lambda c, b: {step}, 4294967295::bigint), 4294967295::bigint) % {BUCKETS} as bucket from h),
+p as (select corpus, row, bucket, sum(c)::bigint as c from g join k using (feature) group by all),
+t as (select bucket, coalesce(sum(c) filter (where corpus = 'd'), 0)::bigint as s, coalesce(sum(c) filter (where corpus = 'b'), 0)::bigint as t from p group by 1),
+a as (select sum(s)::bigint as s, sum(t)::bigint as t from t),
+n as (select bucket, floor(1000.0::double * ln((t.t + 1)::double * (a.s + {BUCKETS})::double / ((t.s + 1)::double * (a.t + {BUCKETS})::double)))::bigint as gain from t, a),
+z as (select row, sum(c * gain)::bigint as weight from p join n using (bucket) where corpus = 'd' group by 1),
+o as (select row, doc_id, len(w) as words, len(w) + greatest(len(w) - 1, 0) + greatest(len(w) - 2, 0) as n_features, coalesce(weight, 0) as weight,
+        coalesce(weight, 0) + floor(-1000.0::double * ln(-ln((('0x' || substr(sha256('{SEED}:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296.0::double)))::bigint as score
+      from w left join z using (row) where corpus = 'd'),
+r as (select row, row_number() over (order by score desc, doc_id nulls last, row) as rank from o where words >= {LEAST_WORDS})
+select doc_id, n_features, weight, score, case when rank <= (select count(*) from r) * {SHARE} // 100 then rank end as rank from o left join r using (row)"""

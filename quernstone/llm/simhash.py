@@ -271,3 +271,47 @@ def hex_of(fp: Column) -> Column:
 def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash_groups(read(spark, sf_dir, "documents"))
     return rows.select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+#: XXH64's primes (fixed values).
+PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+
+
+def oracle() -> str:
+    """The query in SQL: XXH64 step by step, in 128-bit numbers modulo 2**64."""
+    p1, p2, p3, p4, p5 = (f"{p}::uhugeint" for p in PRIMES)
+    top = "18446744073709551616::uhugeint"
+    mul = lambda a, b: f"(({a}) * {b} % {top})"
+    add = lambda *x: f"(({' + '.join(x)}) % {top})"
+    rot = lambda x, r: f"((({x}) << {r}) % {top} | (({x}) >> {64 - r}))"
+    number = lambda at, n: "('0x' || " + " || ".join(f"substr(x, 2 * ({at}) + {2 * k + 1}, 2)" for k in reversed(range(n))) + ")::ubigint::uhugeint"
+    turn = lambda acc, lane: mul(rot(add(acc, mul(lane, p2)), 31), p1)
+    lanes = [f"list_reduce(list_transform(range(0, n // 32), lambda i: {number(f'32 * i + {8 * j}', 8)}), lambda c, b: {turn('c', 'b')}, {start % 2**64}::uhugeint)" for j, start in enumerate((SEED + PRIMES[0] + PRIMES[1], SEED + PRIMES[1], SEED, SEED - PRIMES[0]))]
+    steps = [("h0", add(rot("v1", 1), rot("v2", 7), rot("v3", 12), rot("v4", 18)))]
+    for j in range(1, 5):
+        steps.append((f"h{j}", add(mul(f"xor(h{j - 1}, {turn('0::uhugeint', f'v{j}')})", p1), p4)))
+    steps.append(("a", f"(case when n >= 32 then h4 else {(SEED + PRIMES[4]) % 2**64}::uhugeint end + n::uhugeint) % {top}"))
+    steps.append(("b", f"list_reduce(list_transform(range(0, n % 32 // 8), lambda i: {number('32 * (n // 32) + 8 * i', 8)}), lambda c, b: {add(mul(rot('xor(c, ' + turn('0::uhugeint', 'b') + ')', 27), p1), p4)}, a)"))
+    steps.append(("c", f"case when n % 8 >= 4 then {add(mul(rot('xor(b, ' + mul(number('8 * (n // 8)', 4), p1) + ')', 23), p2), p3)} else b end"))
+    steps.append(("d", f"list_reduce(list_transform(range(4 * (n // 4), n), lambda i: {number('i', 1)}), lambda c, b: {mul(rot('xor(c, ' + mul('b', p5) + ')', 11), p1)}, c)"))
+    steps.append(("e", mul("xor(d, d >> 33)", p2)))
+    steps.append(("f", mul("xor(e, e >> 29)", p3)))
+    steps.append(("h", "xor(f, f >> 32)"))
+    ctes, last = [], "s0"
+    for i, (name, sql) in enumerate(steps):
+        ctes.append(f"s{i + 1} as (select *, {sql} as {name} from {last})")
+        last = f"s{i + 1}"
+    bits = " + ".join(f"case when 2 * sum(times * ((h >> {b}) & 1::uhugeint)::bigint) > sum(times) then {1 << b}::uhugeint else 0::uhugeint end" for b in range(64))
+    return f"""
+with recursive w as (select row_number() over () as row, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+r as (select row, unnest(case when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) end) as t from w where len(w) > 0),
+g as (select row, t, count(*) as times from r group by all),
+s0 as (select t, x, n, {', '.join(f'{sql} as v{j + 1}' for j, sql in enumerate(lanes))} from (select t, hex(encode(t)) as x, octet_length(encode(t)) as n from (select distinct t from g))),
+{', '.join(ctes)},
+q as (select row, {bits} as fp from g join {last} using (t) group by row),
+p as (select doc_id, coalesce(fp, 0::uhugeint) as fp from w left join q using (row)),
+n as (select fp, min(doc_id) as least from p group by fp),
+l as (select a.fp as a, b.fp as b from n a join n b on a.fp <> b.fp and bit_count(xor(a.fp, b.fp)::hugeint) <= 3),
+reach(a, b) as (select a, b from l union select r.a, l.b from reach r join l on r.b = l.a),
+m as (select n.fp, least(any_value(n.least), min(o.least)) as low from n left join reach on reach.a = n.fp left join n o on o.fp = reach.b group by n.fp)
+select doc_id, lower(lpad(to_hex(fp::ubigint), 16, '0')) as fingerprint, low as component_id from p join m using (fp)"""
