@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import evidence, has_phrase, words_beside
@@ -45,6 +45,16 @@ def listed(ids: Column, most: int = MAX_LISTED) -> Column:
     return F.struct(F.slice(ids, 1, most).alias("shown"), F.greatest(F.size(ids) - most, F.lit(0)).alias("more"))
 
 
+def dropped_ids(judged: DataFrame, id_col: str, most: int = MAX_LISTED) -> DataFrame:
+    """rule, dropped, shown (the smallest ids, ``most`` at most), more: what a report tells of
+    each rule. Ids are ranked under a limit, so a rule's ids never meet in one row or task."""
+    hits = judged.select(F.explode("hits.rule").alias("rule"), id_col)
+    counts = hits.groupBy("rule").agg(F.count(F.lit(1)).alias("dropped"))
+    first = F.row_number().over(Window.partitionBy("rule").orderBy(id_col))
+    shown = hits.withColumn("at", first).where(F.col("at") <= most).groupBy("rule").agg(F.sort_array(F.collect_list(id_col)).alias("shown"))
+    return counts.join(shown, "rule").select("rule", "dropped", "shown", F.greatest(F.col("dropped") - most, F.lit(0)).alias("more"))
+
+
 def warning(total: Column, dropped: Column) -> Column:
     """A message if far fewer records were dropped than expected; null for few records."""
     rate = dropped / total

@@ -261,6 +261,13 @@ def ids_for_rule(spark, sf_dir):
     return quality.ids_for(judged(spark, sf_dir), "no_resolution", "doc_id")
 
 
+def rule_drops(spark, sf_dir):
+    """Drops by two rules that may both hit, with the first ids of each."""
+    rules = {"no_resolution": quality.no_resolution(PHRASES, 60), "listing": lambda t: F.when(t.contains("\n"), text.evidence(t, 20))}
+    rows = quality.dropped_ids(quality.verdicts(table(spark, sf_dir, "documents"), "text", rules), "doc_id")
+    return rows.select("rule", "dropped", F.array_join(F.transform("shown", lambda i: i.cast("string")), " ").alias("shown"), "more")
+
+
 def index_report(spark, sf_dir):
     return quality.report(judged(spark, sf_dir)).withColumn("drop_rate", F.round("drop_rate", 6)).withColumn("warning", F.col("warning").isNotNull())
 
@@ -522,6 +529,35 @@ def document_files(spark, sf_dir):
     return tickets.numbered(back).select("file_name", "number", F.get_json_object("text", "$.s_name").alias("s_name"))
 
 
+def raw_tickets(spark, sf_dir):
+    """Conversations as raw export files, one each, read back as tickets in the order of
+    their numbers."""
+    folder = new_path(spark, "raw")
+    comment = lambda c: F.struct(c["turn"].alias("id"), F.lit("zwyczajny").alias("typ"), c["role"].alias("autor_rola"), c["created_at"].alias("created_at"), c["body"].alias("tresc"))
+    ticket = F.struct(F.col("conv_id").cast("int").alias("id"), F.lit("2024-03-04 05:06:07").alias("created_at"), F.lit("rozmowa").alias("czego_dotyczy"), F.col("body").alias("szczegolowy_opis"))
+    raw = F.to_json(F.struct(F.lit("x").alias("zrodlo"), F.lit("t").alias("tabela"), ticket.alias("zgloszenie"), F.when(F.size("comments") > 0, F.transform("comments", comment)).alias("komentarze")))
+    tickets.write_files(threads(spark, sf_dir).select(F.concat(F.lit("zgloszenie-"), "conv_id").alias("name"), raw.alias("raw")), folder, "name", "raw")
+    rows = tickets.numbered(tickets.chosen(tickets.read_raw(spark, folder)))
+    roles = F.array_join(F.transform("comments", lambda c: c["role"]), " ")
+    return rows.select("ticket_id", F.col("date").cast("string").alias("date"), "category", "subject", "body", F.size("comments").alias("comments"), roles.alias("roles"), "number")
+
+
+def artifacts(spark, sf_dir):
+    """The valid records as artifact files, one each, by the strict read."""
+    folder = new_path(spark, "artifacts")
+    good = checked_records(spark, sf_dir).where("record is not null")
+    tickets.write_files(good.select(F.concat(F.lit("record-"), "doc_id").alias("name"), "json"), folder, "name", "json")
+    names = [r[0] for r in vocabulary(spark, sf_dir).where("version = 1").select("name").distinct().collect()]
+    return tickets.read_artifacts(spark, folder, 1, names).select("file_name", "ticket_id", "component", "resolution")
+
+
+def ids_file(spark, sf_dir):
+    """The sampled ids as a text of one id a line, read back."""
+    folder = new_path(spark, "ids")
+    tickets.write_ids(stratified_sample(spark, sf_dir).select("doc_id"), folder)
+    return spark.read.text(folder).select(F.col("value").cast("long").alias("doc_id"))
+
+
 def fake_embed_norms(spark, sf_dir):
     """The components' sum and two of them, and the length, of each text's pseudo-vector."""
     v = encoders.embed_passage(F.col("text"), encoders.encoder_named("fake", 64), 64)
@@ -551,7 +587,7 @@ NAMES: tuple[Callable, ...] = (
     upsert_latest, point_ids, fake_embed_norms, hourly_activity, validate_records, validation_summary, html_entities, html_numbers, mode_table, mode_deltas,
     missed_queries, lost_hits, distractor_detail, search_responses, median_length, sample_report, clipped_text, strip_answer, too_long, ids_for_rule, run_summary,
     valid_records, answers_as_records, vocabulary_text, prompts, tokens_estimate, has_content, answer_problems, index_upsert, index_count, index_points,
-    decoded_hits, search_requests, failed_ids, completions, document_files, stream_activity,
+    decoded_hits, search_requests, failed_ids, completions, document_files, stream_activity, rule_drops, raw_tickets, artifacts, ids_file,
 )
 
 

@@ -44,6 +44,11 @@ def lines_stripped(t: str) -> str:
     return f"array_to_string(list_transform(string_split({t}, chr(10)), lambda l: regexp_replace(l, {STRIP})), chr(10))"
 
 
+def raw_body(t: str) -> str:
+    """The canonical text of a body without markup: lines stripped, empty lines at most one."""
+    return rf"regexp_replace(regexp_replace({lines_stripped(t)}, '\n{{3,}}', chr(10) || chr(10), 'g'), {STRIP})"
+
+
 CANONICAL = unescaped(r"regexp_replace(regexp_replace(html, '</(?:p|div|li|tr|h[1-6])>|<br\s*/?>', chr(10), 'gi'), '<[^>]+>', '', 'g')")
 
 
@@ -240,6 +245,15 @@ ORACLE = {
     "completions": r"""select doc_id, 'brak danych' as text, len(regexp_extract_all(concat_ws(' ', 'language', lang, 'from', source), '\S+'))::bigint as prompt_tokens, 2::bigint as completion_tokens, null::varchar as error_kind from documents""",
     "document_files": "select 'supplier-' || s_suppkey || '.json' as file_name, s_suppkey::int as number, s_name from supplier",
     "stream_activity": "select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2",
+    "rule_drops": r"""with w as (select doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') as w from documents),
+        h as (select doc_id, 'no_resolution' as rule from w where len(list_filter(w, lambda x: x in ('the', 'les', 'und', 'que'))) > 0 and len(list_filter(w, lambda x: x not in ('the', 'les', 'und', 'que'))) <= 60
+          union all select doc_id, 'listing' from documents where contains(text, chr(10))),
+        r as (select *, row_number() over (partition by rule order by doc_id) as n from h)
+        select rule, count(*) as dropped, string_agg(doc_id::varchar, ' ' order by doc_id) filter (where n <= 10) as shown, greatest(count(*) - 10, 0) as more from r group by 1""",
+    "raw_tickets": f"""with {TURNS} select conv_id::varchar as ticket_id, '2024-03-04' as date, '' as category, 'rozmowa' as subject, coalesce({raw_body("max(case when turn = 0 then text end)")}, '') as body,
+          (count(*) filter (where turn > 0))::int as comments, coalesce(string_agg(role, ' ' order by turn) filter (where turn > 0), '') as roles, conv_id::int as number from t group by conv_id""",
+    "artifacts": f"with {CHECKED} select 'record-' || doc_id || '.json' as file_name, doc_id::varchar as ticket_id, lang as component, 'class ' || (n_chars % 3) as resolution from v where errors = ''",
+    "ids_file": f"select doc_id from ({STRATIFIED})",
     "prompts": f"""with r as ({RENDERED}), y as (select string_agg('- class ' || (r_regionkey // 2) || ': ' || r_name, chr(10) order by r_regionkey) as classes from region where r_regionkey % 2 = 0)
         select conv_id, classes || chr(10) || '--' || chr(10) || thread as prompt from r, y""",
     "hourly_activity": "select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2",
