@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions.encoders import COMPLETION, TransportError
 from quernstone.operators.joins import spread_join
-from quernstone.tables import scratch, written
+from quernstone.tables import new_path, scratch, written
 
 #: Prompts of a round, which is stored as a whole; prompts of a call; tries of a call;
 #: calls that fail one after the other before a task stops asking; failures that end a run.
@@ -85,6 +85,17 @@ def asked(prompts: DataFrame, factory: Callable, call: int = CALL, tries: int =
     return prompts.select("prompt_key", "prompt").mapInArrow(run, ANSWERED)
 
 
+def by_round(wanted: DataFrame, rounds: int) -> DataFrame:
+    """``wanted`` with ``round``, by hash, as a table with a folder for each, so that a round
+    reads its own prompts only."""
+    rows = wanted.withColumn("round", F.pmod(F.xxhash64("prompt_key"), F.lit(max(rounds, 1))).cast("int"))
+    if rounds < 2:
+        return rows
+    path = new_path(wanted.sparkSession, "rounds")
+    rows.repartition("round").write.partitionBy("round").parquet(path)
+    return wanted.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def complete_all(df: DataFrame, prompt: str, factory: Callable, store: str, round_rows: int = ROUND, most_failures: int = MOST_FAILURES, **call: Any) -> int:
     """Answers all prompts of ``df`` that the store has no answer for, round by round; a
     round's answers are stored before the next one begins, so a crash costs one round.
@@ -95,8 +106,9 @@ def complete_all(df: DataFrame, prompt: str, factory: Callable, store: str, roun
         wanted = written(wanted.join(stored(spark, store).select("prompt_key"), "prompt_key", "left_anti"), "prompts")
         count = wanted.count()
         rounds, failures = -(-count // round_rows), 0
+        dealt = by_round(wanted, rounds)
         for i in range(rounds):
-            part = wanted.where(F.pmod(F.xxhash64("prompt_key"), F.lit(rounds)) == i)
+            part = dealt.where(F.col("round") == i)
             seen = Observation()
             answers = written(asked(part, factory, **call).observe(seen, F.count("error").alias("failures"), F.max("error").alias("error")), "answers")
             answers.where("error is null").drop("error").write.mode("append").parquet(store)

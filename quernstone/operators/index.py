@@ -20,8 +20,9 @@ from quernstone.tables import delete, scratch, written
 
 PAYLOAD = ("ticket_id", "date", "component", "problem", "symptoms", "error_codes", "cause", "solution", "resolution", "questions_summary", "resolution_vocabulary_version")
 SPACES = ("problem", "sts")
-#: Hash buckets of a new index, and the name of their column.
-BUCKETS, BUCKET = 64, "__bucket"
+#: Hash buckets of a new index: a bucket for so many rows, within bounds; rows of a file; the
+#: name of the buckets' column.
+BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS, FILE_ROWS, BUCKET = 1_000_000, 64, 50_000, 500_000, "__bucket"
 
 
 class IndexError_(Exception):
@@ -70,7 +71,7 @@ def drop(spark: SparkSession, path: str) -> bool:
 
 def manifest(spark: SparkSession, path: str) -> dict[str, Any] | None:
     """The newest manifest: number, key, buckets (how many), schema, files (bucket -> folder),
-    batches (source -> last batch); None if there is no index."""
+    batches (source -> last batch), rows (at most so many); None if there is no index."""
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -111,10 +112,16 @@ def bucket_of(key: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def bucketed(rows: DataFrame, path: str, key: str, buckets: int) -> str:
-    """Writes ``rows`` as one folder of a bucket each, below a new folder; gives its name."""
-    name = uuid.uuid4().hex
-    rows.withColumn(BUCKET, bucket_of(key, buckets)).repartition(BUCKET).write.partitionBy(BUCKET).parquet(f"{path}/data/{name}")
+def buckets_for(rows: int) -> int:
+    return max(LEAST_BUCKETS, min(MOST_BUCKETS, -(-rows // BUCKET_ROWS)))
+
+
+def bucketed(rows: DataFrame, path: str, key: str, buckets: int, count: int) -> str:
+    """Writes ``rows`` (about ``count``) as one folder of a bucket each, below a new folder; gives
+    its name. A large bucket is several tasks' work."""
+    name, parts = uuid.uuid4().hex, max(1, -(-count // (buckets * FILE_ROWS)))
+    dealt = rows.withColumn(BUCKET, bucket_of(key, buckets)).repartition(BUCKET, F.pmod(F.xxhash64(F.lit("part"), key), F.lit(parts)))
+    dealt.write.partitionBy(BUCKET).parquet(f"{path}/data/{name}")
     return name
 
 
@@ -130,11 +137,11 @@ def read_buckets(spark: SparkSession, path: str, found: dict[str, Any], which: I
     return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
-def upsert(spark: SparkSession, path: str, new: DataFrame, key: str = "point_id", order: str | None = None, batch: tuple[str, int] | None = None, buckets: int = BUCKETS) -> int:
+def upsert(spark: SparkSession, path: str, new: DataFrame, key: str = "point_id", order: str | None = None, batch: tuple[str, int] | None = None, buckets: int | None = None) -> int:
     """Merges ``new`` into the index at ``path``; gives the number of keys written.
 
-    The index is a table in ``buckets`` hash buckets of the key, and a manifest that names
-    each bucket's folder. Only buckets that ``new`` touches are read and written again, into
+    The index is a table in hash buckets of the key (``buckets``, or a number by the first
+    batch's size; ``rebuild`` may choose another), and a manifest that names each bucket's folder. Only buckets that ``new`` touches are read and written again, into
     new folders; the manifest is swapped when they are whole, so readers see the old index
     or the new one, and a failed write leaves the old one.
 
@@ -146,10 +153,10 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, key: str = "point_id"
         return 0
     if found and found["key"] != key:
         raise IndexError_(f"the index at {path} has the key {found['key']}")
-    if found:
-        buckets = found["buckets"]
     with scratch(spark):
         staged = written(latest(new, key, ordered(new, key, order)), "staged")
+        count = staged.count()
+        buckets = found["buckets"] if found else buckets or buckets_for(count)
         touched = buckets_in(staged, key, buckets)
         files = dict(found["files"]) if found else {}
         if touched:
@@ -157,13 +164,13 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, key: str = "point_id"
             if found:
                 old = read_buckets(spark, path, found, touched)
                 rows = old.join(staged.select(key), key, "left_anti").unionByName(staged, allowMissingColumns=True)
-            name = bucketed(rows, path, key, buckets)
+            name = bucketed(rows, path, key, buckets, found["rows"] + count if found else count)
             files |= {str(b): name for b in touched}
         schema = rows.schema if touched else StructType.fromJson(found["schema"]) if found else new.schema
         batches = (found["batches"] if found else {}) | ({batch[0]: batch[1]} if batch else {})
         number = found["number"] + 1 if found else 0
-        swap(spark, path, {"number": number, "key": key, "buckets": buckets, "schema": schema.jsonValue(), "files": files, "batches": batches})
-        return staged.count()
+        swap(spark, path, {"number": number, "key": key, "buckets": buckets, "schema": schema.jsonValue(), "files": files, "batches": batches, "rows": (found["rows"] if found else 0) + count})
+        return count
 
 
 def ordered(rows: DataFrame, key: str, order: str | None) -> Column:
@@ -179,15 +186,18 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return read_buckets(spark, path, found)
 
 
-def rebuild(spark: SparkSession, path: str, new: DataFrame, key: str = "point_id", order: str | None = None, buckets: int = BUCKETS) -> int:
+def rebuild(spark: SparkSession, path: str, new: DataFrame, key: str = "point_id", order: str | None = None, buckets: int | None = None) -> int:
     """A whole new index of ``new``; the old one stays in use until the manifest is swapped."""
     found = manifest(spark, path)
-    name = bucketed(latest(new, key, ordered(new, key, order)), path, key, buckets)
-    rows = spark.read.schema(new.schema.add(BUCKET, "integer")).parquet(f"{path}/data/{name}")
-    files = {str(r[0]): name for r in rows.select(BUCKET).distinct().collect()}  # at most ``buckets``
+    with scratch(spark):
+        staged = written(latest(new, key, ordered(new, key, order)), "staged")
+        count = staged.count()
+        buckets = buckets or buckets_for(count)
+        name = bucketed(staged, path, key, buckets, count)
+        files = {str(b): name for b in buckets_in(staged, key, buckets)}
     batches = found["batches"] if found else {}
-    swap(spark, path, {"number": found["number"] + 1 if found else 0, "key": key, "buckets": buckets, "schema": new.schema.jsonValue(), "files": files, "batches": batches})
-    return rows.count()
+    swap(spark, path, {"number": found["number"] + 1 if found else 0, "key": key, "buckets": buckets, "schema": new.schema.jsonValue(), "files": files, "batches": batches, "rows": count})
+    return count
 
 
 def vacuum(spark: SparkSession, path: str) -> int:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import TimestampNTZType
 
-from quernstone.operators.index import BUCKETS, upsert
+from quernstone.operators.index import upsert
 
 
 def keep_index(
@@ -22,7 +22,7 @@ def keep_index(
     key: str = "point_id",
     order: str | None = None,
     mode: str = "append",
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> StreamingQuery:
     """Upserts each micro-batch of ``source`` into the index at ``path``: only the buckets
     that it touches are written. ``order``: the column by which the last of several rows with
