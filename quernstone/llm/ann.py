@@ -7,8 +7,8 @@ propagation under a capacity; a small classifier (softmax regression on the vect
 trained on each sample vector's part, with its neighbours' parts as soft targets. There is
 a part for each ``PART_ROWS`` rows of the table, as far as the sample goes (``PART_SAMPLE``
 sample vectors for each, so at most 256). The number of parts that a query visits, at
-every size of the table, is the smallest that finds ``TARGET`` of the true neighbours of
-sample vectors, measured against brute force: few where the vectors have clusters, most of
+every size of the table, is the smallest that finds ``TARGET`` of the true neighbours of the
+sample vectors that were held out (one in ``HELD``), measured against brute force: few where the vectors have clusters, most of
 them where they have none.
 
 Index: every row goes to its most probable part, whatever the part's size.
@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 from quernstone.llm.common import read, written
 
 SAMPLE, NEIGHBOURS, TOP, EVERY = 8192, 10, 10, 100
-#: Rows and sample rows for each part, recall aimed at.
-PART_ROWS, PART_SAMPLE, TARGET = 256, 32, 0.94
+#: Rows and sample rows for each part, recall aimed at, one in how many sample vectors is held out.
+PART_ROWS, PART_SAMPLE, TARGET, HELD = 256, 28, 0.94, 8
 #: Rows of a part that meet in one task, and queries with them.
 BLOCK, QUERY_BLOCK = 16_384, 8_192
 
@@ -128,10 +128,25 @@ def classifier(x: Any, target: Any, steps: int = 300, rate: float = 0.05) -> tup
     return w[:-1], w[-1]
 
 
+def nearest_of(queries: Any, rows: Any, k: int) -> Any:
+    """Indices of each query's k nearest ``rows``."""
+    import numpy as np
+
+    out, square = np.empty((len(queries), k), dtype=np.int64), (rows**2).sum(axis=1)
+    for begin in range(0, len(queries), 512):
+        d = square - 2 * queries[begin : begin + 512] @ rows.T
+        out[begin : begin + len(d)] = np.argpartition(d, k - 1, axis=1)[:, :k]
+    return out
+
+
 def fit(rows: Any, count: int, top: int = TOP) -> dict[str, Any]:
-    """The model from an array of sample vectors of ``count`` rows: mean, spread, w, b, visits."""
+    """The model from an array of sample vectors of ``count`` rows: mean, spread, w, b, visits.
+    The number of visits is calibrated on vectors that the router has not seen."""
     import numpy as np
 
+    n = len(rows)
+    apart = np.arange(n) % HELD == 0 if n >= HELD * (NEIGHBOURS + 1) else np.zeros(n, dtype=bool)
+    held, rows = rows[apart], rows[~apart]
     n = len(rows)
     parts = max(2, min(count // PART_ROWS, n // PART_SAMPLE))
     mean, spread = rows.mean(axis=0), rows.std(axis=0) + 1e-9
@@ -144,16 +159,17 @@ def fit(rows: Any, count: int, top: int = TOP) -> dict[str, Any]:
     for i in range(n):
         target[i] = np.bincount(part[near[i]], minlength=parts) / (2 * k)
         target[i, part[i]] += 0.5
-    x = (rows - mean) / spread
-    w, b = classifier(x, target)
-    order = np.argsort(-(x @ w + b), axis=1, kind="stable")
-    at = order[:, 0]
+    w, b = classifier((rows - mean) / spread, target)
+    model = {"mean": mean, "spread": spread, "w": w, "b": b}
+    at = ranked(model, rows)[:, 0]  # where the index puts them
+    asked, wanted = (held, nearest_of(held, rows, k)) if len(held) else (rows, near)
+    order = ranked(model, asked)
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.arange(parts)[None, :], axis=1)
     # the place of each true neighbour's part in the query's order
-    found = np.take_along_axis(place, at[near], axis=1)
+    found = np.take_along_axis(place, at[wanted], axis=1)
     visits = next((c for c in range(1, parts + 1) if (found < c).mean() >= TARGET), parts) if count > top else parts
-    return {"mean": mean, "spread": spread, "w": w, "b": b, "visits": visits}
+    return model | {"visits": visits}
 
 
 def ranked(model: dict[str, Any], x: Any) -> Any:

@@ -211,7 +211,7 @@ def viable(nodes: DataFrame, matches: int = MATCHES) -> DataFrame:
     counts = written(posted.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "lists")
     lists = F.sort_array(F.collect_list(F.struct("size", "key"))).alias("lists")  # at most COORDINATES entries
     ordered = spread_join(posted, counts, ["key"], counts, by="node").groupBy("node").agg(lists).where(F.size("lists") >= matches)
-    prefix = F.slice("lists", F.lit(1), F.size("lists") - (matches - 1))
+    prefix = F.slice("lists", F.lit(1), F.size("lists") - (max(matches, 1) - 1))
     fame = F.aggregate("lists", F.lit(0).cast("long"), lambda s, x: s + x["size"])
     # equally famous nodes are set apart by their number's low bits
     fame = F.shiftleft(fame, 20) + F.col("node").bitwiseAND(F.lit((1 << 20) - 1))
@@ -266,7 +266,7 @@ def crossing(nodes: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return same.where((100 + percent) * F.col("same") >= percent * (F.col("n") + F.greatest(least, F.lit(1.0)))).select("node").distinct()
 
 
-def merged(live: DataFrame, sets: DataFrame, stars: DataFrame, percent: int = PERCENT) -> DataFrame:
+def merged(live: DataFrame, sets: DataFrame, stars: DataFrame, percent: int = PERCENT, fine_matches: int = FINE_MATCHES) -> DataFrame:
     """(a, b), a < b: pairs from different components in lists that are not skipped."""
     at = live.select("node", "n", "prefix").join(stars, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     at = written(at, "components")
@@ -284,26 +284,28 @@ def merged(live: DataFrame, sets: DataFrame, stars: DataFrame, percent: int = PE
     y = rest.withColumn("part", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
     first = F.array_intersect("x.prefix", "y.prefix")[0] == F.col("x.key")  # prefixes are in one order
-    found = x.join(y, apart & close_in_size(F.col("x.n"), F.col("y.n"), percent) & finely_alike("x", "y") & first)
+    found = x.join(y, apart & close_in_size(F.col("x.n"), F.col("y.n"), percent) & finely_alike("x", "y", fine_matches) & first)
     return found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
-def linked(nodes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def linked(nodes: DataFrame, docs: DataFrame, percent: int = PERCENT, matches: int = MATCHES, fine_matches: int = FINE_MATCHES) -> DataFrame:
     """(node, root) of all nodes that are linked with a smaller one."""
-    live = written(viable(nodes), "live")
+    live = written(viable(nodes, matches), "live")
     sets = written(sets_for(live, docs), "sets")
-    edges = written(confirmed(led(live), sets, percent), "links")
+    edges = written(confirmed(led(live), sets, percent, matches), "links")
     stars = star(edges)
-    more = written(confirmed(merged(live, sets, stars, percent), sets, percent), "links")
+    more = written(confirmed(merged(live, sets, stars, percent, fine_matches), sets, percent, matches), "links")
     return star(more.unionByName(stars.select(F.col("node").alias("a"), F.col("root").alias("b")))) if more.limit(1).count() else stars
 
 
-def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
+def near_groups(docs: DataFrame, percent: int = PERCENT, matches: int = MATCHES, fine_matches: int = FINE_MATCHES) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs``. With ``matches`` and
+    ``fine_matches`` 0 every pair that shares a coordinate is confirmed on its sets: a pair at exactly 75 %
+    is lost with a probability of 1 in 10**38 instead of 1 in 10**6, at the cost of more candidates."""
     spark = docs.sparkSession
     outer = scope(spark)
     with scratch(spark):
-        found, labels = labelled(docs, outer, percent)
+        found, labels = labelled(docs, outer, percent, matches, fine_matches)
     known = found.where("doc_id is not null and d1 is not null")
     rows = spread_join(known.select("doc_id", "n", "d1", "d2"), labels.drop("size"), ["d1", "d2"], labels, by="doc_id", how="left")
     rows = rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -311,7 +313,7 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return rows.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def labelled(docs: DataFrame, outer: str, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+def labelled(docs: DataFrame, outer: str, percent: int, matches: int, fine_matches: int) -> tuple[DataFrame, DataFrame]:
     """The signatures of ``docs``, and (d1, d2, size, component_id) of the sets that have
     copies or links; both are written ``outer``, as the result reads them."""
     found = written(signatures(docs), "signatures", into=outer)
@@ -319,7 +321,7 @@ def labelled(docs: DataFrame, outer: str, percent: int = PERCENT) -> tuple[DataF
     one = [F.first(c).alias(c) for c in ("n", "coords")]
     nodes = known.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("doc_id"), *one)
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    roots = linked(nodes, docs.select(F.col("doc_id").cast("long"), "text"), percent)
+    roots = linked(nodes, docs.select(F.col("doc_id").cast("long"), "text"), percent, matches, fine_matches)
     members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     least = members.join(nodes.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"))
     least = written(least, "least")

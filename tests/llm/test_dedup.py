@@ -73,6 +73,12 @@ def test_near_groups_equal_brute_force(spark, prose):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in found} == brute_near(prose)
 
 
+def test_without_match_thresholds(spark, prose):
+    """The exact way: shared coordinates only propose pairs, none is turned away by their number."""
+    found = minhash.near_groups(spark.createDataFrame(prose, ROWS), matches=0, fine_matches=0).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in found} == brute_near(prose)
+
+
 def test_large_group_of_near_copies_and_exact_copies(spark):
     base = [f"w{i}" for i in range(100)]
     rows = [(i, " ".join(base[:i] + [f"x{i}"] + base[i + 1 :])) for i in range(60)] + [(100 + i, " ".join(base).upper()) for i in range(50)]
