@@ -74,14 +74,14 @@ def test_ids_of_a_module(spark, derby, tmp_path):
 
 
 def test_one_file_for_each_record(spark, tmp_path):
-    folder = str(tmp_path / "out")
+    folder = str(tmp_path / "the out")
     rows = spark.createDataFrame([(1, '{"a":"é"}'), (2, "[]"), (30, None)], "id int, doc string").repartition(3)
     tickets.write_files(rows, folder, "id", "doc")
     assert sorted(os.listdir(folder)) == ["1.json", "2.json", "30.json"] and os.path.isfile(f"{folder}/1.json")
     assert json.load(open(f"{folder}/1.json", encoding="utf-8")) == {"a": "é"} and open(f"{folder}/30.json").read() == ""
     got = {r["name"]: r["text"] for r in documents.read_documents(spark, folder).collect()}
     assert got["2"] == "[]"
-    tickets.write_files(spark.createDataFrame([(2, "{}"), (4, "{}")], "id int, doc string"), f"file://{folder}", "id", "doc")
+    tickets.write_files(spark.createDataFrame([(2, "{}"), (4, "{}")], "id int, doc string"), (tmp_path / "the out").as_uri(), "id", "doc")
     assert sorted(os.listdir(folder)) == ["1.json", "2.json", "30.json", "4.json"] and open(f"{folder}/2.json").read() == "{}"
     documents.write_documents(rows.limit(1), folder, F.lit("only"), F.col("doc"), overwrite=True)
     assert os.listdir(folder) == ["only.json"]
