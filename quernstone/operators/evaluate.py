@@ -99,7 +99,8 @@ def distribution(scores: DataFrame, series: str = "series", score: str = "score"
     spark = scores.sparkSession
     outer, kind = scope(spark), scores.schema[score].dataType
     with scratch(spark):
-        rows = scores.where(F.col(score).isNotNull()).select(F.col(series).alias("series"), F.col(score).cast("double").alias("score"))
+        key = F.struct(F.col(series).alias("k"))  # so that a null series is one, too
+        rows = scores.where(F.col(score).isNotNull()).select(key.alias("series"), F.col(score).cast("double").alias("score"))
         rows = written(rows, "scores")
         ends = written(rows.groupBy("series").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"), F.max("score").alias("high")), "ends", into=outer)
         at = [(name, F.least(F.col("n") - 1, F.floor(F.lit(share) * F.col("n")))) for name, share in PLACES]
@@ -109,7 +110,7 @@ def distribution(scores: DataFrame, series: str = "series", score: str = "score"
     value = lambda name: F.max(F.when(F.col("name") == name, F.col("value")))
     found = values.groupBy("series").agg(*[value(name).cast(kind).alias(name) for name, _ in PLACES], ((value("lower") + value("upper")) / 2).alias("median"))
     end = lambda c, name: F.col(c).cast(kind).alias(name)
-    return ends.join(found, ends["series"].eqNullSafe(found["series"])).select(ends["series"].alias(series), "n", end("low", "min"), "p05", "p25", "median", "p75", "p95", end("high", "max"))
+    return ends.join(found, "series").select(F.col("series.k").alias(series), "n", end("low", "min"), "p05", "p25", "median", "p75", "p95", end("high", "max"))
 
 
 def histogram(scores: DataFrame, series: str = "series", score: str = "score", bins: int = BINS) -> DataFrame:

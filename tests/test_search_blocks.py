@@ -72,6 +72,7 @@ def test_distribution_equals_a_sort(spark, monkeypatch, bins):
         "single": [7.5],
         "skewed": [10.0 ** draw.randint(-8, 8) for _ in range(400)],
         "close": [1.0 + k * 2.0**-50 for k in (draw.randrange(40) for _ in range(200))],
+        None: [draw.random() for _ in range(77)],
         "mostly one": [0.5] * 900 + [draw.gauss(0, 100) for _ in range(30)],
     }
     rows = [(s, x) for s, values in series.items() for x in values] + [("uniform", None), ("none", None)]
