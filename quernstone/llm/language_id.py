@@ -96,9 +96,10 @@ def sample(docs: DataFrame) -> list[tuple[str, str]]:
     thin = rows.join(F.broadcast(share) if langs <= SAMPLE_ROWS else share, F.col("lang") == F.col("known"))
     thin = thin.where(F.pmod(draw, F.lit(1_000_003)) / 1_000_003.0 < F.col("share"))
     begin = F.pmod(F.xxhash64("doc_id", "lang"), F.greatest(F.length("text") - chars + 1, F.lit(1))).cast("int") + 1
-    first = Window.partitionBy("lang").orderBy(draw, "doc_id", "text")
-    thin = thin.select("lang", F.expr("text").alias("whole"), begin.alias("begin"), F.row_number().over(first).alias("n")).where(F.col("n") <= each)
-    return sorted((r["lang"], r["text"]) for r in thin.select("lang", F.substring("whole", F.col("begin"), chars).alias("text")).collect())
+    thin = thin.select("lang", draw.alias("draw"), "doc_id", F.substring("text", begin, chars).alias("text"))  # cut before it is sorted
+    first = Window.partitionBy("lang").orderBy("draw", "doc_id", "text")
+    thin = thin.withColumn("n", F.row_number().over(first)).where(F.col("n") <= each)
+    return sorted((r["lang"], r["text"]) for r in thin.select("lang", "text").collect())
 
 
 def train(rows: list[tuple[str, str]]) -> dict[str, Any]:
@@ -185,5 +186,6 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     model = train(sample(docs))
     if not model["langs"]:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = docs.withColumn("__found", predictor(docs.sparkSession, model)(F.col("text"))["lang"]).where(F.col("__found") != UND)
+    predict = predictor(docs.sparkSession, model).asNondeterministic()  # else filter and column call it once each
+    found = docs.withColumn("__found", predict(F.col("text"))["lang"]).where(F.col("__found") != UND)
     return found.withColumn("lang", F.coalesce("lang", "__found")).select(docs.columns)
