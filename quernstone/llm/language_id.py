@@ -42,6 +42,8 @@ SAMPLE_CHARS, SAMPLE_TOTAL = 20_000, 40_000_000
 #: Symbols: 0 other letters, 1 separators, then the letters.
 BASE = 64
 SPACE = BASE + BASE**2 + BASE**3
+#: Symbols of a text that are worked on at once.
+STEP = 1 << 18
 UND = "und"
 
 
@@ -68,14 +70,14 @@ def grams(text: str | None, table: Any, flags: Any) -> Any:
 
     if not text:
         return np.zeros(0, dtype=np.int64)
-    s = table[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].astype(np.int64)
+    s = table[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
     s = s[np.concatenate(([True], (s[1:] != 1) | (s[:-1] != 1)))]
-    flags[s] = True
-    if len(s) > 1:
-        two = s[:-1] * BASE + s[1:]
+    for begin in range(0, len(s), STEP):  # a long text in parts that overlap by two symbols
+        part = s[begin : begin + STEP + 2].astype(np.int32)
+        flags[part] = True
+        two = part[:-1] * BASE + part[1:]
         flags[BASE + two] = True
-        if len(s) > 2:
-            flags[BASE + BASE**2 + two[:-1] * BASE + s[2:]] = True
+        flags[BASE + BASE**2 + two[:-1] * BASE + part[2:]] = True
     found = np.flatnonzero(flags)
     flags[found] = False
     return found

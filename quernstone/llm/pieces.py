@@ -21,7 +21,7 @@ from functools import lru_cache
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces in each of the two generations of a worker's cache.
-CACHE_PIECES = 700_000
+CACHE_PIECES = 350_000
 
 #: White space other than space and line feed.
 OTHER_WHITE = re.compile(r"[^\S \n]")
