@@ -28,6 +28,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 from typing import Any
 
 import pandas as pd
@@ -65,18 +66,29 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str]]:
     return [(r["toxic"], r["text"]) for r in sizes.where(F.col("chars") <= SAMPLE_TOTAL).orderBy("chars").collect()]
 
 
+def words_of(text: str) -> set[str]:
+    return set(WORD.findall(text.lower()))
+
+
+def openings(words: set[str]) -> set[str]:
+    return {w[:k] for w in words for k in OPENING if len(w) >= k}
+
+
 def apart(toxic: list[str], ordinary: list[str]) -> list[bytes]:
     """What sets toxic text apart, as often as it occurs: of each word its shortest
-    opening that does, or the whole word if it is frequent in toxic text."""
-    spans = [[set(WORD.findall(t.lower())) for t in texts] for texts in (toxic, ordinary)]
-    t, o = (Counter(x for words in s for x in {w[:k] for w in words for k in OPENING if len(w) >= k}) for s in spans)
-    whole = Counter(w for words in spans[0] for w in words)
+    opening that does, or the whole word if it is frequent in toxic text. Only one text's
+    words are held at a time."""
     n, m = max(1, len(toxic)), max(1, len(ordinary))
-    marks = {x for x in t if t[x] >= max(4, LEAST_SHARE * n) and (t[x] + 0.5) / n >= RATIO * (o[x] + 0.5) / m}
+    t = Counter(x for text in toxic for x in openings(words_of(text)))
+    t = {x: c for x, c in t.items() if c >= max(4, LEAST_SHARE * n)}
+    o = Counter(x for text in ordinary for x in openings(words_of(text)) if x in t)
+    marks = {x for x in t if (t[x] + 0.5) / n >= RATIO * (o[x] + 0.5) / m}
+    opening = lambda w: next((k for k in OPENING if len(w) >= k and w[:k] in marks), None)
+    whole = Counter(w for text in toxic for w in words_of(text) if opening(w))
     found = []
-    for words in spans[0]:
-        for w in sorted(words):
-            k = next((k for k in OPENING if len(w) >= k and w[:k] in marks), None)
+    for text in toxic:
+        for w in sorted(words_of(text)):
+            k = opening(w)
             if k:
                 found.append((" " + (w if whole[w] >= WHOLE_SHARE * n else w[:k])).encode())
     return found
@@ -99,7 +111,7 @@ def toxic_windows(toxic: list[str], ordinary: list[str]) -> list[bytes]:
 def dictionaries(toxic: list[str], ordinary: list[str], sizes: tuple[int, ...] = SIZES) -> tuple[bytes, list[bytes]]:
     """The ordinary dictionary, and toxic ones of several sizes."""
     thin = max(1, sum(len(t) for t in ordinary) // 4_000_000)
-    plain = trained([w for t in ordinary for w in windows(t)][::thin], ORDINARY_BYTES)
+    plain = trained(list(islice((w for t in ordinary for w in windows(t)), 0, None, thin)), ORDINARY_BYTES)
     marked = toxic_windows(toxic, ordinary)
     return plain, [trained(marked, size) for size in sizes]
 

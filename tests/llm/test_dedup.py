@@ -149,6 +149,18 @@ def test_components(spark, monkeypatch, few):
     assert components.star(edges.where("a < 0")).count() == 0
 
 
+def test_components_take_few_jobs(spark):
+    """Edges that are stars already are seen to be so, without a round that changes nothing."""
+    edges = spark.createDataFrame([(i, i % 3) for i in range(3, 40)], "a long, b long")
+    spark.sparkContext.setJobGroup("stars", "stars")
+    try:
+        got = components.star(edges).collect()
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert {tuple(r) for r in got} == {(i, i % 3) for i in range(3, 40)}
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("stars")) <= 9
+
+
 def test_drop_rows_keeps_null_ids(spark, docs):
     gone = spark.createDataFrame([(4,), (None,)], "doc_id long")
     assert sorted(str(r[0]) for r in drop_rows(docs, gone).select("doc_id").collect()) == sorted(map(str, [1, 2, 3, 5, 6, 7, 8, 9, None]))

@@ -177,6 +177,26 @@ def test_toxic_scores_equal_brute_force(spark):
     assert got[0] == got[43]
 
 
+def test_words_of_the_sample_are_not_all_held():
+    """The driver holds one ordinary text's words at a time, not those of all."""
+    import random
+    import tracemalloc
+
+    from quernstone.llm.toxicity import apart
+
+    draw = random.Random(5)
+    text = lambda: " ".join(f"{draw.choice('abcdefgh')}{draw.randrange(600)}" for _ in range(1500))
+    ordinary, toxic = [text() for _ in range(100)], [text() + " badword" for _ in range(20)]
+    tracemalloc.start()
+    try:
+        found = apart(toxic, ordinary)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == [b" badword"] * 20
+    assert peak < 4_000_000
+
+
 def test_toxicity(spark, docs, empty):
     draw = random.Random(6)
     words = ["".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(80)]
