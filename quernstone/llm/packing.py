@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from quernstone.llm.common import read
-from quernstone.llm.pieces import WordCache, library_encoder, texts_of, tokenizer_path
+from quernstone.llm.pieces import WordTable, grouped, library_encoder, tokenizer_path
 
 TABLE, END = "word_bpe_49k.json", 2
 #: Tokens, segments and loss-bearing tokens of a sequence; items in a task's pool.
@@ -165,7 +165,7 @@ def packed(docs: DataFrame, path: str, tokens: int = TOKENS, segments: int = SEG
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = library_encoder(path, WordCache)
+        table = library_encoder(path, WordTable)
         packer, sequence, rows = Packer(tokens, segments, loss, pool), TaskContext.get().partitionId() << 33, []
         end = END.to_bytes(4, "little")
 
@@ -185,12 +185,13 @@ def packed(docs: DataFrame, path: str, tokens: int = TOKENS, segments: int = SEG
             return out
 
         for one in batches:
-            begins = one.column(2).to_pylist()
-            for (doc_id, text), begin in zip(texts_of([one]), begins, strict=True):
-                ids = encode.ids(text) + end
-                written(packer.add(Item(doc_id, ids, 0, 0, len(ids) // 4, len(ids) // 4, begin or 0)))
-                if len(rows) >= 10_000:
-                    yield batch()
+            begins = iter(one.column(2).to_pylist())
+            for doc_ids, texts in grouped([one]):
+                for doc_id, found in zip(doc_ids, table.many(texts), strict=True):
+                    ids = found.tobytes() + end
+                    written(packer.add(Item(doc_id, ids, 0, 0, len(ids) // 4, len(ids) // 4, next(begins) or 0)))
+                    if len(rows) >= 10_000:
+                        yield batch()
             yield batch()
         written(packer.flush())
         yield batch()

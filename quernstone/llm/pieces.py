@@ -7,7 +7,8 @@ met (Zipf's law makes most of them hits); what it drops changes no
 result. Very long texts cost memory for themselves only.
 
 ``PieceTable`` does the same for the byte vocabulary with arrays, many texts at a time,
-and cuts finer.
+and cuts finer; ``WordTable`` for the lower-case vocabulary. Pieces that are one word of
+Latin letters go to the library's model without its normalizer and splitting pattern.
 """
 
 from __future__ import annotations
@@ -26,6 +27,20 @@ CACHE_PIECES = 350_000
 #: White space other than space and line feed.
 OTHER_WHITE = re.compile(r"[^\S \n]")
 SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: One word of letters of ASCII and Latin-1, after white space or none.
+WORD = re.compile("[ \t\n\r\x0b\x0c]*([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)")
+
+
+@lru_cache(maxsize=1)
+def shown_bytes() -> dict[int, int]:
+    """The character that byte-level vocabularies write for each byte that is not itself."""
+    hidden = [b for b in range(256) if b not in {*range(33, 127), *range(161, 173), *range(174, 256)}]
+    return {b: 256 + n for n, b in enumerate(hidden)}
+
+
+def shown(word: str) -> str:
+    """A word as byte-level vocabularies write it."""
+    return word if word.isalpha() and word.isascii() else word.encode().decode("latin-1").translate(shown_bytes())
 
 
 def cut(text: str) -> tuple[str, list[str]]:
@@ -43,6 +58,11 @@ class PieceCache:
 
     before = " "
 
+    @staticmethod
+    def word(piece: str) -> str | None:
+        """The piece as the model takes it, if it is one word for certain."""
+        return None
+
     def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = CACHE_PIECES):
         self.encode, self.limit, self.known, self.older = encode, limit, {}, {}
 
@@ -71,6 +91,11 @@ class WordCache(PieceCache):
 
     before = ""
 
+    @staticmethod
+    def word(piece: str) -> str | None:
+        found = WORD.fullmatch(piece)
+        return shown(found[1].lower()) if found else None
+
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -84,10 +109,18 @@ GROUP_BYTES, KEPT_BYTES = 1 << 20, 48 << 20
 #: What the array rules don't cover: special tokens, control characters, and white space
 #: beyond ASCII. Such texts are cut at spaces only.
 ODD = re.compile(r"<\||[\x00-\x08\x0e-\x1f\x7f]|[^\S \t\n\r\x0b\x0c]")
+#: The same, to be looked for one by one, which takes a small part of the pattern's time.
+ODD_ASCII = ["<|", *map(chr, [*range(9), *range(14, 32), 127])]
+ODD_WHITE = [c for c in map(chr, range(128, 0x10000)) if c.isspace()]
 #: Classes of bytes.
 OTHER, LETTER, DIGIT, MARK, WHITE, EDGE = range(6)
 
 
+def odd(text: str) -> bool:
+    """Has ``text`` an ``ODD`` part?"""
+    return any(map(text.__contains__, ODD_ASCII)) or not text.isascii() and any(map(text.__contains__, ODD_WHITE))
+
+
 @lru_cache(maxsize=1)
 def byte_classes() -> tuple:
     """The class of each byte; powers of the hash's base and of its inverse."""
@@ -131,7 +164,8 @@ class PieceTable:
 
     * before white space that follows a character that is none,
     * after a single white space other than a space,
-    * between ASCII letters, digits and marks, but not between ``'`` and a letter,
+    * between letters of ASCII and Latin-1, ASCII digits and marks, but not between ``'``
+      and a letter,
 
     where the pattern always begins a new word, whatever stands on the left. A piece is
     looked up by a 64-bit polynomial hash in an open-addressed table, and the ids are
@@ -139,16 +173,24 @@ class PieceTable:
     that no hash collision can pass; new pieces are encoded in one call."""
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], bits: int = 21, kept_bytes: int = KEPT_BYTES):
-        self.encode, self.bits, self.kept_bytes, self.slow = encode, bits, kept_bytes, PieceCache(encode)
+        self.encode, self.bits, self.kept_bytes, self.slow = encode, bits, kept_bytes, self.plain(encode)
         self.clear()
 
+    #: How ``ODD`` texts are encoded.
+    plain = PieceCache
+    word = staticmethod(PieceCache.word)
+
+    def prepared(self, whole: bytes) -> bytes:
+        """What is cut and looked up, byte for byte."""
+        return whole
+
     def clear(self) -> None:
         import numpy as np
 
-        self.keys, self.where = np.zeros(1 << self.bits, dtype=np.uint64), np.zeros(1 << self.bits, dtype=np.int64)
+        self.keys, self.where = np.zeros(1 << self.bits, dtype=np.uint64), np.zeros(1 << self.bits, dtype=np.int32)
         self.count = 0
         #: ends of each piece's bytes and ids in the two stores
-        self.byte_ends, self.id_ends = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
+        self.byte_ends, self.id_ends = np.zeros(1 << 16, dtype=np.int32), np.zeros(1 << 16, dtype=np.int32)
         self.bytes, self.stored = np.zeros(1 << 20, dtype=np.uint8), np.zeros(1 << 18, dtype=np.uint32)
 
     def find(self, hashes):
@@ -212,7 +254,7 @@ class PieceTable:
         for i, text in enumerate(texts):
             if text and len(text) > GROUP_BYTES:
                 out[i] = np.concatenate([self.part(p) for p in long_parts(text)])
-            elif text and ODD.search(text):
+            elif text and odd(text):
                 out[i] = self.one(text)
             else:
                 raw = (text or "").encode()
@@ -226,7 +268,7 @@ class PieceTable:
         return out
 
     def part(self, text: str):
-        if ODD.search(text):
+        if odd(text):
             return self.one(text)
         out: list = [None]
         self.solve([(0, text.encode())], out)
@@ -246,15 +288,20 @@ class PieceTable:
             for i, raw in group:
                 out[i] = self.one(raw.decode())
             return
+        whole = self.prepared(whole)
         b = np.frombuffer(whole, dtype=np.uint8)
         kind = kinds[b]
+        if not whole.isascii():
+            latin = np.flatnonzero(b == 0xC3)  # Latin-1 letters; the two signs among them are OTHER
+            latin = latin[(b[latin + 1] != 0x97) & (b[latin + 1] != 0xB7)]
+            kind[latin] = kind[latin + 1] = LETTER
         white = kind == WHITE
         left, right = kind[:-1], kind[1:]
         cut = np.empty(len(b) + 1, dtype=bool)
         cut[0] = cut[-1] = True
         inner = cut[1:-1]
         np.not_equal(left, right, out=inner)
-        inner &= (left != OTHER) & (right != OTHER) | white[1:]  # classes within ASCII; all before white space
+        inner &= (left != OTHER) & (right != OTHER) | white[1:]  # known classes; all before white space
         inner &= ~((b[:-1] == 39) & (right == LETTER))
         inner |= (left == EDGE) | (right == EDGE)
         after = white[:-1] & ~white[1:] & (right != EDGE)  # from white space to a word
@@ -293,6 +340,26 @@ class PieceTable:
             out[i] = ids[begin:end]
 
 
+class WordTable(PieceTable):
+    """The same for the lower-case vocabulary, which drops white space: its pattern begins a
+    new word at all those places, too. ASCII letters are looked up in lower case, but not
+    before other characters, with which they may be composed first."""
+
+    plain = WordCache
+    word = staticmethod(WordCache.word)
+
+    def prepared(self, whole: bytes) -> bytes:
+        import numpy as np
+
+        lower = whole.lower()
+        if whole.isascii():
+            return lower
+        was, now = np.frombuffer(whole, dtype=np.uint8), np.frombuffer(lower, dtype=np.uint8).copy()
+        kept = np.flatnonzero(was[1:] > 127)
+        now[kept] = was[kept]
+        return now.tobytes()
+
+
 def grown(array, size: int):
     """``array``, or a copy of at least ``size`` places."""
     import numpy as np
@@ -335,8 +402,14 @@ def library_encoder(path: str, kind: type = PieceCache) -> PieceCache:
 
     special = {i: t.content for i, t in tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)}
     mark, between = min(special.items(), default=(None, ""))
+    model = tokenizer.model
 
     def encode(pieces: list[str]) -> list[bytes]:
+        words = list(map(kind.word, pieces))
+        rest = iter(joined([p for p, w in zip(pieces, words, strict=True) if w is None]))
+        return [next(rest) if w is None else array("I", [t.id for t in model.tokenize(w)]).tobytes() for w in words]
+
+    def joined(pieces: list[str]) -> list[bytes]:
         # one call for all: pieces on either side of a special token don't meet
         text = between.join(pieces)
         if not between or text.count(between) != len(pieces) - 1:

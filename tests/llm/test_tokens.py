@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 from quernstone.llm import bpe, packing, token_store
 from quernstone.llm import pieces
-from quernstone.llm.pieces import PieceCache, PieceTable, WordCache, library_encoder, library_table, tokenizer_path
+from quernstone.llm.pieces import PieceCache, PieceTable, WordCache, WordTable, library_encoder, library_table, tokenizer_path
 
 BYTE, WORD = tokenizer_path(bpe.TABLE), tokenizer_path(packing.TABLE)
 
@@ -195,3 +195,38 @@ def test_packing_conversations_within_three_limits(spark):
     assert all(a <= 1024 and b <= 16 and c <= 300 for a, b, c in used.values())
     free = packing.packed(df, WORD, 1024, 16, 1024, 64, "prompt").select("sequence_id").distinct().count()
     assert free < len(used)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_word_table_equals_the_library(seed):
+    """Letters that are composed before they are lower-cased (H with a macron below has no capital), signs
+    among Latin-1 letters, capitals without one lower-case letter, special tokens, odd white space."""
+    draw = random.Random(seed)
+    letters = [*"aAbHhIiEeSsßẞéÉÿÀÇ×÷µªİı \n\t'’.,-19²³\u0331\u0301\u0307\u0323\u00ad\u00a0\u2028Kσς中😀\x1c\x7f", " the", "'S", "'ll", "  ", "\r\n", "été", "Été,", "<|endoftext|>"]
+    usual = [c for c in letters if not pieces.ODD.search(c)]
+    word = Tokenizer.from_file(WORD)
+    texts = ["".join(draw.choice(usual if turn % 4 else letters) for _ in range(draw.randint(0, 60))) for turn in range(800)]
+    want = [word.encode(t, add_special_tokens=False).ids for t in texts]
+    small = WordTable(library_encoder(WORD, WordTable).encode, bits=10, kept_bytes=2000)
+    for table in (library_encoder(WORD, WordTable), small):
+        for begin in range(0, len(texts), 50):
+            assert [x.tolist() for x in table.many(texts[begin : begin + 50])] == want[begin : begin + 50]
+    assert [pieces.odd(t) for t in texts] == [bool(pieces.ODD.search(t)) for t in texts]
+
+
+def test_odd_equals_its_pattern():
+    assert all(pieces.odd(chr(c)) == bool(pieces.ODD.search(chr(c))) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    assert pieces.odd("a <| b") and not pieces.odd("a < | b") and not pieces.odd("")
+
+
+def test_packing_encodes_a_word_once(monkeypatch):
+    """Marks beside a word and its capitals make no new piece, and a word skips the splitting pattern."""
+    met = []
+    table = WordTable(lambda parts: met.extend(parts) or library_encoder(WORD, WordTable).encode(parts))
+    texts = ["Maison maison, (maison) maison. MAISON!", "été été, (été) été."]
+    got = [x.tolist() for x in table.many(texts)]
+    assert got == [ids_of(WORD, t) for t in texts]
+    words = [p.strip() for p in met if p.strip(" ").isalpha()]
+    assert sorted(set(words)) == ["maison", "été"] and len(words) <= 4  # with a space before it, and without
+    assert all(WordTable.word(p) for p in met if p.strip(" ").isalpha())
+    assert WordTable.word(" Été") == WordTable.word("été") and WordTable.word("a1") is None and WordTable.word("h\u0331") is None
