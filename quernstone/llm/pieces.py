@@ -27,8 +27,10 @@ CACHE_PIECES = 350_000
 #: White space other than space and line feed.
 OTHER_WHITE = re.compile(r"[^\S \n]")
 SAFE = re.compile(r"(?<=\S) (?=\S)")
-#: One word of letters of ASCII and Latin-1, after white space or none.
-WORD = re.compile("[ \t\n\r\x0b\x0c]*([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)")
+#: One word of letters of ASCII and Latin-1: with or without the space before it; after
+#: white space or none.
+LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
+SPACED, WORD = re.compile(f" ?{LETTERS}"), re.compile(f"[ \t\n\r\x0b\x0c]*({LETTERS})")
 
 
 @lru_cache(maxsize=1)
@@ -39,8 +41,8 @@ def shown_bytes() -> dict[int, int]:
 
 
 def shown(word: str) -> str:
-    """A word as byte-level vocabularies write it."""
-    return word if word.isalpha() and word.isascii() else word.encode().decode("latin-1").translate(shown_bytes())
+    """A word of letters, or a space and a word, as byte-level vocabularies write it."""
+    return word.replace(" ", "\u0120") if word.isascii() else word.encode().decode("latin-1").translate(shown_bytes())
 
 
 def cut(text: str) -> tuple[str, list[str]]:
@@ -61,7 +63,7 @@ class PieceCache:
     @staticmethod
     def word(piece: str) -> str | None:
         """The piece as the model takes it, if it is one word for certain."""
-        return None
+        return shown(piece) if SPACED.fullmatch(piece) else None
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = CACHE_PIECES):
         self.encode, self.limit, self.known, self.older = encode, limit, {}, {}

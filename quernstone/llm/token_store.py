@@ -39,7 +39,7 @@ from quernstone.llm.common import new_path, read, spread_join
 from quernstone.llm.pieces import grouped, library_table, tokenizer_path
 
 TABLE, END = "byte_bpe_50k.json", 2
-#: Ids in the rolling hash's window; shortest and longest chunk; a cut falls on one id in
+#: Ids in the rolling hash's window (a power of two); shortest and longest chunk; a cut falls on one id in
 #: 2**MASK_BITS beyond the shortest.
 WINDOW, LEAST, MOST, MASK_BITS = 16, 256, 8192, 10
 #: Digests of chunks already sent that a task remembers.
@@ -61,11 +61,12 @@ def cuts(ids: Any) -> list[int]:
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    rolled, factor = np.zeros(n, dtype=np.uint64), np.uint64(1)
-    with np.errstate(over="ignore"):
-        for back in range(min(WINDOW, n)):
-            rolled[back:] += mixed[: n - back] * factor
-            factor *= np.uint64(0x100000001B3)
+    rolled, width = mixed, 1  # sums over 1, 2, 4, ... ids, each id times a power of the factor
+    while width < WINDOW:
+        factor = np.uint64(pow(0x100000001B3, width, 1 << 64))
+        wider = rolled.copy()
+        wider[width:] += rolled[:-width] * factor
+        rolled, width = wider, 2 * width
     marks = np.flatnonzero((rolled >> np.uint64(64 - MASK_BITS)) == 0) + 1
     ends, at = [], 0
     for mark in marks.tolist():

@@ -230,3 +230,35 @@ def test_packing_encodes_a_word_once(monkeypatch):
     assert sorted(set(words)) == ["maison", "été"] and len(words) <= 4  # with a space before it, and without
     assert all(WordTable.word(p) for p in met if p.strip(" ").isalpha())
     assert WordTable.word(" Été") == WordTable.word("été") and WordTable.word("a1") is None and WordTable.word("h\u0331") is None
+
+
+def test_store_words_skip_the_splitting_pattern():
+    """One word goes to the model as the vocabulary writes it; all else is split by the library first."""
+    byte = Tokenizer.from_file(BYTE)
+    for piece in ("house", " house", "Été", " ÀßÿĀ"[:4], " naïve", "ŒuvrE"[1:]):
+        shown = PieceTable.word(piece)
+        assert [t.id for t in byte.model.tokenize(shown)] == byte.encode(piece, add_special_tokens=False).ids
+    for piece in ("", " ", "  house", "\nhouse", "a b", "a1", "it's", "'s", "a×b", "e\u0301", "\u00aa", "ĳ", "中", "<|endoftext|>"):
+        assert PieceTable.word(piece) is None
+    met = [" house", "a1", "<|endoftext|>", "Été", "  house", "'s", ""]
+    assert [np.frombuffer(x, "<u4").tolist() for x in library_table(BYTE).encode(met)] == [byte.encode(p, add_special_tokens=False).ids for p in met]
+
+
+def test_rolling_sums_equal_their_definition():
+    """The chunks' ends are those of the window summed id by id."""
+    ids = np.random.default_rng(3).integers(0, 50_257, 5_000).astype("<u4")
+    wrap, marks = (1 << 64) - 1, []
+    mixed = []
+    for i in ids.tolist():
+        m = (i + 1) * 0x9E3779B97F4A7C15 & wrap
+        mixed.append((m ^ m >> 29) * 0xBF58476D1CE4E5B9 & wrap)
+    for at in range(len(ids)):
+        total = sum(mixed[at - back] * pow(0x100000001B3, back, 1 << 64) for back in range(min(token_store.WINDOW, at + 1))) & wrap
+        if total >> 64 - token_store.MASK_BITS == 0:
+            marks.append(at + 1)
+    want, at = [], 0
+    for mark in marks:
+        if mark - at >= token_store.LEAST:
+            want.append(mark)
+            at = mark
+    assert marks and token_store.cuts(ids) == [*want, len(ids)]
